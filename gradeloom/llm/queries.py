@@ -24,8 +24,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), _tokenizer(), END_ID)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), END_ID, 4096)
+
+
 def queries() -> dict:
-    return {"op1_token_files": op1_token_files}
+    return {"op1_token_files": op1_token_files, "op2_packing": op2_packing}
 
 
 def oracle_sql() -> dict[str, str]:
