@@ -30,8 +30,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), END_ID, 4096)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+#: Name to query, in the order of the operators' numbers.
+QUERIES = [op1_token_files, op2_packing, op3_language]
+
+
 def queries() -> dict:
-    return {"op1_token_files": op1_token_files, "op2_packing": op2_packing}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
