@@ -36,8 +36,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), 0.7)
+
+
 #: Name to query, in the order of the operators' numbers.
-QUERIES = [op1_token_files, op2_packing, op3_language]
+QUERIES = [op1_token_files, op2_packing, op3_language, op10_quality]
 
 
 def queries() -> dict:
