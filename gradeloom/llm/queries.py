@@ -36,6 +36,19 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import RULES, apply_rules
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return apply_rules(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import text_digests
+
+    return text_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -43,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Name to query, in the order of the operators' numbers.
-QUERIES = [op1_token_files, op2_packing, op3_language, op10_quality]
+QUERIES = [op1_token_files, op2_packing, op3_language, op6_url_rules, op7_tiff, op10_quality]
 
 
 def queries() -> dict:
@@ -51,4 +64,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import url_rules
+
+    return {"op6_url_rules": url_rules.ORACLE_SQL}
