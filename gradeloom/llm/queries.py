@@ -49,6 +49,12 @@ def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import span_digests
+
+    return span_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -56,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Name to query, in the order of the operators' numbers.
-QUERIES = [op1_token_files, op2_packing, op3_language, op6_url_rules, op7_tiff, op10_quality]
+QUERIES = [op1_token_files, op2_packing, op3_language, op6_url_rules, op7_tiff, op8_pii, op10_quality]
 
 
 def queries() -> dict:
