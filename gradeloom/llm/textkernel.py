@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes hashed in one step; a longer word makes a longer step.
-STEP = 1 << 21
+STEP = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,7 +132,7 @@ class HashTable:
     def _put(self, keys: np.ndarray, rows: np.ndarray) -> None:
         if 2 * (self.size + len(keys)) > len(self.keys):
             old_keys, old_rows = self.keys[self.rows >= 0], self.rows[self.rows >= 0]
-            self._make((2 * (self.size + len(keys))).bit_length() + 1)
+            self._make((2 * (self.size + len(keys))).bit_length())
             self._put_all(old_keys, old_rows)
         self._put_all(keys, rows)
 

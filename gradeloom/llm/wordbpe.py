@@ -10,11 +10,30 @@ to the tokenizer whole. ``exact_by_words`` states for which tokenizers this hold
 from __future__ import annotations
 
 import json
+import os
+from unicodedata import is_normalized
 
 import numpy as np
 
-#: Pieces of one generation of the cache. Two generations are kept, about 60 MB.
-CACHE_WORDS = 150_000
+from .textkernel import HashTable, join_texts, word_hashes, words
+
+#: Words in the cache (about 40 MB) and among the letters kept as text beside it.
+CACHE_WORDS = 500_000
+CORE_WORDS = 50_000
+MARKS = (b",", b".")
+CUTS = np.zeros(256, dtype=bool)
+CUTS[[10, 32]] = True
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: visible Latin-1 characters stand for
+    themselves, the others follow from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = byte_letters()
 
 
 def exact_by_words(spec: dict) -> bool:
@@ -28,67 +47,110 @@ def exact_by_words(spec: dict) -> bool:
         and splits[0].get("type") == "Split"
         and splits[0].get("behavior") == "Removed"
         and splits[0].get("invert") is True
-        and not any(s.get("add_prefix_space") for s in splits)
+        and [s.get("type") for s in splits[1:]] == ["ByteLevel"]
+        and not splits[1].get("add_prefix_space")
+        and not splits[1].get("use_regex")
         and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
     )
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes."""
+    """Token ids as little-endian unsigned 32-bit bytes.
+
+    Known words are rows of a hash table (64-bit word hashes) that point into one array of ids. Beyond ``cache_words``
+    the table starts anew; that changes the speed alone."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task; the task's core is its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_words = exact_by_words(json.load(f))
         self.cache_words = cache_words
-        self.young: dict[bytes, bytes] = {b"": b""}
-        self.old: dict[bytes, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Put every word into the young generation."""
-        if len(self.young) > self.cache_words:
-            self.old, self.young = self.young, {b"": b""}
-        missing = words - self.young.keys()
-        for w in missing & self.old.keys():
-            self.young[w] = self.old[w]
-        missing -= self.young.keys()
-        if not missing:
-            return
-        # letters followed by one mark: the mark is a run of its own
-        cores = {w: w[:-1] for w in missing if w[-1:] in (b",", b".") and w[:-1].isalpha()}
-        ask = sorted((missing - cores.keys()) | (set(cores.values()) - self.young.keys()) | {b",", b"."})
-        self.young.update(zip(ask, self._whole([w.decode() for w in ask])))
-        for w, core in cores.items():
-            self.young[w] = self.young[core] + self.young[w[-1:]]
+        self.marks: dict[bytes, np.ndarray] = {}
+        if self.by_words:
+            self.marks = dict(zip(MARKS, self._whole([m.decode() for m in MARKS])))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table = HashTable()
+        self.ids = np.empty(1 << 16, dtype="<u4")
+        self.ends = np.zeros(1 << 16, dtype=np.int64)  # of row i: ids[ends[i] : ends[i + 1]]
+        self.cores: dict[bytes, np.ndarray] = {}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of single words. A word of letters alone, lower-case and composed, is one run: the tokenizer's normalising and
+        cutting leave it as it is, and its model is asked at once."""
+        out: list[np.ndarray | None] = []
+        rest = []
+        ask = self.tokenizer.model.tokenize
+        for w in words:
+            s = w.decode()
+            if w.isalpha() or (s.isalpha() and max(s) < "\u0250" and s == s.lower() and is_normalized("NFC", s)):
+                out.append(np.array([t.id for t in ask(w.decode("latin-1").translate(BYTE_LETTERS))], dtype="<u4"))
+            else:
+                rest.append(len(out))
+                out.append(None)
+        for i, ids in zip(rest, self._whole([words[i].decode() for i in rest])):
+            out[i] = ids
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Add words to the table. Of letters with one mark after them, the letters are encoded: the mark is a run of its own."""
+        plan = [(w[:-1], w[-1:]) if w[-1:] in self.marks and w[:-1].isalpha() else (w, b"") for w in words]
+        ask = list(dict.fromkeys(core for core, _ in plan if core not in self.cores))
+        self.cores.update(zip(ask, self._ids(ask)))
+        parts = []
+        sizes = np.empty(len(words), dtype=np.int64)
+        for i, (core, mark) in enumerate(plan):
+            parts.append(self.cores[core])
+            sizes[i] = len(parts[-1])
+            if mark:
+                parts.append(self.marks[mark])
+                sizes[i] += len(parts[-1])
+        if len(self.cores) > CORE_WORDS:
+            self.cores = {}
+        new = np.concatenate(parts)
+        rows, used = self.table.size, int(self.ends[self.table.size])
+        while len(self.ids) < used + len(new):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while len(self.ends) < rows + len(words) + 1:
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[used : used + len(new)] = new
+        self.ends[rows + 1 : rows + len(words) + 1] = used + np.cumsum(sizes)
+        self.table.add(hashes)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; a null text has none."""
         if not self.by_words:
-            return self._whole([t or "" for t in texts])
-        split: list[list[bytes] | None] = []
-        words: set[bytes] = set()
-        special: list[int] = []
-        for i, text in enumerate(texts):
-            raw = (text or "").encode()
-            if b"<|" in raw:
-                special.append(i)
-                split.append(None)
-                continue
-            parts = raw.lower().replace(b"\n", b" ").split(b" ")
-            split.append(parts)
-            words.update(parts)
-        self._learn(words)
-        get = self.young.__getitem__
-        out = [b"" if parts is None else b"".join(map(get, parts)) for parts in split]
+            return [x.tobytes() for x in self._whole([t or "" for t in texts])]
+        special = [i for i, t in enumerate(texts) if t and "<|" in t]
+        plain = [None if t and "<|" in t else t for t in texts] if special else texts
+        data, first = join_texts(plain)
+        starts, ends = words(data, CUTS)
+        hashes = word_hashes(data, starts, ends)
+        if self.table.size > self.cache_words:
+            self._clear()
+        rows = self.table.find(hashes)
+        gaps = np.flatnonzero(rows < 0)
+        if len(gaps):
+            new, one = np.unique(hashes[gaps], return_index=True)
+            raw = data.tobytes()
+            self._learn(new, [raw[a:b] for a, b in zip(starts[gaps[one]].tolist(), ends[gaps[one]].tolist())])
+            rows[gaps] = self.table.find(hashes[gaps])
+        begin = self.ends[rows]
+        sizes = self.ends[rows + 1] - begin
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.repeat(begin - done[:-1], sizes) + np.arange(done[-1])]
+        cut = done[np.searchsorted(starts, first)]
+        out = [flat[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
         if special:
             for i, ids in zip(special, self._whole([texts[i] for i in special])):
-                out[i] = ids
+                out[i] = ids.tobytes()
         return out
 
 
@@ -102,7 +164,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def text_slices(column, most_bytes: int = 4_000_000):
+def text_slices(column, most_bytes: int = 1_500_000):
     """Slices of an Arrow string column whose texts together stay near ``most_bytes``: yields (first row, texts)."""
     texts, first, size = [], 0, 0
     for i, value in enumerate(column):
