@@ -20,8 +20,8 @@ n-grams is never multiplied as a whole:
 Hashes have 64 bits in step 4 and about 38 in steps 1 and 3, where a collision can only let a set go on in vain.
 
 Defined cases: null, empty and blank texts have no n-grams and no links. Texts of 1 to n - 1 words have one n-gram, the whole
-sequence. Rows with a null doc_id have their count and a null component. Repeated doc_ids are one document per row; rows of
-one doc_id that differ get the smallest component among them. Empty tables give empty results. Extra columns are ignored.
+sequence. Rows with a null doc_id have their count and a null component. Rows of one doc_id are one document: one row with
+the largest count, linked through the set of each of its rows. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -175,7 +175,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
         )
 
     dealt = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(deal, DEALT).repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(count, "doc_id long, n long, shared long").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"))
+    return dealt.mapInArrow(count, "doc_id long, n long, shared long").groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
 
 
 def grams_of(docs: DataFrame) -> DataFrame:
@@ -315,20 +315,19 @@ def link_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``)."""
-    spark = docs.sparkSession
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every document of ``docs`` (``doc_id``, ``text``)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     counts = materialise(shared_counts(docs), "gram-counts")
     going = counts.where(f"n > 0 and 100 * shared >= {PERCENT} * n").select("doc_id")
     few = going.count() <= BROADCAST_IDS
     sets = materialise(grams_of(docs.join(F.broadcast(going) if few else going, "doc_id", "left_semi")), "gram-sets")
     classes = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "gram-classes")
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    own = sets.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = classes.withColumnRenamed("rep", "doc_id")
+    own = sets.join(F.broadcast(reps) if few else reps, ["doc_id", "digest"], "left_semi")
     edges = link_edges(block_members(own), own)
     found = components(materialise(edges, "gram-edges"))
     member = sets.select("doc_id", "digest").join(classes, "digest").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     known = counts.join(member, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     lost = docs.where("doc_id is null")
-    return known.unionByName(grams_of(lost).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))) if spark else known
+    return known.unionByName(grams_of(lost).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))

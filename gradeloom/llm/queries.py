@@ -36,6 +36,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_rules import RULES, apply_rules
 
@@ -62,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Name to query, in the order of the operators' numbers.
-QUERIES = [op1_token_files, op2_packing, op3_language, op6_url_rules, op7_tiff, op8_pii, op10_quality]
+QUERIES = [op1_token_files, op2_packing, op3_language, op4_ngram_join, op6_url_rules, op7_tiff, op8_pii, op10_quality]
 
 
 def queries() -> dict:
