@@ -96,7 +96,8 @@ def gram_hashes(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndar
         out[at] = whole[inside[: total - n + 1]]
     for k in np.flatnonzero((counts > 0) & (counts < n)):
         own = hashes[first_word[k] : first_word[k] + counts[k]]
-        out[first_gram[k]] = (own * GRAM_FACTORS[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own)) * BASE
+        mark = np.full(1, len(own), dtype=np.uint64) * BASE  # arrays wrap around without a warning
+        out[first_gram[k]] = ((own * GRAM_FACTORS[: len(own)]).sum(dtype=np.uint64, keepdims=True) + mark)[0]
     return mix(out), grams
 
 

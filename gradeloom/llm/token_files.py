@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import scratch_path, width
+from .scratch import scratch_path, small_batches, width
 from .wordbpe import encoder, text_slices
 
 TOKEN_SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
@@ -92,14 +92,14 @@ def write_tokens(
                     names=["doc_id", "shard", "shard_start", "n_tokens", "ids"],
                 )
 
-    (
+    rows = (
         base.select("doc_id", "text", shard.cast("int").alias("shard"))
         .repartitionById(max(1, len(bounds) + 1), F.col("shard"))
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(encode, TOKEN_SCHEMA)
-        .write.options(**file_options(**sizes))
-        .parquet(path)
     )
+    with small_batches(docs.sparkSession):
+        rows.write.options(**file_options(**sizes)).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -17,9 +17,9 @@ import numpy as np
 
 from .textkernel import HashTable, join_texts, word_hashes, words
 
-#: Words in the cache (about 40 MB) and among the letters kept as text beside it.
-CACHE_WORDS = 500_000
-CORE_WORDS = 50_000
+#: Words in the cache (about 25 MB) and among the letters kept as text beside it.
+CACHE_WORDS = 350_000
+CORE_WORDS = 30_000
 MARKS = (b",", b".")
 CUTS = np.zeros(256, dtype=bool)
 CUTS[[10, 32]] = True
@@ -164,7 +164,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def text_slices(column, most_bytes: int = 1_500_000):
+def text_slices(column, most_bytes: int = 1_000_000):
     """Slices of an Arrow string column whose texts together stay near ``most_bytes``: yields (first row, texts)."""
     texts, first, size = [], 0, 0
     for i, value in enumerate(column):
