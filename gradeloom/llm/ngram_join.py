@@ -331,3 +331,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     known = counts.join(member, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     lost = docs.where("doc_id is null")
     return known.unionByName(grams_of(lost).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
+    gone = materialise(jaccard_components(docs).where("doc_id <> component_id").select("doc_id"), "gram-gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -246,16 +246,19 @@ def score_texts(texts: list[str | None], model: dict) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``score``."""
+    """Columns ``keep`` of ``docs`` with ``score``; a column of that name is replaced."""
+    keep = [c for c in keep if c != "score"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col))
+    at = rows.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            for first, texts in text_slices(batch.column(batch.num_columns - 1)):
-                kept = [c.slice(first, len(texts)) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(score_texts(texts, model))], names=[*keep, "__score"])
+            for first, texts in text_slices(batch.column(at)):
+                kept = [batch.column(k).slice(first, len(texts)) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(score_texts(texts, model))], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema + ", __score double").withColumnRenamed("__score", "score")
+    return rows.mapInArrow(run, schema + ", score double")
 
 
 def held_out(folds: int = 4, fold: int = 2):
@@ -267,3 +270,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     model = train(docs, labels.where(~held_out()))
     base = docs.select("doc_id", "text", held_out().alias("held_out"))
     return score(base, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, with all their columns."""
+    renamed = {"score": "__own_score"} if "score" in docs.columns else {}
+    scored = score(docs.withColumnsRenamed(renamed), train(docs, labels.where(~held_out())), [renamed.get(c, c) for c in docs.columns])
+    return scored.where(F.col("score") >= threshold).select(*(F.col(renamed.get(c, c)).alias(c) for c in docs.columns))

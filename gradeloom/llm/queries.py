@@ -42,6 +42,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), _tokenizer(), END_ID, share=0.8, epochs=3)
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_rules import RULES, apply_rules
 
@@ -61,6 +67,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -68,7 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Name to query, in the order of the operators' numbers.
-QUERIES = [op1_token_files, op2_packing, op3_language, op4_ngram_join, op6_url_rules, op7_tiff, op8_pii, op10_quality]
+QUERIES = [op1_token_files, op2_packing, op3_language, op4_ngram_join, op5_mixing, op6_url_rules, op7_tiff, op8_pii, op9_lattice, op10_quality]
 
 
 def queries() -> dict:
