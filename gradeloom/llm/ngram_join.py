@@ -8,8 +8,9 @@ n-grams is never multiplied as a whole:
    than its set), so only the others go on. An n-gram met twice inside a task is known to be shared there and is dealt
    out once, so a passage of a third of all documents is no burden to a single range.
 2. Equal sets are one class, represented by its smallest doc_id.
-3. ``block_members``: linked sets share one of the first |A| - ceil(PERCENT/100 |A|) + 1 n-grams of each in hash order. All
-   representatives that meet in such an n-gram join the block of the one that comes first in a fixed random order, so
+3. ``block_members``: linked sets share one of the first |A| - ceil(PERCENT/100 |A|) + 1 n-grams of each in any one order of all n-grams;
+   the order here is by frequency for the most frequent ones (``heavy_grams``, bounded in number), which come last, then by
+   hash, so that sets meet in rare n-grams rather than in a passage that thousands share. All representatives that meet in such an n-gram join the block of the one that comes first in a fixed random order, so
    every possible link lies in some block, and copies of one text meet in few blocks. A block of more than BLOCK sets is
    cut into pieces, and each pair of pieces is a block: no task holds more than two pieces.
 4. ``link_block`` multiplies a row of the block's incidence matrix with the rows not yet reached, accumulating overlap
@@ -44,7 +45,11 @@ PERCENT = 80
 CHUNK = 1_000_000
 BLOCK = 1_024
 BROADCAST_IDS = 500_000
+#: Sets that hold an n-gram before it counts as frequent, and how many frequent ones are told apart at most.
+OFTEN = 32
+HEAVY = 1 << 19
 
+PACKED = "part int, rows binary"
 DEALT = "part int, docs binary, counts binary, residues binary, multi binary, sizes binary"
 
 
@@ -135,6 +140,21 @@ def _collect_part(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return whole(keys, np.uint64), whole(docs, np.int64), whole(multi, np.uint64), np.concatenate(sizes) if sizes else np.empty((0, 3), dtype=np.int64)
 
 
+def _pack(rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows of numbers dealt by a hash of the first: a record per range with its columns as byte arrays."""
+    part = (rank_of(rows[:, 0]) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    own = [p for p in range(parts) if cut[p] < cut[p + 1]]
+    blobs = [np.ascontiguousarray(rows[order[cut[p] : cut[p + 1]]].T).tobytes() for p in own]
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "rows"])
+
+
+def _unpack(batches, columns: int) -> np.ndarray:
+    found = [np.frombuffer(x, dtype=np.int64).reshape(columns, -1).T for batch in batches for x in batch.column(1).to_pylist()]
+    return np.concatenate(found) if found else np.empty((0, columns), dtype=np.int64)
+
+
 def shared_counts(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n`` (size of its set) and ``shared`` (how many of it occur in other rows)."""
     parts = width(docs.sparkSession)
@@ -169,17 +189,24 @@ def shared_counts(docs: DataFrame) -> DataFrame:
         hit = order[np.repeat(length > 1, length)]
         hit = hit[hit < len(keys)]
         ids, n = np.unique(doc[hit], return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([sizes[:, 0], ids])), pa.array(np.concatenate([sizes[:, 1], np.zeros(len(ids), dtype=np.int64)])), pa.array(np.concatenate([sizes[:, 2], n]))],
-            names=["doc_id", "n", "shared"],
-        )
+        found = np.stack([ids, np.zeros(len(ids), dtype=np.int64), n], axis=1)
+        yield _pack(np.concatenate([sizes, found]), parts)
+
+    def total(batches):
+        rows = _unpack(batches, 3)
+        ids, at = np.unique(rows[:, 0], return_inverse=True)
+        n, shared = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        np.maximum.at(n, at, rows[:, 1])
+        np.add.at(shared, at, rows[:, 2])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(shared)], names=["doc_id", "n", "shared"])
 
     dealt = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(deal, DEALT).repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(count, "doc_id long, n long, shared long").groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    by_doc = dealt.mapInArrow(count, PACKED).repartitionById(parts, F.col("part"))
+    return by_doc.mapInArrow(total, "doc_id long, n long, shared long")
 
 
-def grams_of(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n``, ``digest`` of the set, and the set itself as ascending 64-bit numbers (``grams``)."""
+def _sets_of(docs: DataFrame, columns: str, cells) -> DataFrame:
+    """``doc_id`` and further columns made of each text's set; ``cells``: sets and sizes to Arrow arrays."""
 
     def run(batches):
         for batch in batches:
@@ -187,12 +214,19 @@ def grams_of(docs: DataFrame) -> DataFrame:
                 own, sizes = gram_sets(texts)
                 at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 blobs = [own[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(sizes), pa.array([hashlib.blake2b(b, digest_size=16).digest() for b in blobs], pa.binary()), pa.array(blobs, pa.binary())],
-                    names=["doc_id", "n", "digest", "grams"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *cells(blobs, sizes)], names=["doc_id", *(c.split()[0] for c in columns.split(", "))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, grams binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {columns}")
+
+
+def digests_of(docs: DataFrame) -> DataFrame:
+    """``doc_id``, size ``n`` and ``digest`` of each set."""
+    return _sets_of(docs, "n long, digest binary", lambda blobs, sizes: [pa.array(sizes), pa.array([hashlib.blake2b(b, digest_size=16).digest() for b in blobs], pa.binary())])
+
+
+def grams_of(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and its set as ascending 64-bit numbers (``grams``)."""
+    return _sets_of(docs, "grams binary", lambda blobs, sizes: [pa.array(blobs, pa.binary())])
 
 
 def rank_of(ids: np.ndarray) -> np.ndarray:
@@ -200,9 +234,67 @@ def rank_of(ids: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
 
 
+def heavy_grams(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (range and residue) of the most frequent n-grams, ascending, and how many sets hold each. At most HEAVY."""
+    parts = width(sets.sparkSession)
+
+    def deal(batches):
+        grams, held = [], 0
+
+        def flush():
+            own, n = np.unique(np.concatenate(grams), return_counts=True)
+            part, residue = _parts_of(own, parts)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            residue, n = residue[order], np.minimum(n[order], 65535).astype(np.uint16)
+            used = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            blobs = [[x[cut[p] : cut[p + 1]].tobytes() for p in used] for x in (residue, n)]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "residues", "counts"])
+
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                grams.append(np.frombuffer(blob, dtype=np.uint64))
+                held += len(grams[-1])
+                if held >= CHUNK:
+                    yield flush()
+                    grams, held = [], 0
+        if held:
+            yield flush()
+
+    def most(batches):
+        found = [(p, r, c) for batch in batches for p, r, c in zip(*(col.to_pylist() for col in batch.columns))]
+        if not found:
+            return
+        residue = np.concatenate([np.frombuffer(r, dtype=np.uint32) for _, r, _ in found])
+        n = np.concatenate([np.frombuffer(c, dtype=np.uint16) for _, _, c in found]).astype(np.int64)
+        part = np.repeat([p for p, _, _ in found], [len(r) // 4 for _, r, _ in found])
+        key, at = np.unique((part.astype(np.uint64) << np.uint64(32)) | residue, return_inverse=True)
+        total = np.bincount(at, n).astype(np.int64)
+        top = np.argsort(-total, kind="stable")[: HEAVY // parts]
+        top = np.sort(top[total[top] >= OFTEN])
+        yield pa.RecordBatch.from_arrays([pa.array([key[top].tobytes()], pa.binary()), pa.array([total[top].tobytes()], pa.binary())], names=["keys", "counts"])
+
+    dealt = sets.select("grams").mapInArrow(deal, "part int, residues binary, counts binary").repartitionById(parts, F.col("part"))
+    rows = dealt.mapInArrow(most, "keys binary, counts binary").collect()
+    keys = np.concatenate([np.empty(0, dtype=np.uint64), *(np.frombuffer(r["keys"], dtype=np.uint64) for r in rows)])
+    counts = np.concatenate([np.empty(0, dtype=np.int64), *(np.frombuffer(r["counts"], dtype=np.int64) for r in rows)])
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def block_members(sets: DataFrame) -> DataFrame:
     """``hub`` and ``doc_id``: the blocks that each set is in."""
     parts = width(sets.sparkSession)
+    heavy = sets.sparkSession.sparkContext.broadcast(heavy_grams(sets))
+
+    def frequency(grams: np.ndarray) -> np.ndarray:
+        keys, counts = heavy.value
+        if not len(keys):
+            return np.zeros(len(grams), dtype=np.int64)
+        part, residue = _parts_of(grams, parts)
+        own = (part.astype(np.uint64) << np.uint64(32)) | residue
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        return np.where(keys[at] == own, counts[at], 0)
 
     def deal(batches):
         ids, owners, grams, held = [], [], [], 0
@@ -213,7 +305,7 @@ def block_members(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = np.frombuffer(blob, dtype=np.uint64)
-                own = own[: len(own) - need(len(own)) + 1]
+                own = own[np.argsort(frequency(own), kind="stable")[: len(own) - need(len(own)) + 1]]
                 owners.append(np.full(len(own), len(ids)))
                 ids.append(doc)
                 grams.append(own)
@@ -229,13 +321,17 @@ def block_members(sets: DataFrame) -> DataFrame:
         order = np.lexsort((rank_of(doc), keys))
         start, length = _runs(keys[order])
         doc = doc[order]
-        hub = np.repeat(doc[start], length)
         met = np.repeat(length > 1, length)
-        pair = np.unique(np.stack([hub[met], doc[met]], axis=1), axis=0) if met.any() else np.empty((0, 2), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["hub", "doc_id"])
+        pairs = np.stack([np.repeat(doc[start], length)[met], doc[met]], axis=1)
+        yield _pack(np.unique(pairs, axis=0) if len(pairs) else pairs, parts)
+
+    def once(batches):
+        pairs = _unpack(batches, 2)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["hub", "doc_id"])
 
     dealt = sets.select("doc_id", "grams").mapInArrow(deal, DEALT).repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(meet, "hub long, doc_id long").distinct()
+    return dealt.mapInArrow(meet, PACKED).repartitionById(parts, F.col("part")).mapInArrow(once, "hub long, doc_id long")
 
 
 def link_block(sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -320,17 +416,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     counts = materialise(shared_counts(docs), "gram-counts")
     going = counts.where(f"n > 0 and 100 * shared >= {PERCENT} * n").select("doc_id")
     few = going.count() <= BROADCAST_IDS
-    sets = materialise(grams_of(docs.join(F.broadcast(going) if few else going, "doc_id", "left_semi")), "gram-sets")
+    near = docs.join(F.broadcast(going) if few else going, "doc_id", "left_semi")
+    sets = materialise(digests_of(near), "gram-digests")
     classes = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "gram-classes")
-    reps = classes.withColumnRenamed("rep", "doc_id")
-    own = sets.join(F.broadcast(reps) if few else reps, ["doc_id", "digest"], "left_semi")
-    edges = link_edges(block_members(own), own)
+    reps = classes.select(F.col("rep").alias("doc_id"))
+    own = grams_of(docs.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi"))
+    own = materialise(own, "gram-reps")  # read for frequencies, for meeting places and for the products
+    edges = link_edges(materialise(block_members(own), "gram-blocks"), own)
     found = components(materialise(edges, "gram-edges"))
     member = sets.select("doc_id", "digest").join(classes, "digest").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     known = counts.join(member, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     lost = docs.where("doc_id is null")
-    return known.unionByName(grams_of(lost).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    return known.unionByName(digests_of(lost).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
