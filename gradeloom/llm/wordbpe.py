@@ -14,13 +14,16 @@ import os
 from unicodedata import is_normalized
 
 import numpy as np
+import regex
 
 from .textkernel import HashTable, join_texts, word_hashes, words
 
-#: Words in the cache (about 25 MB) and among the letters kept as text beside it.
-CACHE_WORDS = 350_000
-CORE_WORDS = 30_000
-MARKS = (b",", b".")
+#: Words in the cache (about 60 MB) and runs kept as text beside it.
+CACHE_WORDS = 800_000
+RUN_WORDS = 50_000
+# Fixed value: how word_bpe_49k.json cuts text into runs.
+RUNS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+RUNS = regex.compile(RUNS_PATTERN)
 CUTS = np.zeros(256, dtype=bool)
 CUTS[[10, 32]] = True
 
@@ -45,6 +48,7 @@ def exact_by_words(spec: dict) -> bool:
         and spec["normalizer"]["normalizers"][1].get("pattern") == {"Regex": "\\s+"}
         and bool(splits)
         and splits[0].get("type") == "Split"
+        and splits[0].get("pattern") == {"Regex": RUNS_PATTERN}
         and splits[0].get("behavior") == "Removed"
         and splits[0].get("invert") is True
         and [s.get("type") for s in splits[1:]] == ["ByteLevel"]
@@ -68,53 +72,53 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.by_words = exact_by_words(json.load(f))
         self.cache_words = cache_words
-        self.marks: dict[bytes, np.ndarray] = {}
-        if self.by_words:
-            self.marks = dict(zip(MARKS, self._whole([m.decode() for m in MARKS])))
         self._clear()
 
     def _clear(self) -> None:
         self.table = HashTable()
         self.ids = np.empty(1 << 16, dtype="<u4")
         self.ends = np.zeros(1 << 16, dtype=np.int64)  # of row i: ids[ends[i] : ends[i + 1]]
-        self.cores: dict[bytes, np.ndarray] = {}
+        self.runs: dict[str, list[int]] = {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of single words. A word of letters alone, lower-case and composed, is one run: the tokenizer's normalising and
-        cutting leave it as it is, and its model is asked at once."""
-        out: list[np.ndarray | None] = []
-        rest = []
-        ask = self.tokenizer.model.tokenize
-        for w in words:
-            s = w.decode()
-            if w.isalpha() or (s.isalpha() and max(s) < "\u0250" and s == s.lower() and is_normalized("NFC", s)):
-                out.append(np.array([t.id for t in ask(w.decode("latin-1").translate(BYTE_LETTERS))], dtype="<u4"))
-            else:
-                rest.append(len(out))
-                out.append(None)
-        for i, ids in zip(rest, self._whole([words[i].decode() for i in rest])):
-            out[i] = ids
-        return out
+    def _pieces(self, word: bytes) -> list[str] | None:
+        """The runs that the tokenizer cuts a word into, if it leaves their letters as they are; else null.
+
+        That holds for visible characters below U+0250 that are lower-case and composed."""
+        if word.isalpha():
+            return [word.decode()]
+        s = word.decode()
+        if s.isascii():
+            return RUNS.findall(s) if s.isprintable() else None
+        plain = max(s) < "\u0250" and s.isprintable() and s == s.lower() and is_normalized("NFC", s)
+        return ([s] if s.isalpha() else RUNS.findall(s)) if plain else None
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Add words to the table. Of letters with one mark after them, the letters are encoded: the mark is a run of its own."""
-        plan = [(w[:-1], w[-1:]) if w[-1:] in self.marks and w[:-1].isalpha() else (w, b"") for w in words]
-        ask = list(dict.fromkeys(core for core, _ in plan if core not in self.cores))
-        self.cores.update(zip(ask, self._ids(ask)))
-        parts = []
-        sizes = np.empty(len(words), dtype=np.int64)
-        for i, (core, mark) in enumerate(plan):
-            parts.append(self.cores[core])
-            sizes[i] = len(parts[-1])
-            if mark:
-                parts.append(self.marks[mark])
-                sizes[i] += len(parts[-1])
-        if len(self.cores) > CORE_WORDS:
-            self.cores = {}
-        new = np.concatenate(parts)
+        """Add words to the table. Runs go to the tokenizer's model at once, other words through all its steps."""
+        if len(self.runs) > RUN_WORDS:
+            self.runs = {}
+        known, tokenize = self.runs, self.tokenizer.model.tokenize
+        sizes, whole, flat = np.empty(len(words), dtype=np.int64), [], []
+        for i, w in enumerate(words):
+            before = len(flat)
+            pieces = self._pieces(w)
+            if pieces is None:
+                whole.append(i)
+            else:
+                for p in pieces:
+                    ids = known.get(p)
+                    if ids is None:
+                        ids = known[p] = [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LETTERS))]
+                    flat += ids
+            sizes[i] = len(flat) - before
+        if whole:  # they come last
+            order = np.concatenate([np.setdiff1d(np.arange(len(words)), whole), whole])
+            found = self._whole([words[i].decode() for i in whole])
+            sizes[whole] = [len(x) for x in found]
+            hashes, sizes = hashes[order], sizes[order]
+        new = np.concatenate([np.array(flat, dtype="<u4"), *(found if whole else [])])
         rows, used = self.table.size, int(self.ends[self.table.size])
         while len(self.ids) < used + len(new):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
