@@ -13,14 +13,19 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space at its ends (trim takes blanks alone)."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def present(c: Column | str) -> Column:
     """The value, or null if it is blank."""
-    return F.when(F.trim(col(c)) != "", col(c))
+    return F.when(strip(c) != "", col(c))
 
 
 def first_text(*columns: Column | str) -> Column:
     """First non-blank alias, trimmed; an empty string without one."""
-    return F.coalesce(*(F.trim(present(c)) for c in columns), F.lit(""))
+    return F.coalesce(*(strip(present(c)) for c in columns), F.lit(""))
 
 
 def first_raw(*columns: Column | str) -> Column:
@@ -30,7 +35,7 @@ def first_raw(*columns: Column | str) -> Column:
 
 def text_list(values: Column | str) -> Column:
     """Trimmed elements that aren't blank."""
-    trimmed = F.transform(F.coalesce(col(values), F.array().cast("array<string>")), F.trim)
+    trimmed = F.transform(F.coalesce(col(values), F.array().cast("array<string>")), lambda x: strip(x))
     return F.filter(trimmed, lambda x: x.isNotNull() & (x != ""))
 
 
@@ -107,18 +112,18 @@ def numbers_in(c: Column | str) -> Column:
 
 def code_fence(c: Column | str) -> Column:
     """Content of the first code fence, trimmed; empty without one."""
-    return F.trim(F.regexp_extract(col(c), r"(?is)```(?:python|py|json)?\s*(.*?)```", 1))
+    return strip(F.regexp_extract(col(c), r"(?is)```(?:python|py|json)?\s*(.*?)```", 1))
 
 
 def completion_code(c: Column | str) -> Column:
     """Code in a model's completion: the ``final_code`` of a JSON object, else the first fence, else the text."""
     asked = F.get_json_object(F.coalesce(F.nullif(code_fence(c), F.lit("")), col(c)), "$.final_code")
     plain = F.get_json_object(col(c), "$.final_code")
-    return F.coalesce(present(plain), present(asked), present(code_fence(c)), F.trim(col(c)))
+    return F.coalesce(present(plain), present(asked), present(code_fence(c)), strip(c))
 
 
 def context_summary(c: Column | str, lines: int = 8, chars: int = 480) -> Column:
     """First lines that aren't blank, at most ``chars`` characters."""
-    kept = F.slice(F.filter(F.transform(F.split(col(c), r"\r\n|[\n\r]"), F.rtrim), lambda x: F.trim(x) != ""), 1, lines)
-    text = F.trim(F.array_join(kept, "\n"))
+    ends = F.transform(F.split(col(c), r"\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    text = strip(F.array_join(F.slice(F.filter(ends, lambda x: x != ""), 1, lines), "\n"))
     return F.when(F.length(text) > chars, F.concat(F.rtrim(F.substring(text, 1, chars - 3)), F.lit("..."))).otherwise(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.functions import text as T
 from gradeloom.functions.text import digest12
 
 
@@ -108,7 +109,7 @@ def merged_state(operators: DataFrame, patch: str = "patch") -> DataFrame:
 
 def prompt_text(problem: Column, requirements: Column, generic: list[str]) -> Column:
     """A prompt with its distinct requirements that aren't generic, numbered."""
-    own = F.array_distinct(F.filter(F.transform(requirements, F.trim), lambda r: (r != "") & ~F.lower(r).isin(*[g.lower() for g in generic])))
+    own = F.array_distinct(F.filter(F.transform(requirements, lambda x: T.strip(x)), lambda r: (r != "") & ~F.lower(r).isin(*[g.lower() for g in generic])))
     lines = F.transform(own, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r))
     return F.when(F.size(own) > 0, F.concat_ws("\n", problem, F.lit("Requirements:"), F.array_join(lines, "\n"))).otherwise(problem)
 

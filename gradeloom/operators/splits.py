@@ -35,6 +35,8 @@ def quotas(groups: int, ratios: dict[str, float]) -> dict[str, int]:
         giver = next((s for s in ("test", "dev") if n[s] > 0), None)
         if giver:
             n[giver] -= 1
+    n["dev"] = max(0, min(n["dev"], groups - n["train"]))  # train comes first where the rules ask for more than there is
+    n["test"] = groups - n["train"] - n["dev"]
     return n
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.functions import text as T
 from gradeloom.functions.text import context_summary, first_raw, first_text, slug
 from gradeloom.operators.taxonomy import PLACEHOLDER
 
@@ -34,7 +35,7 @@ def resource_files(record: Column) -> Column:
         as_list = F.coalesce(F.from_json(raw, "array<string>"), F.map_values(F.from_json(raw, "map<string,string>")), F.when(F.trim(raw) != "", F.array(raw)))
         path = lambda x: F.when(x.startswith("{"), F.coalesce(field(x, "path"), field(x, "name"), field(x, "file"))).otherwise(x)
         lists.append(F.coalesce(F.transform(as_list, path), F.array().cast("array<string>")))
-    return F.array_distinct(F.filter(F.transform(F.flatten(F.array(*lists)), F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.array(*lists)), lambda x: T.strip(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def normalize(raw: DataFrame, split: str = "train", record: str = "value") -> DataFrame:

@@ -77,7 +77,7 @@ def write_document(spark: SparkSession, path: str, value) -> None:
 
 
 def read_document(spark: SparkSession, path: str):
-    rows = spark.read.option("wholetext", True).text(path).collect() if exists(spark, path) else []
+    rows = spark.read.text(path, wholetext=True).collect() if exists(spark, path) else []
     return json.loads(rows[0]["value"]) if rows else None
 
 
