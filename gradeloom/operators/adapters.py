@@ -121,7 +121,7 @@ def execute(cases: DataFrame, key: list[str], timeout: float = 15.0) -> DataFram
             out["output"] = [json.dumps({k: v for k, v in f.items() if k not in ("ok", "error")}) for f in found]
             yield out
 
-    return cases.select(*key, "code", "setup_code", "call_code").mapInPandas(run, schema)
+    return cases.select(*dict.fromkeys([*key, "code", "setup_code", "call_code"])).mapInPandas(run, schema)
 
 
 #: Limits of tool calls by level: in all, and per tool.
