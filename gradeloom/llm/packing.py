@@ -4,8 +4,9 @@
 2. The histogram of piece lengths, at most ``length`` rows, goes to the driver. ``pack_histogram`` places lengths longest
    first into the pack with the most room, for whole counts at a time: it keeps packing patterns and their counts,
    never single pieces. Its work depends on the number of lengths, not of documents.
-3. Pieces are ranked inside their length (in hash buckets, so that no length lands in one task), and a rank names the
-   pattern, the pack and the slot of its piece by binary search in the table of patterns.
+3. Pieces are ranked inside their length (in hash buckets, so that no length lands in one task; the buckets' counts, at
+   most ``length`` x RANK_BUCKETS numbers, give each bucket's first rank), and a rank names the pattern, the pack and the
+   slot of its piece by binary search in the table of patterns.
 
 Full pieces need no room from others, so only remainders are really packed. Padding is what the last packs leave free.
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialise
-from .wordbpe import encoder, text_slices
+from .wordbpe import encoder, forget, text_slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -128,39 +129,35 @@ def placement(patterns: list[tuple[dict[int, int], int]], length: int) -> dict[s
 def pack(pieces: DataFrame, length: int) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a table of pieces (``doc_id``, ``start``, ``length`` and further columns)."""
     bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_BUCKETS)).cast("int")
-    cells = pieces.groupBy("length", bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    cells = materialise(cells, "pack-cells")  # at most length x RANK_BUCKETS rows
-    counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    cells = pieces.groupBy("length", bucket.alias("bucket")).agg(F.count("*").alias("n")).toArrow()  # at most length x RANK_BUCKETS rows
+    table = np.zeros((length + 1, RANK_BUCKETS), dtype=np.int64)
+    table[cells["length"].to_numpy(), cells["bucket"].to_numpy()] = cells["n"].to_numpy()
+    counts = {size: int(n) for size, n in enumerate(table.sum(1)) if n}
     places = placement(pack_histogram(counts, length), length)
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")
-    ranked = (
-        pieces.withColumn("bucket", bucket)
-        .withColumn("own", F.row_number().over(own) - 1)
-        .join(offsets, ["length", "bucket"])
-        .withColumn("rank", F.col("before") + F.col("own"))
-        .drop("before", "own", "bucket")
-    )
+    before = np.cumsum(table, axis=1) - table
+    shared = pieces.sparkSession.sparkContext.broadcast((places, before))
+    own = Window.partitionBy("length", "__bucket").orderBy("doc_id", "start")
+    ranked = pieces.withColumn("__bucket", bucket).withColumn("__own", F.row_number().over(own))
     wide = np.int64(1) << 44
-    keys = places["size"] * wide + places["rank"]
 
     def place(batches):
+        forget()
+        places, before = shared.value
+        keys = places["size"] * wide + places["rank"]
         for batch in batches:
-            size = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False)
+            size, bucket, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "__bucket", "__own"))
+            rank = before[size, bucket] + own - 1
             at = np.searchsorted(keys, size * wide + rank, side="right") - 1
-            inside = rank - places["rank"][at] if len(at) else rank
+            inside = rank - places["rank"][at]
             each = places["each"][at]
-            out = batch.drop_columns(["rank"]) if hasattr(batch, "drop_columns") else batch.select([c for c in batch.schema.names if c != "rank"])
             yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(places["sequence"][at] + inside // each), pa.array(places["offset"][at] + inside % each * size)],
-                names=[*out.schema.names, "sequence_id", "offset"],
+                [*(batch.column(c) for c in names), pa.array(places["sequence"][at] + inside // each), pa.array(places["offset"][at] + inside % each * size)],
+                names=[*names, "sequence_id", "offset"],
             )
 
-    names = [c for c in ranked.columns if c != "rank"]
-    schema = ", ".join(f"`{c}` {ranked.schema[c].dataType.simpleString()}" for c in names)
-    return ranked.select(*names, "rank").mapInArrow(place, schema + ", sequence_id long, offset long").select(*pieces.columns, "sequence_id", "offset")
+    names = pieces.columns
+    schema = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in names)
+    return ranked.select(*names, "__bucket", "__own").mapInArrow(place, schema + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096) -> DataFrame:

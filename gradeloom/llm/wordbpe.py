@@ -168,6 +168,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop this process's encoders: Python workers are reused by later stages, which have no use for their caches."""
+    _ENCODERS.clear()
+
+
 def text_slices(column, most_bytes: int = 1_000_000):
     """Slices of an Arrow string column whose texts together stay near ``most_bytes``: yields (first row, texts)."""
     texts, first, size = [], 0, 0
