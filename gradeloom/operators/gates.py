@@ -259,3 +259,73 @@ def safety_flags(text: Column, phrases: dict[str, list[str]]) -> Column:
     """Names of the rules whose phrases a text contains."""
     t = F.lower(F.coalesce(text, F.lit("")))
     return reasons(*((holds_any(t, words), name) for name, words in phrases.items()))
+
+
+# Codes of an incomplete result, by what is missing.
+ARTIFACTS = {
+    "operators": "EMPTY_OPERATOR_INSTANCES",
+    "operator_reports": "EMPTY_OPERATOR_REALIZATION_REPORT",
+    "scaled_cases": "EMPTY_SCALED_ORACLE_CASES",
+    "validated_cases": "EMPTY_VALIDATED_ORACLE_CASES",
+}
+TEXT_ARTIFACTS = {"gold_solution": "EMPTY_SCALED_GOLD", "user_prompt": "EMPTY_FINAL_PROMPT", "scaling_plan": "EMPTY_SCALING_PLAN"}
+
+
+def artifact_gate(envs: DataFrame) -> DataFrame:
+    """Gate over what a scaled environment must carry (arrays and texts of ARTIFACTS), its ``operator_severity``, the severities of earlier
+    gates (``prior_gates``: map of name to severity) and its tool configuration's ``violations``."""
+    none = F.array().cast("array<string>")
+    empty = [(F.coalesce(F.size(c), F.lit(0)) <= 0, code) for c, code in ARTIFACTS.items()]
+    blank = [(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", code) for c, code in TEXT_ARTIFACTS.items()]
+    bad = F.map_filter(F.coalesce("prior_gates", F.create_map().cast("map<string,string>")), lambda k, v: v.isin("soft_fail", "hard_fail"))
+    prior = F.transform(F.map_entries(bad), lambda e: F.concat_ws("_", F.upper(e["key"]), F.upper(e["value"])))
+    own = reasons(
+        (F.col("operator_severity").isNull(), "OPERATOR_REALIZATION_REPORT_MISSING"),
+        (F.col("operator_severity") == "hard_fail", "OPERATOR_REALIZATION_HARD_FAIL"),
+        (F.col("operator_severity") == "soft_fail", "OPERATOR_REALIZATION_SOFT_FAIL"),
+    )
+    tools = F.transform(F.coalesce("violations", none), lambda v: F.concat(F.lit("TOOL_BUDGET_MISMATCH: "), v))
+    warned = reasons((F.col("operator_severity") == "pass_with_warning", "OPERATOR_REALIZATION_PASS_WITH_WARNING"))
+    hard = (*ARTIFACTS.values(), *TEXT_ARTIFACTS.values(), "OPERATOR_REALIZATION_REPORT_MISSING", "OPERATOR_REALIZATION_HARD_FAIL", "TOOL_BUDGET_MISMATCH")
+    return envs.withColumn("gate", gate("artifact_integrity_gate", F.concat(tools, reasons(*empty, *blank), own, F.array_sort(prior)), warned, hard))
+
+
+def hidden_tests_gate(envs: DataFrame) -> DataFrame:
+    """Gate over hidden tests: ``tests``, ``semantic_tests``, ``weak_tests``, ``untargeted_tests``, ``without_failure_mode`` (counts), ``v_intensity``, ``execution_errors``."""
+    c = F.col
+    failures = F.concat(
+        F.coalesce("execution_errors", F.array().cast("array<string>")),
+        reasons(
+            (c("weak_tests") > 0, "WEAK_HIDDEN_TEST"),
+            (c("untargeted_tests") > 0, "UNTARGETED_HIDDEN_TEST"),
+            ((c("tests") == 0) | ((c("v_intensity") > 0) & (c("semantic_tests") == 0)), "NO_VALID_SEMANTIC_HIDDEN_TEST"),
+            ((c("semantic_tests") > 0) & (c("semantic_tests") < c("v_intensity")), "V_NOT_ENOUGH_SEMANTIC_TESTS"),
+        ),
+    )
+    return envs.withColumn("gate", gate("hidden_tests_quality_gate", failures, reasons((c("without_failure_mode") > 0, "MISSING_EXPECTED_FAILURE_MODE")), ("NO_VALID_SEMANTIC_HIDDEN_TEST",)))
+
+
+def consistency_gate(envs: DataFrame) -> DataFrame:
+    """Gate over the chain of added requirements, gold, tests and verifier: ``gold_solution``, ``seed_gold``, ``gold_changed``, ``answer_invariant``, ``change_reason``,
+    ``requirements``, ``tested``, ``verified`` (arrays of requirement ids), ``verifier_state`` (text), ``operator_severity``."""
+    c = F.col
+    text = lambda x: F.trim(F.coalesce(c(x), F.lit("")))
+    same = text("gold_solution") == text("seed_gold")
+    added = F.size("requirements") > 0
+    untested, unverified = F.array_except("requirements", "tested"), F.array_except("requirements", "verified")
+    broken = F.size(F.array_intersect(untested, unverified)) > 0
+    failures = reasons(
+        (text("gold_solution") == "", "SCALED_GOLD_MISSING"),
+        (same & c("gold_changed") & ~c("answer_invariant"), "SEED_GOLD_REUSED_WITHOUT_JUSTIFICATION"),
+        (c("answer_invariant") & (text("change_reason") == ""), "GOLD_INVARIANT_WITHOUT_JUSTIFICATION"),
+        (added & (F.size(F.array_intersect("requirements", "tested")) == 0), "NO_TEST_COVERS_NEW_REQUIREMENT"),
+        (text("verifier_state") == "", "VERIFIER_STATE_EMPTY"),
+        (added & (F.size(F.array_intersect("requirements", "verified")) == 0), "VERIFIER_DOES_NOT_KNOW_NEW_REQUIREMENT"),
+        (broken, "REQUIREMENT_CHAIN_BROKEN"),
+    )
+    warned = reasons(
+        (added & (F.size(untested) > 0), "ADDED_REQUIREMENT_NOT_TESTED"),
+        (added & (F.size(unverified) > 0), "PARTIAL_VERIFIER_REQUIREMENT_COVERAGE"),
+        (c("operator_severity").isin("soft_fail", "hard_fail"), "OPERATOR_REALIZATION_ALREADY_FAILED"),
+    )
+    return envs.withColumn("gate", gate("scaled_task_consistency_gate", failures, warned, ("SCALED_GOLD_MISSING", "NO_TEST_COVERS_NEW_REQUIREMENT", "REQUIREMENT_CHAIN_BROKEN")))
