@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     the logarithm of a component's diameter.
     """
     clean = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now = materialise(clean, "edges")
+    now = materialise(clean, "edges", small=True)
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
-        after = materialise(small, "edges")
+        after = materialise(small, "edges", small=True)
         new = _mark(after)
         discard(now)
         now = after

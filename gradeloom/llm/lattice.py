@@ -236,8 +236,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98) -> DataFrame:
     classes = rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
     classes = materialise(classes, "vector-classes")
     vectors = classes.select(F.col("rep").alias("vec_id"), "label", "embedding", "times")
-    members = materialise(block_members(vectors), "vector-blocks")
-    found = materialise(components(materialise(link_edges(members, vectors, threshold), "vector-edges")), "vector-components")
+    members = materialise(block_members(vectors), "vector-blocks", small=True)
+    found = materialise(components(materialise(link_edges(members, vectors, threshold), "vector-edges")), "vector-components", small=True)
     linked = count_links(found, vectors, threshold)
     known = (
         classes.withColumnRenamed("rep", "node")

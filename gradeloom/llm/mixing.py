@@ -90,7 +90,7 @@ def leaf_budgets(tokens: DataFrame, weights: dict[str, dict[str, float]], share:
 
     The whole budget is ``share`` of all tokens."""
     names = [f"leaf_{k}" for k in LEVELS]
-    leaves = materialise(tokens.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
+    leaves = materialise(tokens.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-leaves", small=True)
     total = leaves.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     budget: DataFrame | None = None
     for depth, level in enumerate(LEVELS):
@@ -112,7 +112,7 @@ def turn(epoch: Column, seed: int = SEED) -> Column:
 def mixing_plan(tokens: DataFrame, weights: dict[str, dict[str, float]], share: float, epochs: int, seed: int = SEED) -> DataFrame:
     """Leaf budgets with the cut of the rest: ``cut_turn``, ``cut_id``, ``cut_mark``, and ``cut_take``, the tokens taken of that document."""
     names = [f"leaf_{k}" for k in LEVELS]
-    plan = materialise(leaf_budgets(tokens, weights, share, epochs), "mix-budgets")
+    plan = materialise(leaf_budgets(tokens, weights, share, epochs), "mix-budgets", small=True)
     small = plan.count() <= BROADCAST_LEAVES
     partial = plan.where("rest > 0").select(*names, "full", "rest")
     rows = tokens.join(F.broadcast(partial) if small else partial, names).withColumn("turn", turn(F.col("full"), seed))
@@ -146,7 +146,7 @@ def selected(rows: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
 def mix(docs: DataFrame, tokenizer: str, end_id: int, weights: dict[str, dict[str, float]] | None = None, share: float = 0.8, epochs: int = 3) -> DataFrame:
     """A row for each document and epoch that is taken: leaf, ``epoch``, ``tokens``, and ``take``, the tokens of its prefix that are taken."""
     tokens = materialise(count_tokens(docs, tokenizer, end_id), "mix-tokens")
-    plan = materialise(mixing_plan(tokens, weights or WEIGHTS, share, epochs), "mix-plan")
+    plan = materialise(mixing_plan(tokens, weights or WEIGHTS, share, epochs), "mix-plan", small=True)
     taken = selected(tokens, plan)
     return taken.select(
         "doc_id",
@@ -160,7 +160,7 @@ def mix(docs: DataFrame, tokenizer: str, end_id: int, weights: dict[str, dict[st
 def mix_documents(docs: DataFrame, tokenizer: str, end_id: int, weights: dict[str, dict[str, float]] | None = None, share: float = 0.9) -> DataFrame:
     """The rows of ``docs`` that one epoch's budgets take, with all their columns; a document at a cut stays whole."""
     tokens = materialise(count_tokens(docs, tokenizer, end_id), "mix-tokens")
-    plan = materialise(mixing_plan(tokens, weights or WEIGHTS, share, 1), "mix-plan")
+    plan = materialise(mixing_plan(tokens, weights or WEIGHTS, share, 1), "mix-plan", small=True)
     renamed = {c: f"__own_{c}" for c in docs.columns if c in ("mark", "turn", "epoch", "full", "rest") or c.startswith(("leaf_", "cut_"))}
     rows = with_leaves(docs.withColumnsRenamed(renamed)).withColumn("mark", F.xxhash64(F.col("text")))
     return selected(rows, plan).select(*(F.col(renamed.get(c, c)).alias(c) for c in docs.columns))

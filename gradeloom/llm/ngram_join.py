@@ -413,16 +413,16 @@ def link_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document of ``docs`` (``doc_id``, ``text``)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    counts = materialise(shared_counts(docs), "gram-counts")
+    counts = materialise(shared_counts(docs), "gram-counts", small=True)
     going = counts.where(f"n > 0 and 100 * shared >= {PERCENT} * n").select("doc_id")
     few = going.count() <= BROADCAST_IDS
     near = docs.join(F.broadcast(going) if few else going, "doc_id", "left_semi")
     sets = materialise(digests_of(near), "gram-digests")
-    classes = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "gram-classes")
+    classes = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "gram-classes", small=True)
     reps = classes.select(F.col("rep").alias("doc_id"))
     own = grams_of(docs.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi"))
     own = materialise(own, "gram-reps")  # read for frequencies, for meeting places and for the products
-    edges = link_edges(materialise(block_members(own), "gram-blocks"), own)
+    edges = link_edges(materialise(block_members(own), "gram-blocks", small=True), own)
     found = components(materialise(edges, "gram-edges"))
     member = sets.select("doc_id", "digest").join(classes, "digest").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
@@ -433,5 +433,5 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
-    gone = materialise(jaccard_components(docs).where("doc_id <> component_id").select("doc_id"), "gram-gone")
+    gone = materialise(jaccard_components(docs).where("doc_id <> component_id").select("doc_id"), "gram-gone", small=True)
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)

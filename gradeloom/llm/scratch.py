@@ -42,9 +42,14 @@ def small_batches(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back; Spark's committer makes retries safe."""
+def materialise(df: DataFrame, name: str, small: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; Spark's committer makes retries safe.
+
+    ``small``: rows of a few numbers that an exchange has gathered; an eighth of the shuffle partitions write them, so that they don't
+    make as many files as there are partitions."""
     path = scratch_path(df.sparkSession, name)
+    if small:
+        df = df.coalesce(max(8, width(df.sparkSession) // 8))
     with small_batches(df.sparkSession):
         df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
