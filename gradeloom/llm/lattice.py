@@ -15,7 +15,7 @@ Vectors at the threshold of 0.98 meet in one table with probability 0.77 and so
 more. Recall is measured against brute force in the tests.
 
 Defined cases: rows with a null label, a null, empty or zero vector, or one with null or non-finite components link with
-nothing. Vectors of different lengths aren't compared. Rows with a null vec_id are left alone (component null). Repeated vec_ids
+nothing. Vectors of different lengths aren't compared. Rows with a null vec_id are left alone (component null, kept). Repeated vec_ids
 are one vector each, but share one row's component. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -252,5 +252,5 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98) -> DataFrame:
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
-        (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"),
+        F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
     )

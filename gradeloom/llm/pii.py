@@ -247,9 +247,10 @@ def span_digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in square brackets; overlapping spans become one."""
-    found = find_spans(docs.withColumnRenamed("base", "__own_base").withColumnRenamed("spans", "__own_spans"), [c if c not in ("base", "spans") else f"__own_{c}" for c in docs.columns], text_col)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))  # names can't clash inside
+    found = find_spans(rows, ["row", "text"])
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.col(text_col)
+    text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
@@ -259,8 +260,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)
-    out = found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text))
-    if "n_chars" in docs.columns:
-        changed = F.when(F.size("spans") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", changed)
-    return out.select(*(F.col(c if c not in ("base", "spans") else f"__own_{c}").alias(c) for c in docs.columns))
+    hit = F.size("spans") > 0
+    out = found.select("row", hit.alias("hit"), F.when(hit, clean).otherwise(text).alias("clean"))
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: F.col("clean")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("hit"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return out.select(*(v.alias(c) for c, v in own.items()))

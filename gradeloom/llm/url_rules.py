@@ -84,7 +84,7 @@ def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
         canonical(F.col("host")).alias("key"),
         F.lit(1).alias("kind"),
         F.lit(None).cast(STACK).alias("stack"),
-        F.pmod(F.xxhash64(*(F.col(f"row.`{c}`") for c, t in pages.dtypes if c in kept and not t.startswith(("map", "variant")))), F.lit(splits)).cast("int").alias("split"),
+        F.pmod(F.xxhash64(*(F.col(f"row.`{c}`") for c, t in pages.dtypes if c in kept and "map<" not in t and "variant" not in t)), F.lit(splits)).cast("int").alias("split"),
     )
     row_type = urls.schema["row"].dataType.simpleString()
     events = (

@@ -56,7 +56,7 @@ def test_base_spans_against_plain_patterns(spark):
 
 def test_redaction(spark):
     rows = [(1, "Mail a.b@c.de or call +49 30 1234567890, from 10.0.0.1.", "x", 7), (2, "clean text 12", "y", 13), (3, None, "z", None), (4, "😀 4111 1111 1111 1111 ü", "w", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, base string, n_chars long")
+    df = spark.createDataFrame([(*r, "u", 5) for r in rows], "doc_id long, text string, base string, n_chars long, loose string, row int")
     got = {r.doc_id: r for r in pii.redact(df).collect()}
     assert got[1].text == "Mail [EMAIL] or call [PHONE], from [IP]." and got[1].n_chars == len(got[1].text) and got[1].base == "x"
     assert got[2].text == "clean text 12" and got[2].n_chars == 13
