@@ -124,7 +124,7 @@ def execute(cases: DataFrame, key: list[str], timeout: float = 15.0) -> DataFram
     return cases.select(*dict.fromkeys([*key, "code", "setup_code", "call_code"])).mapInPandas(run, schema)
 
 
-#: Limits of tool calls by level: in all, and per tool.
+# Limits of tool calls by level (in all, and of one tool), and turns.
 TOOL_LIMITS = {"M1": (6, 2), "M2": (7, 2), "M3": (9, 4), "M4": (11, 5)}
 TURNS = {"M1": 7, "M2": 7, "M3": 9, "M4": 12}
 

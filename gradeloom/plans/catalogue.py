@@ -292,19 +292,17 @@ def hint_topn(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """
-WITH b AS (SELECT item_id, trim(regexp_replace(lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)), '[^a-z0-9_ .:/+-]+', '', 'g')) AS words FROM benchmark),
-d AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[ \\t\\n\\f\\r]+', ' ', 'g'), '[^a-z0-9_ .:/+-]+', '', 'g')) AS t FROM conversations WHERE role = 'user')
-SELECT item_id, count(*) AS turns FROM b JOIN d ON words <> '' AND t <> '' AND (contains(t, words) OR contains(words, t)) GROUP BY item_id"""
+WITH t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[ \\t\\n\\f\\r]+', ' ', 'g'), '[^a-z0-9_ .:/+-]+', '', 'g')) AS p,
+  trim(regexp_replace(lower(split_part(text, ' ', 1)), '[^a-z0-9_ .:/+-]+', '', 'g')) AS w FROM conversations),
+r AS (SELECT conv_id, w FROM t WHERE turn = 0)
+SELECT r.conv_id, count(*) AS turns FROM r JOIN t ON r.conv_id = t.conv_id AND t.turn > 0 WHERE r.w <> '' AND t.p <> '' AND (contains(t.p, r.w) OR contains(r.w, t.p)) GROUP BY r.conv_id"""
 )
 def requirement_match(spark: SparkSession, sf: str) -> DataFrame:
-    """The first two words of benchmark items as requirements, user turns as covered texts; the items are a small table that is checked before it is broadcast."""
-    b = table(spark, sf, "benchmark").select("item_id", rubrics.plain(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))).alias("words"))
-    d = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", rubrics.plain(F.col("text")).alias("t"))
-    items = [(r["item_id"], r["words"]) for r in b.limit(10_001).collect()]
-    if len(items) > 10_000:
-        raise ValueError("more than 10000 requirements: give them a bucket key")
-    hit = F.filter(F.array(*(F.struct(F.lit(i).cast("long").alias("item_id"), F.lit(w).alias("words")) for i, w in items)), lambda x: rubrics.contains_either(F.col("t"), x["words"]))
-    return d.select(F.explode(hit).alias("h")).groupBy(F.col("h.item_id").alias("item_id")).agg(F.count("*").alias("turns"))
+    """A conversation's first word as its requirement, later turns as covered texts: the environment is the join key, containment the rest."""
+    c = table(spark, sf, "conversations")
+    r = c.where("turn = 0").select("conv_id", rubrics.plain(F.split_part("text", F.lit(" "), F.lit(1))).alias("w"))
+    t = c.where("turn > 0").select("conv_id", rubrics.plain(F.col("text")).alias("p"))
+    return r.join(t, "conv_id").where(rubrics.contains_either(F.col("w"), F.col("p"))).groupBy("conv_id").agg(F.count("*").alias("turns"))
 
 
 @query(
