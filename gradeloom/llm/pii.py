@@ -44,7 +44,7 @@ PATTERNS = {
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({]at[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({]dot[\])}] ?)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "phone": r"(?<![0-9+.-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
 }
 
 #: A cheap test that must hold for a text to have a match.
@@ -57,7 +57,7 @@ NEEDS = {
 LOOSE_NEEDS = {
     "email": lambda t: t.rlike(r"[\[({]at[\])}]"),
     "ip": lambda t: t.rlike(r":[0-9A-Fa-f]{1,4}:"),
-    "phone": lambda t: t.rlike(r"[0-9]{3}[ .-][0-9]{4}"),
+    "phone": lambda t: t.rlike(r"[0-9]{3}[ .-][0-9]{4}"),  # numbers without a plus, or that further digits made too long for the base format
 }
 
 #: Gazetteers: endings, issuers' first digits, dialling codes, reserved first numbers of addresses.

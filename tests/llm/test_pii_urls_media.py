@@ -64,6 +64,13 @@ def test_redaction(spark):
     assert pii.redact(df).columns == df.columns and pii.span_digests(df.limit(0)).count() == 0
 
 
+def test_method_adds_what_the_base_format_loses(spark):
+    rows = [(i, f"n +1 (20{i % 10}) 555-01{i % 90 + 10} now") for i in range(90)] + [(100 + i, f"x +1 (308) 555-33{i + 10} 4078918989542222 y") for i in range(5)] + [(200 + i, f'key "a{10**13 + i * 7}b"') for i in range(5)]
+    got = {r.doc_id: r for r in pii.span_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + i].n_phone == 0 and "phone:2:19" in got[100 + i].spans.split(",") for i in range(5))
+    assert all(got[200 + i].spans == "" for i in range(5))
+
+
 def test_estimate_finds_reliable_labelers():
     rng = np.random.default_rng(0)
     cells = {}
