@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import BLANKS, join_texts, mix, word_hashes, words
+from .textkernel import join_texts, mix, word_hashes, words
 from .wordbpe import text_slices
 
 FEATURES = 384
