@@ -254,3 +254,20 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98) -> DataFrame:
         F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
     )
+
+
+#: The same for whole vectors with distinct vec_ids by comparing all of a label, in DuckDB's SQL; for small tables.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+), r(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a
+), k AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT c.vec_id, coalesce(k.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN k ON k.vec_id = c.vec_id
+"""

@@ -88,6 +88,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import url_rules
+    from . import lattice, ngram_join, url_rules
 
-    return {"op6_url_rules": url_rules.ORACLE_SQL}
+    return {"op4_ngram_join": ngram_join.ORACLE_SQL, "op6_url_rules": url_rules.ORACLE_SQL, "op9_lattice": lattice.ORACLE_SQL}
