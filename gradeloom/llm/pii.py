@@ -247,7 +247,9 @@ def span_digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in square brackets; overlapping spans become one."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))  # names can't clash inside
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`") for c in others))  # names can't clash inside
+    rows = docs.select(row.alias("row"), F.col(text_col).alias("text"))
     found = find_spans(rows, ["row", "text"])
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col("text")
@@ -262,7 +264,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)
     hit = F.size("spans") > 0
     out = found.select("row", hit.alias("hit"), F.when(hit, clean).otherwise(text).alias("clean"))
-    own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: F.col("clean")}
+    own = {c: F.col("clean") if c == text_col else F.col(f"row.`{c}`") for c in docs.columns}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.col("hit"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
     return out.select(*(v.alias(c) for c, v in own.items()))
