@@ -55,6 +55,27 @@ def test_no_training_rows(spark):
     assert language.identify(frame(spark, [])).count() == 0
 
 
+def test_languages_of_long_texts_alone_are_learnt(spark):
+    rng = np.random.default_rng(2)
+    book = lambda words: ". ".join(" ".join(rng.choice(words, 12)) for _ in range(900))
+    rows = [(i, book(EN) if i % 2 else corpus(2)[0][1], "en" if i % 2 else "de", "") for i in range(24)]
+    assert min(len(t) for i, t, *_ in rows if i % 2) > language.TRAIN_BYTES
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in language.identify(frame(spark, rows)).collect())
+    model = language.train(frame(spark, [r for r in rows if r[0] % 2]))
+    assert model["langs"] == ["en"]
+
+
+def test_excerpts_come_from_all_over_the_text():
+    text = "\n".join(f"sentence {i} über" for i in range(5_000))
+    got = language.excerpt(text)
+    at = [int(s.split()[1]) for s in got.split("\n")]
+    assert 0.9 * language.TRAIN_BYTES < len(got.encode()) <= language.TRAIN_BYTES and set(got.split("\n")) <= set(text.split("\n"))
+    assert at == sorted(at) and np.histogram(at, 10, (0, 5_000))[0].min() > 50
+    whole = language.excerpt("".join(chr(0x4E00 + i % 4_999) for i in range(50_000)))
+    assert 0.9 * language.TRAIN_BYTES < len(whole.encode()) <= language.TRAIN_BYTES
+    assert language.excerpt("short. text") == "short. text"
+
+
 def test_driver_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
