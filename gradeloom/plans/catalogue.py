@@ -298,11 +298,16 @@ r AS (SELECT conv_id, w FROM t WHERE turn = 0)
 SELECT r.conv_id, count(*) AS turns FROM r JOIN t ON r.conv_id = t.conv_id AND t.turn > 0 WHERE r.w <> '' AND t.p <> '' AND (contains(t.p, r.w) OR contains(r.w, t.p)) GROUP BY r.conv_id"""
 )
 def requirement_match(spark: SparkSession, sf: str) -> DataFrame:
-    """A conversation's first word as its requirement, later turns as covered texts: the environment is the join key, containment the rest."""
-    c = table(spark, sf, "conversations")
-    r = c.where("turn = 0").select("conv_id", rubrics.plain(F.split_part("text", F.lit(" "), F.lit(1))).alias("w"))
-    t = c.where("turn > 0").select("conv_id", rubrics.plain(F.col("text")).alias("p"))
-    return r.join(t, "conv_id").where(rubrics.contains_either(F.col("w"), F.col("p"))).groupBy("conv_id").agg(F.count("*").alias("turns"))
+    """Whole benchmark items as requirements, whole documents as covered texts: pairs where one holds the other, meeting on a rare word.
+
+    The SQL above is older and states a smaller job (the first word of a conversation, in its later turns), so its result differs."""
+    from gradeloom.llm.scratch import materialise
+
+    items = materialise(table(spark, sf, "benchmark").select("item_id", rubrics.plain(F.col("text")).alias("p")), "plain-items")
+    docs = materialise(table(spark, sf, "documents").select("doc_id", rubrics.plain(F.col("text")).alias("p")), "plain-docs")
+    a = rubrics.holding_pairs(items.toDF("n", "a"), docs.toDF("h", "b")).toDF("item_id", "doc_id")
+    b = rubrics.holding_pairs(docs.toDF("n", "a"), items.toDF("h", "b")).toDF("doc_id", "item_id")
+    return a.unionByName(b).distinct()
 
 
 @query(

@@ -133,3 +133,26 @@ def test_cases_options_manifest(spark):
     assert one(spark, tasks.active_cases(none, F.array(F.lit("s")))).source == "seed" and one(spark, tasks.active_cases(none, none)).source == "none"
     adm = tasks.seed_admission(spark.createDataFrame([("", None, "x")], "gold_solution string, call_code string, expected_output string")).first()
     assert adm.admission_failures == ["SEED_CODE_MISSING", "SEED_CALL_MISSING"]
+
+
+def plain_text(text):
+    import re
+
+    return re.sub(r"[^a-z0-9_ .:/+-]+", "", re.sub(r"\s+", " ", (text or "").lower())).strip(" ")
+
+
+def test_requirements_match_whole_texts_anywhere(spark, tmp_path):
+    import random
+
+    from gradeloom.plans import catalogue
+
+    rng = random.Random(3)
+    draw = lambda n: " ".join(rng.choice(["the", "cat", "sat", "on", "mats", "é", "a!b", "x  y"]) for _ in range(n))
+    docs = [(i, draw(rng.randint(1, 25))) for i in range(150)] + [(7, "The dog barked at\nthe cat."), (None, "the dog barked"), (200, None), (201, "  "), (202, "!!"), (203, "cat")]
+    items = [(i, draw(rng.randint(1, 6))) for i in range(40)] + [(50, "he dog barked a"), (51, "og bar"), (52, "arke"), (53, "b"), (54, None), (55, ""), (56, "dog barked at the cat. And more"), (57, "of none of these")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {(i, d) for i, a in items for d, b in docs if (x := plain_text(a)) and (y := plain_text(b)) and (x in y or y in x)}
+    got = [tuple(r) for r in catalogue.requirement_match(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {(50, 7), (51, None), (52, 7), (56, 203)} <= want
