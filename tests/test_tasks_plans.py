@@ -156,3 +156,18 @@ def test_requirements_match_whole_texts_anywhere(spark, tmp_path):
     want = {(i, d) for i, a in items for d, b in docs if (x := plain_text(a)) and (y := plain_text(b)) and (x in y or y in x)}
     got = [tuple(r) for r in catalogue.requirement_match(spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {(50, 7), (51, None), (52, 7), (56, 203)} <= want
+
+
+def test_names_of_a_brand_overlap_whatever_their_type_and_size(spark, tmp_path):
+    import random
+
+    from gradeloom.plans import catalogue
+
+    rng = random.Random(4)
+    words = ["red", "hot", "bolt", "ring", "gear", "small"]
+    parts = [(k, rng.choice("AB"), rng.choice(["S", "E"]), rng.randint(1, 50), " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))) for k in range(120)]
+    parts += [(200, None, "S", 1, "red bolt"), (201, "A", "S", 1, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    own = [(k, b, set((n or "").split())) for k, b, _, _, n in parts]
+    want = [(k, m) for k, b, x in own for m, c, y in own if k < m and b == c is not None and x and len(x & y) >= min(2, len(x))]
+    assert sorted(tuple(r) for r in catalogue.token_overlap(spark, str(tmp_path)).collect()) == sorted(want) and len(want) > 100
