@@ -156,7 +156,7 @@ def _unpack(batches, columns: int) -> np.ndarray:
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n`` (size of its set) and ``shared`` (how many of it occur in other rows)."""
+    """``doc_id``, ``n`` (size of its largest row's set), ``least`` (of its smallest that isn't empty) and ``shared`` (how many of all occur in other rows)."""
     parts = width(docs.sparkSession)
 
     def deal(batches):
@@ -198,11 +198,13 @@ def shared_counts(docs: DataFrame) -> DataFrame:
         n, shared = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
         np.maximum.at(n, at, rows[:, 1])
         np.add.at(shared, at, rows[:, 2])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(shared)], names=["doc_id", "n", "shared"])
+        least, some = n.copy(), rows[:, 1] > 0
+        np.minimum.at(least, at[some], rows[some, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(least), pa.array(shared)], names=["doc_id", "n", "least", "shared"])
 
     dealt = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(deal, DEALT).repartitionById(parts, F.col("part"))
     by_doc = dealt.mapInArrow(count, PACKED).repartitionById(parts, F.col("part"))
-    return by_doc.mapInArrow(total, "doc_id long, n long, shared long")
+    return by_doc.mapInArrow(total, "doc_id long, n long, least long, shared long")
 
 
 def _sets_of(docs: DataFrame, columns: str, cells) -> DataFrame:
@@ -414,7 +416,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document of ``docs`` (``doc_id``, ``text``)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     counts = materialise(shared_counts(docs), "gram-counts", small=True)
-    going = counts.where(f"n > 0 and 100 * shared >= {PERCENT} * n").select("doc_id")
+    # with several rows of a doc_id this lets it go on if any of them could link, as its smallest set needs the fewest
+    going = counts.where(f"n > 0 and 100 * shared >= {PERCENT} * least").select("doc_id")
     few = going.count() <= BROADCAST_IDS
     near = docs.join(F.broadcast(going) if few else going, "doc_id", "left_semi")
     sets = materialise(digests_of(near), "gram-digests")

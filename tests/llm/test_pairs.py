@@ -120,6 +120,13 @@ def test_join_empty_null_and_repeated_ids(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "None"]
 
 
+def test_join_links_a_short_row_beside_a_long_one_of_its_id(spark):
+    long = " ".join(f"w{i}" for i in range(1_000))
+    rows = [(1, "a b c d e f"), (2, long), (2, "a b c d e f"), (2, None), (4, "none like this one at all")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, 2, 1), (2, 996, 1), (4, 2, 4)}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(6, 30)] + [(1, 1), (None, 2), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
