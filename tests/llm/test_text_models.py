@@ -76,6 +76,18 @@ def test_excerpts_come_from_all_over_the_text():
     assert language.excerpt("short. text") == "short. text"
 
 
+def test_copies_take_one_place_in_the_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = [t for _, t, lang, _ in corpus(120) if lang == "en"]
+    first = frame(spark, [(0, t, "en", "") for t in texts]).where("pmod(xxhash64(text), 1048576) < 100000").orderBy(F.xxhash64("text")).first().text
+    seen = []
+    monkeypatch.setattr(language, "TRAIN_DOCS", 10)
+    monkeypatch.setattr(language, "count_grams", lambda t, count=language.count_grams: seen.append(len(t)) or count(t))
+    language.train(frame(spark, [(0, t, "en", "") for t in texts + [first] * 90]))
+    assert seen == [10]
+
+
 def test_driver_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
