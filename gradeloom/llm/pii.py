@@ -9,7 +9,9 @@ share of true candidates. Its posteriors train a logistic classifier over votes,
 looser candidate stays if the classifier gives it at least ``ACCEPT``.
 
 Positions are code points. A text's matches and the pieces between them are taken by one pattern, and their lengths add up
-to positions. Every pattern runs in time linear in the text: runs are possessive, and starts inside a run are excluded.
+to positions. Every pattern runs in time linear in the text: runs are possessive, and starts inside a run are excluded. So does what
+follows: sums and maxima over a text's matches are taken in blocks (``running``), a span's context comes from the piece before it, and
+a text that is rewritten is cut into short pieces first.
 
 Defined cases: a null or empty text has no spans. Repeated rows are handled each for itself. A candidate that overlaps a
 base span is dropped. ``redact`` keeps all columns; ``n_chars``, if there is one, follows the new text.
@@ -77,23 +79,52 @@ CUES = {
 }
 AGAINST = r"(version|isbn|order|serial|section|release|part|ref|no|nr|id)\W*$"
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
+SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
+#: Numbers that one step of ``running`` goes through; code points in a piece of a text that is cut at many places.
+RUN = 64
+PIECE = 512
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, not once for each use or each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(numbers: Column, join) -> Column:
+    """For each number of an array ``join`` over those before it, from 0 on.
+
+    Arrays only grow inside blocks of RUN, over three levels, so that the time is linear up to RUN**3 numbers and nearly so beyond."""
+
+    def inside(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(block, start, lambda acc, x: F.struct(join(acc["all"], x).alias("all"), F.concat(acc["before"], F.array(acc["all"])).alias("before")))
+
+    def cut(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda k: inside(F.slice(x, k * RUN + 1, RUN)))
+
+    def after(blocks: Column, starts: Column) -> Column:
+        return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.transform(b["before"], lambda x: join(s, x))))
+
+    deep = let(cut(numbers), lambda one: let(cut(one["all"]), lambda two: after(one, after(two, inside(two["all"])["before"]))))
+    return F.when(F.size(numbers) > RUN, deep).when(F.size(numbers) > 0, inside(numbers)["before"]).otherwise(F.array().cast("array<int>"))
 
 
 def located(text: Column, pattern: str, needs: Column) -> Column:
-    """Leftmost matches that don't overlap: an array of start, end (exclusive) and value."""
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    """Leftmost matches that don't overlap: an array of start, end (exclusive), value and up to CONTEXT code points ``before``,
+    as far as the match before."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = let(values, lambda v: F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(v)).alias("piece"), v.alias("value")))
+
+    def place(x: Column, at: Column) -> Column:
+        start = at + F.length(x["piece"])
+        before = F.lower(F.substring(x["piece"], -CONTEXT, CONTEXT))
+        return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"), before.alias("before"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["value"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        grown = F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found"))
-        return F.when(x["value"].isNull(), acc).otherwise(grown)
+    def all_of(xs: Column) -> Column:
+        sizes = F.transform(xs, lambda x: F.length(x["piece"]) + F.length(x["value"]))
+        return F.zip_with(xs, let(sizes, lambda n: running(n, lambda a, b: a + b)), place)
 
-    empty = F.array().cast(SPAN)
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
-    return F.when(needs, found).otherwise(empty)
+    return F.when(needs, let(pairs, all_of)).otherwise(F.array().cast(SPAN))
 
 
 def digits(value: Column) -> Column:
@@ -119,18 +150,17 @@ CHECKS = {
 }
 
 
-def _candidates(text: Column, spans: Column, kind: str, vote: Column | None = None) -> Column:
+def _candidates(spans: Column, kind: str, vote: Column | None = None) -> Column:
     """Spans with their kind's rank, the labelers' votes and the classifier's other features.
 
     ``vote`` is the format labeler's; null: 1 if the kind's check holds, else -1."""
     rank = KINDS.index(kind)
 
     def one(s: Column) -> Column:
-        value, start = s["value"], s["start"]
-        before = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
+        value, before = s["value"], s["before"]
         form = vote if vote is not None else F.when(CHECKS[kind](value), 1).otherwise(-1)
         return F.struct(
-            start.alias("start"),
+            s["start"].alias("start"),
             F.lit(rank).alias("rank"),
             s["end"].alias("end"),
             form.cast("int").alias("form"),
@@ -143,6 +173,20 @@ def _candidates(text: Column, spans: Column, kind: str, vote: Column | None = No
     return F.transform(spans, one)
 
 
+def apart(loose: Column, base: Column) -> Column:
+    """Spans of ``loose`` that overlap none of ``base``: of the base spans that start before its end, the furthest end isn't past its start."""
+    mark = lambda at, kind, place, end: F.struct(at.alias("at"), kind.alias("kind"), place.alias("place"), end.alias("end"))
+    asked = F.transform(loose, lambda s, i: mark(s["end"], F.lit(0), i, F.lit(0)))
+    given = F.transform(base, lambda s: mark(s["start"], F.lit(1), F.lit(-1), s["end"]))
+
+    def reach(marks: Column) -> Column:
+        ends = F.zip_with(marks, running(marks["end"], F.greatest), lambda m, end: F.struct(m["place"].alias("place"), end.alias("end")))
+        return F.array_sort(F.filter(ends, lambda e: e["place"] >= 0))
+
+    free = let(let(F.array_sort(F.concat(asked, given)), reach), lambda ends: F.filter(loose, lambda s, i: F.get(ends, i)["end"] <= s["start"]))
+    return F.when((F.size(loose) == 0) | (F.size(base) == 0), loose).otherwise(free)
+
+
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` (valid base spans by start and kind) and ``loose`` (other candidates apart from them)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -152,13 +196,12 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for kind in LOOSE:
         df = df.withColumn(f"__loose_{kind}", located(text, LOOSE[kind], LOOSE_NEEDS[kind](text)))
     for kind in KINDS:
-        df = df.withColumn(f"__{kind}", _candidates(text, F.col(f"__{kind}"), kind))
+        df = df.withColumn(f"__{kind}", _candidates(F.col(f"__{kind}"), kind))
     chains = F.filter("__card", lambda s: (s["form"] < 0) & s["digits"].between(13, 19))
-    loose = [chains, *(_candidates(text, F.col(f"__loose_{k}"), k, F.lit(0)) for k in LOOSE)]
+    loose = [chains, *(_candidates(F.col(f"__loose_{k}"), k, F.lit(0)) for k in LOOSE)]
     df = df.withColumn("__base", F.array_sort(F.concat(*(F.filter(f"__{k}", lambda s: s["form"] > 0) for k in KINDS))))
     df = df.withColumn("__loose", F.concat(*loose))
-    apart = F.filter("__loose", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.select(*docs.columns, F.col("__base").alias("base"), apart.alias("loose"))
+    return df.select(*docs.columns, F.col("__base").alias("base"), apart(F.col("__loose"), F.col("__base")).alias("loose"))
 
 
 def estimate(cells: dict[tuple[int, int, int, int], float], rounds: int = 60) -> dict[tuple[int, int, int, int], float]:
@@ -252,16 +295,21 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.select(row.alias("row"), F.col(text_col).alias("text"))
     found = find_spans(rows, ["row", "text"])
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.col("text")
+    text, spans = F.col("text"), F.col("spans")
+
+    def rewrite(pieces: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE).cast("int")
+            few = F.slice(pieces, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1)
+            return F.when(a < b, F.substring(F.array_join(few, ""), a - first * PIECE + 1, b - a)).otherwise("")
+
+        def put(s: Column, end: Column) -> Column:  # ``end``: how far the spans before reach
+            return F.when(s["start"] < end, "").otherwise(F.concat(part(end, s["start"]), F.get(names, s["rank"])))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        grown = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.get(names, s["rank"])).alias("out"))
-        wider = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] < acc["at"], wider).otherwise(grown)
+        done = F.array_join(let(running(spans["end"], F.greatest), lambda ends: F.zip_with(spans, ends, put)), "")
+        return F.concat(done, part(F.array_max(spans["end"]), F.length(text)))
 
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)
+    clean = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), rewrite)
     hit = F.size("spans") > 0
     out = found.select("row", hit.alias("hit"), F.when(hit, clean).otherwise(text).alias("clean"))
     own = {c: F.col("clean") if c == text_col else F.col(f"row.`{c}`") for c in docs.columns}
