@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -17,23 +19,80 @@ def corpus(n=80):
     return [(i, " ".join(rng.choice(EN if i % 2 else DE, 12)), "en" if i % 2 else "de", "zz") for i in range(n)]
 
 
-def test_code_lengths_are_of_probabilities():
-    table = language.code_lengths(*language.count_grams(["the cat sat on the mat", "é ü ß"]))
-    p = np.exp2(-table.reshape(64, 64, 64, 64).astype(float) / language.SCALE)
-    sums = p[:, :, 1:].sum(-1)
-    assert abs(sums - 1).max() < 1e-3
-
-
-def test_shorter_contexts_for_many_languages():
-    short = language.code_lengths(*language.count_grams(["the cat sat"]), 2)
-    assert len(short) == 64**3 and abs(np.exp2(-short.reshape(64, 64, 64)[:, 1:].astype(float) / language.SCALE).sum(-1) - 1).max() < 1e-3
-
-
-def test_code_length_by_hand():
-    keys, counts = language.count_grams(["ab ab ac"])
-    table = language.code_lengths(keys, counts).reshape(64, 64, 64, 64)
-    # after " a" of order 3 contexts (0,0,1): only b at the start -> c/(n+d) = 1/2
-    assert table[0, 0, 1, 2] == round(1.0 * language.SCALE)
+def blanked(text):
+    return b" " + re.sub(rb"^ ", b"", re.sub(rb"[^a-zA-Z\x80-\xff]+", b" ", text.encode())).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+
+
+def plain_ppm(train, order):
+    """Counts by context, and a byte's probability by escapes with exclusion, each by its definition."""
+    counts = {}
+    for text in train:
+        data = b" " * order + blanked(text)
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                own = counts.setdefault(data[i - k : i], {})
+                own[data[i]] = own.get(data[i], 0) + 1
+
+    def p(context, byte):
+        shorter = (lambda b: p(context[1:], b)) if context else (lambda b: 1 / 256)
+        own = counts.get(context)
+        if not own:
+            return shorter(byte)
+        n, d = sum(own.values()), len(own)
+        if d == 256:
+            return own[byte] / n
+        if byte in own:
+            return own[byte] / (n + d)
+        return d / (n + d) * shorter(byte) / (1 - sum(shorter(b) for b in own))
+
+    return p
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 4])
+def test_code_lengths_against_plain_ppm(order):
+    train = ["the cat sat on the mat", "é ü ß, Über 12 the END", "abracadabra", ""]
+    p = plain_ppm(train, order)
+    model = {"key": f"plain-{order}", "langs": ["x"], "trees": [language.count_grams(train, order)], "order": order}
+    for text in ["the cat", "Zebra über 99 é!", "", "q", "abab 12,, abra", "cat ñandú \u4e2d"]:
+        data = b" " * order + blanked(text)
+        want = sum(-np.log2(p(data[i - order : i], data[i])) for i in range(order, len(data)))
+        assert np.isclose(language.text_code_lengths([text], model)[0, 0], want, rtol=1e-9), text
+    both = language.text_code_lengths(["the cat", "", "abra", "über"], model)
+    assert np.allclose(both[:, 0], [language.text_code_lengths([t], model)[0, 0] for t in ["the cat", "", "abra", "über"]])
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    tree = language.plant(*language.count_grams(["the cat sat on the mat", "é ü ß"]))
+    for context in (b"    ", b"  th", b"the ", b"qqqq", b"zzth"):
+        grams = (int.from_bytes(context, "big") << 8) + np.arange(256, dtype=np.uint64)
+        assert np.isclose(language.probability(tree, grams, 4).sum(), 1)
+
+
+def test_grams_beyond_the_table_are_worked_out_again(monkeypatch):
+    model = {"key": "small", "langs": ["x"], "trees": [language.count_grams(["the cat sat"])], "order": 4}
+    texts = ["one two three", "four five six", "the cat", "seven eight"]
+    want = language.text_code_lengths(texts, model)
+    monkeypatch.setattr(language, "KEPT_GRAMS", 5)
+    assert np.allclose([language.text_code_lengths([t], model)[0] for t in texts * 2], np.concatenate([want, want]))
+
+
+def test_places_go_to_languages_with_texts_enough(monkeypatch):
+    got = language.places({"en": 10**9, "de": 10**6} | {f"x{i}": 1 for i in range(100)})
+    assert got["en"] == got["de"] == language.TRAIN_DOCS and got["x3"] == 1
+    assert sum(language.places({f"x{i}": 10**6 for i in range(9)}).values()) <= language.TRAIN_TOTAL
+
+
+def test_eight_languages_have_the_same_order(spark):
+    rng = np.random.default_rng(4)
+    syllables = [["".join(rng.choice(list("bdfgklmnprstvz"))) + str(rng.choice(list("aeiou"))) for _ in range(14)] for _ in range(8)]
+    word = lambda s: "".join(rng.choice(s, rng.integers(2, 4)))
+    rows = [(i, " ".join(word(syllables[i % 8]) for _ in range(40)), f"l{i % 8}", "") for i in range(400)]
+    df = frame(spark, rows)
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    held = [i for i in got if got[i].held_out]
+    assert np.mean([got[i].lang_pred == f"l{i % 8}" for i in held]) > 0.97
+    model = language.train(df)
+    assert model["order"] == language.ORDER == language.train(df.where("lang < 'l3'"))["order"] and len(model["langs"]) == 8
 
 
 def test_languages_are_told_apart_and_odd_texts_have_results(spark):
@@ -83,7 +142,7 @@ def test_copies_take_one_place_in_the_sample(spark, monkeypatch):
     first = frame(spark, [(0, t, "en", "") for t in texts]).where("pmod(xxhash64(text), 1048576) < 100000").orderBy(F.xxhash64("text")).first().text
     seen = []
     monkeypatch.setattr(language, "TRAIN_DOCS", 10)
-    monkeypatch.setattr(language, "count_grams", lambda t, count=language.count_grams: seen.append(len(t)) or count(t))
+    monkeypatch.setattr(language, "count_grams", lambda t, order, count=language.count_grams: seen.append(len(t)) or count(t, order))
     language.train(frame(spark, [(0, t, "en", "") for t in texts + [first] * 90]))
     assert seen == [10]
 
