@@ -5,11 +5,12 @@ table's key joins the cells of LATTICES spaces. Besides its own cell a vector pr
 of its own remainder, in each space: 2**LATTICES keys a table. Two vectors are compared if they meet in a key of any of TABLES tables.
 
 1. Equal vectors of a label are one class, represented by the smallest vec_id.
-2. Keys alone are dealt out. All that meet in a key join the block of the one that comes first in a fixed random
-   order, so that a group of near copies meets in few blocks. Blocks of more than BLOCK vectors are cut into pieces, and each
-   pair of pieces is a block.
-3. A block's cosines are one matrix product in double precision; only the edges of a forest of its links leave the task.
-4. All links of a vector lie in its component, so links are counted there, again by products of pieces.
+2. Keys alone are grouped. All that meet in a key join the block of the one that comes first in a fixed random
+   order, its hub, so that a group of near copies meets in few blocks. That one is a minimum by key, which tasks combine; members find it by a join that is broadcast
+   for keys with many members.
+3. Each member of a block is compared with its hub, in salted groups (``blocks.star_rows``); angles obey the triangle inequality, so most members of a group of near copies are done
+   with that. What is left is cut into pieces of BLOCK; the cosines of a pair of pieces are one matrix product in double precision, and only the edges of a forest of its links leave the task.
+4. All links of a vector lie in its component, so links are counted there, again by products of pieces; their size grows with the component's, up to PIECE.
 
 Vectors at the threshold of 0.98 meet in one table with probability 0.77 and so in one of eight with 1 - 8e-6; closer ones with
 more. Recall is measured against brute force in the tests.
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BROADCAST_ROWS, gather, left_open, piece_pairs, star_rows
 from .components import components
 from .ngram_join import rank_of
 from .scratch import materialise, width
@@ -35,7 +37,14 @@ TABLES = 8
 LATTICES = 2
 CELL = 0.7
 SEED = 8
-BLOCK = 1_024
+BLOCK = 256
+#: Least and largest piece of a component whose links are counted; rows of a product that are held at a time.
+LEAST_PIECE = 64
+PIECE = 4_096
+STRIP = 512
+#: Members from which a key's hub is broadcast, and such keys at most; any further one has fewer members than a HEAVY_KEYS-th of all.
+OFTEN = 1_024
+HEAVY_KEYS = 200_000
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:
@@ -98,9 +107,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def block_members(vectors: DataFrame) -> DataFrame:
-    """``hub`` and ``vec_id``: the blocks that each vector of a table of classes is in."""
-    parts = width(vectors.sparkSession)
+def keyed(vectors: DataFrame) -> DataFrame:
+    """``key``, ``vec_id`` and its ``rank`` in the fixed order: the distinct keys of each vector."""
 
     def deal(batches):
         for batch in batches:
@@ -115,68 +123,80 @@ def block_members(vectors: DataFrame) -> DataFrame:
                 flat = np.sort(found, axis=1)
                 new = np.concatenate([np.ones((len(own), 1), dtype=bool), flat[:, 1:] != flat[:, :-1]], axis=1)
                 vec = np.repeat(ids[own], new.sum(1))
-                key = flat[new]
-                part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key.view(np.int64)), pa.array(vec)], names=["part", "key", "vec_id"])
-
-    def meet(batches):
-        got = [(b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)) for b in batches]
-        if not got:
-            return
-        key, vec = (np.concatenate(x) for x in zip(*got))
-        order = np.lexsort((rank_of(vec), key))
-        key, vec = key[order], vec[order]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        length = np.diff(np.concatenate([start, [len(key)]]))
-        met = np.repeat(length > 1, length)
-        pair = np.stack([np.repeat(vec[start], length)[met], vec[met]], axis=1)
-        pair = np.unique(pair, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["hub", "vec_id"])
-
-    dealt = vectors.select("vec_id", "label", "embedding").mapInArrow(deal, "part int, key long, vec_id long").repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(meet, "hub long, vec_id long").distinct()
-
-
-def _piece_pairs(members: DataFrame, key: str, same: bool) -> DataFrame:
-    """``members`` dealt to blocks (key, i, j) with their piece ``own``; with ``same``, also i = j where a block has several pieces."""
-    size = members.groupBy(key).agg(F.count("*").alias("m")).where("m > 1").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
-    place = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    if not same:
-        place = F.when(F.col("k") == 1, place).otherwise(F.filter(place, lambda p: p["i"] != p["j"]))
-    return (
-        members.join(size.select(key, "k"), key)
-        .withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("k")).cast("int"))
-        .withColumn("place", F.explode(place))
-        .select(key, F.col("place.i").alias("i"), F.col("place.j").alias("j"), "own", "vec_id")
-    )
+                yield pa.RecordBatch.from_arrays([pa.array(flat[new].view(np.int64)), pa.array(vec), pa.array(rank_of(vec).view(np.int64))], names=["key", "vec_id", "rank"])
 
+    return vectors.select("vec_id", "label", "embedding").mapInArrow(deal, "key long, vec_id long, rank long")
+
+
+def block_members(vectors: DataFrame) -> DataFrame:
+    """``hub`` and ``vec_id``: the blocks that each vector of a table of classes is in."""
+    found = materialise(keyed(vectors), "vector-keys")
+    hubs = found.groupBy("key").agg(F.min_by("vec_id", "rank").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = materialise(hubs, "vector-hubs", small=True)
+    heavy = hubs.where(F.col("n") > OFTEN).orderBy(F.desc("n"), "key").limit(HEAVY_KEYS).select("key", "hub")
+    pairs = found.join(F.broadcast(heavy), "key").select("hub", "vec_id")
+    light = hubs.join(F.broadcast(heavy.select("key")), "key", "left_anti").select("key", "hub")
+    return pairs.unionByName(found.join(light, "key").select("hub", "vec_id")).distinct()
+
+
+def _groups(batches, keys: int):
+    """Consecutive rows with equal first ``keys`` columns: yields (key, the other columns); the last column, of vectors, as a list of arrays."""
+    held, parts = None, []
+
+    def whole():
+        return held, [np.concatenate(c) if i < len(parts[0]) - 1 else [x for c_ in c for x in c_] for i, c in enumerate(zip(*parts))]
 
-def _blocks(batches, columns: int):
-    """Consecutive rows with equal first three columns, as lists of the other columns."""
-    held, rows = None, []
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(columns))):
-            if row[:3] != held:
-                if len(rows) > 1:
-                    yield held, rows
-                held, rows = row[:3], []
-            rows.append(row[3:])
-    if len(rows) > 1:
-        yield held, rows
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(keys)], axis=1)
+        others = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys, batch.num_columns - 1)]
+        values, at = _rows(batch.column(batch.num_columns - 1))
+        cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = tuple(key[a].tolist())
+            if own != held:
+                if parts:
+                    yield whole()
+                held, parts = own, []
+            parts.append([*(c[a:b] for c in others), [values[at[i] : at[i + 1]] for i in range(a, b)]])
+    if parts:
+        yield whole()
+
+
+def _by_length(vectors: list[np.ndarray]):
+    """Places of the vectors of each length, and the unit vectors as a matrix."""
+    dims = np.array([len(v) for v in vectors])
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        yield at, _unit(np.stack([vectors[i] for i in at]))
+
+
+def hub_angles(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """``hub``, ``vec_id``, whether they are ``linked``, and the angle between them (``distance``)."""
+
+    def compare(batches):
+        for (hub, _), (member, ids, embeddings) in _groups(batches, 2):
+            cosine = np.full(len(ids), -1.0)
+            for at, x in _by_length(embeddings):
+                if at[0] == 0:  # the hub comes first; vectors of another length are as far as can be
+                    cosine[at] = x @ x[0]
+            own = member == 1
+            cosine = np.clip(cosine[own], -1.0, 1.0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), hub)), pa.array(ids[own]), pa.array(cosine >= threshold), pa.array(np.arccos(cosine))], names=["hub", "vec_id", "linked", "distance"])
+
+    loaded = star_rows(members, "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").select("hub", "salt", "member", "vec_id", "embedding")
+    return gather(loaded, "hub", "salt", within=["member", "vec_id"]).mapInArrow(compare, "hub long, vec_id long, linked boolean, distance double")
 
 
 def link_edges(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """Edges ``a``, ``b`` of forests over each block's links."""
+    star = materialise(hub_angles(members, vectors, threshold), "vector-star")
 
     def link(batches):
-        a, b = [], []
-        for _, rows in _blocks(batches, 6):
-            ids = [r[1] for r in rows]
-            by_dim: dict[int, list[int]] = {}
-            for i, r in enumerate(rows):
-                by_dim.setdefault(len(r[2]), []).append(i)
-            for own in by_dim.values():
-                x = _unit(np.array([rows[i][2] for i in own], dtype=np.float64))
+        for _, (_, ids, embeddings) in _groups(batches, 3):
+            a, b = [], []
+            for own, x in _by_length(embeddings):
                 close = x @ x.T >= threshold
                 open_ = np.ones(len(own), dtype=bool)
                 for seed in range(len(own)):
@@ -190,37 +210,37 @@ def link_edges(members: DataFrame, vectors: DataFrame, threshold: float) -> Data
                         queue += hit.tolist()
                         a += [ids[own[seed]]] * len(hit)
                         b += [ids[own[h]] for h in hit]
-            if len(a) > 10_000:
+            if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    loaded = _piece_pairs(members, "hub", False).join(vectors.select("vec_id", "embedding"), "vec_id").select("hub", "i", "j", "own", "vec_id", "embedding")
-    return loaded.repartition(width(members.sparkSession), "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "vec_id").mapInArrow(link, "a long, b long")
+    # vectors of a hub that are about as far from it as one that it doesn't link
+    dealt = piece_pairs(left_open(star, "vec_id", float(np.arccos(threshold))), "hub", "vec_id", F.lit(BLOCK), False)
+    loaded = dealt.join(vectors.select("vec_id", "embedding"), "vec_id").select("hub", "i", "j", "own", "vec_id", "embedding")
+    rest = gather(loaded, "hub", "i", "j", within=["vec_id"]).mapInArrow(link, "a long, b long")
+    return star.where("linked").select(F.col("hub").alias("a"), F.col("vec_id").alias("b")).unionByName(rest)
 
 
 def count_links(found: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """``vec_id`` and ``linked``: rows in other classes that each class links with directly, in its component."""
 
     def count(batches):
-        for (_, i, j), rows in _blocks(batches, 7):
-            own, ids, times = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2))
-            n = np.zeros(len(rows), dtype=np.int64)
-            dims = np.array([len(r[3]) for r in rows])
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                x = _unit(np.array([rows[k][3] for k in at], dtype=np.float64))
-                close = x @ x.T >= threshold
-                np.fill_diagonal(close, False)
-                if i != j:  # pairs inside a piece are counted in the piece's own block
-                    close &= own[at][:, None] != own[at][None, :]
-                n[at] = close @ times[at]
+        for (_, i, j), (own, ids, times, embeddings) in _groups(batches, 3):
+            n = np.zeros(len(ids), dtype=np.int64)
+            for at, x in _by_length(embeddings):
+                for first in range(0, len(at), STRIP):
+                    rows = np.arange(first, min(first + STRIP, len(at)))
+                    close = x[rows] @ x.T >= threshold
+                    close[np.arange(len(rows)), rows] = False
+                    if i != j:  # pairs inside a piece are counted in the piece's own block
+                        close &= own[at[rows]][:, None] != own[at][None, :]
+                    n[at[rows]] = close @ times[at]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["vec_id", "linked"])
 
     members = found.select(F.col("component"), F.col("node").alias("vec_id"))
-    loaded = _piece_pairs(members, "component", True).join(vectors.select("vec_id", "times", "embedding"), "vec_id").select("component", "i", "j", "own", "vec_id", "times", "embedding")
-    rows = loaded.repartition(width(found.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "vec_id").mapInArrow(count, "vec_id long, linked long")
+    most = F.least(F.lit(PIECE), F.greatest(F.lit(LEAST_PIECE), F.ceil(F.col("m") / LEAST_PIECE)))
+    dealt = piece_pairs(members, "component", "vec_id", most, True)
+    loaded = dealt.join(vectors.select("vec_id", "times", "embedding"), "vec_id").select("component", "i", "j", "own", "vec_id", "times", "embedding")
+    rows = gather(loaded, "component", "i", "j", within=["vec_id"]).mapInArrow(count, "vec_id long, linked long")
     return rows.groupBy("vec_id").agg(F.sum("linked").alias("linked"))
 
 
@@ -233,21 +253,23 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every row of ``table`` (``vec_id``, ``embedding``, ``label``)."""
     rows = table.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 0.0).alias("embedding"))  # -0.0 is 0.0
     good = F.col("vec_id").isNotNull() & usable(F.col("embedding"), F.col("label"))
-    classes = rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
+    # two marks stand for label and vector when rows look for their class; those of unusable rows are null and meet nothing
+    marks = [F.when(good, F.xxhash64(F.lit(k), "label", "embedding")).alias(f"mark{k}") for k in (1, 2)]
+    rows = rows.select("*", *marks)
+    classes = rows.where("mark1 is not null").groupBy("mark1", "mark2", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
     classes = materialise(classes, "vector-classes")
     vectors = classes.select(F.col("rep").alias("vec_id"), "label", "embedding", "times")
     members = materialise(block_members(vectors), "vector-blocks", small=True)
     found = materialise(components(materialise(link_edges(members, vectors, threshold), "vector-edges")), "vector-components", small=True)
     linked = count_links(found, vectors, threshold)
     known = (
-        classes.withColumnRenamed("rep", "node")
+        classes.select("mark1", "mark2", F.col("rep").alias("node"), "times")
         .join(found, "node", "left")
         .join(linked.withColumnRenamed("vec_id", "node"), "node", "left")
-        .select("label", "embedding", F.coalesce("component", "node").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).alias("links"))
+        .select("mark1", "mark2", F.coalesce("component", "node").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).alias("links"))
     )
-    # a class is found by its key again; keys of unusable rows are null and meet nothing
-    key = lambda df, ok: df.withColumn("key", F.when(ok, F.sha2(F.concat_ws("/", F.col("label").cast("string"), F.to_json(F.struct("embedding"))), 256)))
-    out = key(rows, good).select("vec_id", "key").join(key(known, F.lit(True)).select("key", "component", "links"), "key", "left")
+    known = materialise(known, "vector-known", small=True)
+    out = rows.select("vec_id", "mark1", "mark2").join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, ["mark1", "mark2"], "left")
     return out.select(
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),

@@ -10,10 +10,11 @@ n-grams is never multiplied as a whole:
 2. Equal sets are one class, represented by its smallest doc_id.
 3. ``block_members``: linked sets share one of the first |A| - ceil(PERCENT/100 |A|) + 1 n-grams of each in any one order of all n-grams;
    the order here is by frequency for the most frequent ones (``heavy_grams``, bounded in number), which come last, then by
-   hash, so that sets meet in rare n-grams rather than in a passage that thousands share. All representatives that meet in such an n-gram join the block of the one that comes first in a fixed random order, so
-   every possible link lies in some block, and copies of one text meet in few blocks. A block of more than BLOCK sets is
-   cut into pieces, and each pair of pieces is a block: no task holds more than two pieces.
-4. ``link_block`` multiplies a row of the block's incidence matrix with the rows not yet reached, accumulating overlap
+   hash, so that sets meet in rare n-grams rather than in a passage that thousands share. All representatives that meet in such an n-gram join the block of the one that comes first in a fixed random order, its hub, so
+   every possible link lies in some block, and copies of one text meet in few blocks. The hubs of frequent n-grams are minima that each task combines, so no task
+   gathers the sets of a frequent n-gram; the sets of another one are at most a task's share.
+4. Each member of a block is compared with its hub, in salted groups (``blocks.star_rows``); the Jaccard distance obeys the triangle inequality, so most members of a group of near copies are
+   done with that. ``link_block`` takes what is left in pairs of pieces: it multiplies a row of the block's incidence matrix with the rows not yet reached, accumulating overlap
    counts, and discards those below the bound that the sizes give: overlap >= PERCENT/(100+PERCENT) * (|A| + |B|). Rows that
    link join the row's tree and aren't looked at again; only tree edges leave the task, never all pairs of a group.
 5. Components of these edges, and the classes, give every document its component.
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import gather, left_open, piece_pairs, star_rows
 from .components import components
 from .scratch import materialise, width
 from .textkernel import gram_hashes, join_texts, mix, word_hashes, words
@@ -43,7 +45,10 @@ N = 5
 PERCENT = 80
 #: N-grams that a task combines before it deals them out, sets in a piece of a block, ids that may be broadcast.
 CHUNK = 1_000_000
-BLOCK = 1_024
+BLOCK = 256
+#: Bytes of text (as the table stores them) whose n-grams a task holds at a time; more ranges of hashes than this a task aren't made.
+RANGE_BYTES = 16 << 20
+RANGES = 64
 BROADCAST_IDS = 500_000
 #: Sets that hold an n-gram before it counts as frequent, and how many frequent ones are told apart at most.
 OFTEN = 32
@@ -124,25 +129,53 @@ def _deal(doc_ids: np.ndarray, owner: np.ndarray, grams: np.ndarray, parts: int,
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "docs", "counts", "residues", "multi", "sizes"])
 
 
-def _collect_part(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All of a task's dealt rows: range and residue as one number, document, the same of multi, and size triples."""
-    keys, docs, multi, sizes = [], [], [], []
+def ranges(docs: DataFrame) -> int:
+    """Number of hash ranges: a multiple of the shuffle partitions, so that a task goes through its n-grams range by range."""
+    parts = width(docs.sparkSession)
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return parts * max(1, min(RANGES, size // (parts * RANGE_BYTES)) if size < 1 << 60 else 1)  # Spark's mark of an unknown size is larger
+
+
+def by_range(dealt: DataFrame, count: int) -> DataFrame:
+    """Rows of a range (``part``) in one task, one range after the other."""
+    parts = width(dealt.sparkSession)
+    out = dealt.repartitionById(parts, F.col("part") % parts)
+    return out.sortWithinPartitions("part") if count > parts else out
+
+
+def _by_part(batches):
+    """Rows with equal ``part``: yields (part, tuples of the other columns)."""
+    held, rows = None, []
     for batch in batches:
-        for p, d, c, r, m, s in zip(*(col.to_pylist() for col in batch.columns)):
-            base = np.uint64(p) << np.uint64(32)
-            keys.append(np.frombuffer(r, dtype=np.uint32).astype(np.uint64) | base)
-            docs.append(np.repeat(np.frombuffer(d, dtype=np.int64), np.frombuffer(c, dtype=np.uint32)))
-            multi.append(np.frombuffer(m, dtype=np.uint32).astype(np.uint64) | base)
-            sizes.append(np.frombuffer(s, dtype=np.int64).reshape(-1, 3))
+        for part, *row in zip(*(col.to_pylist() for col in batch.columns)):
+            if part != held and rows:
+                yield held, rows
+                rows = []
+            held = part
+            rows.append(row)
+    if rows:
+        yield held, rows
+
+
+def _dealt(part: int, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a range: range and residue as one number, document, the same of multi, and the further numbers."""
+
     def whole(x, kind):
         return np.concatenate(x) if x else np.empty(0, dtype=kind)
 
-    return whole(keys, np.uint64), whole(docs, np.int64), whole(multi, np.uint64), np.concatenate(sizes) if sizes else np.empty((0, 3), dtype=np.int64)
+    base = np.uint64(part) << np.uint64(32)
+    keys = [np.frombuffer(r, dtype=np.uint32).astype(np.uint64) | base for _, _, r, _, _ in rows]
+    docs = [np.repeat(np.frombuffer(d, dtype=np.int64), np.frombuffer(c, dtype=np.uint32)) for d, c, _, _, _ in rows]
+    multi = [np.frombuffer(m, dtype=np.uint32).astype(np.uint64) | base for _, _, _, m, _ in rows]
+    return whole(keys, np.uint64), whole(docs, np.int64), whole(multi, np.uint64), whole([np.frombuffer(s, dtype=np.int64) for *_, s in rows], np.int64)
 
 
-def _pack(rows: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows of numbers dealt by a hash of the first: a record per range with its columns as byte arrays."""
-    part = (rank_of(rows[:, 0]) % np.uint64(parts)).astype(np.int64)
+def _pack(rows: np.ndarray, parts: int, by: int = 1) -> pa.RecordBatch:
+    """Rows of numbers dealt by a hash of the first ``by``: a record per range with its columns as byte arrays."""
+    mark = rank_of(rows[:, 0])
+    for k in range(1, by):
+        mark = rank_of(rows[:, k] ^ mark.view(np.int64))
+    part = (mark % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(parts + 1))
     own = [p for p in range(parts) if cut[p] < cut[p + 1]]
@@ -151,19 +184,23 @@ def _pack(rows: np.ndarray, parts: int) -> pa.RecordBatch:
 
 
 def _unpack(batches, columns: int) -> np.ndarray:
-    found = [np.frombuffer(x, dtype=np.int64).reshape(columns, -1).T for batch in batches for x in batch.column(1).to_pylist()]
+    return _unpack_rows([x for batch in batches for x in batch.column(1).to_pylist()], columns)
+
+
+def _unpack_rows(blobs: list[bytes], columns: int) -> np.ndarray:
+    found = [np.frombuffer(x, dtype=np.int64).reshape(columns, -1).T for x in blobs]
     return np.concatenate(found) if found else np.empty((0, columns), dtype=np.int64)
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n`` (size of its largest row's set), ``least`` (of its smallest that isn't empty) and ``shared`` (how many of all occur in other rows)."""
-    parts = width(docs.sparkSession)
+    parts, cut = width(docs.sparkSession), ranges(docs)
 
     def deal(batches):
         ids, owners, grams, held, turn = [], [], [], 0, 0
 
         def flush():
-            return _deal(np.concatenate(ids), np.concatenate(owners), np.concatenate(grams), parts, True, turn)
+            return _deal(np.concatenate(ids), np.concatenate(owners), np.concatenate(grams), cut, True, turn)
 
         docs_so_far = 0
         for batch in batches:
@@ -182,15 +219,16 @@ def shared_counts(docs: DataFrame) -> DataFrame:
             yield flush()
 
     def count(batches):
-        keys, doc, multi, sizes = _collect_part(batches)
-        both = np.concatenate([keys, multi])
-        order = np.argsort(both)
-        start, length = _runs(both[order])
-        hit = order[np.repeat(length > 1, length)]
-        hit = hit[hit < len(keys)]
-        ids, n = np.unique(doc[hit], return_counts=True)
-        found = np.stack([ids, np.zeros(len(ids), dtype=np.int64), n], axis=1)
-        yield _pack(np.concatenate([sizes, found]), parts)
+        for part, rows in _by_part(batches):
+            keys, doc, multi, sizes = _dealt(part, rows)
+            both = np.concatenate([keys, multi])
+            order = np.argsort(both)
+            start, length = _runs(both[order])
+            hit = order[np.repeat(length > 1, length)]
+            hit = hit[hit < len(keys)]
+            ids, n = np.unique(doc[hit], return_counts=True)
+            found = np.stack([ids, np.zeros(len(ids), dtype=np.int64), n], axis=1)
+            yield _pack(np.concatenate([sizes.reshape(-1, 3), found]), parts)
 
     def total(batches):
         rows = _unpack(batches, 3)
@@ -202,8 +240,8 @@ def shared_counts(docs: DataFrame) -> DataFrame:
         np.minimum.at(least, at[some], rows[some, 1])
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(least), pa.array(shared)], names=["doc_id", "n", "least", "shared"])
 
-    dealt = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(deal, DEALT).repartitionById(parts, F.col("part"))
-    by_doc = dealt.mapInArrow(count, PACKED).repartitionById(parts, F.col("part"))
+    dealt = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(deal, DEALT)
+    by_doc = by_range(dealt, cut).mapInArrow(count, PACKED).repartitionById(parts, F.col("part"))
     return by_doc.mapInArrow(total, "doc_id long, n long, least long, shared long")
 
 
@@ -236,21 +274,21 @@ def rank_of(ids: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
 
 
-def heavy_grams(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def heavy_grams(sets: DataFrame, cut: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (range and residue) of the most frequent n-grams, ascending, and how many sets hold each. At most HEAVY."""
-    parts = width(sets.sparkSession)
+    most_each = max(1, HEAVY // cut)
 
     def deal(batches):
         grams, held = [], 0
 
         def flush():
             own, n = np.unique(np.concatenate(grams), return_counts=True)
-            part, residue = _parts_of(own, parts)
+            part, residue = _parts_of(own, cut)
             order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            at = np.searchsorted(part[order], np.arange(cut + 1))
             residue, n = residue[order], np.minimum(n[order], 65535).astype(np.uint16)
-            used = [p for p in range(parts) if cut[p] < cut[p + 1]]
-            blobs = [[x[cut[p] : cut[p + 1]].tobytes() for p in used] for x in (residue, n)]
+            used = [p for p in range(cut) if at[p] < at[p + 1]]
+            blobs = [[x[at[p] : at[p + 1]].tobytes() for p in used] for x in (residue, n)]
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "residues", "counts"])
 
         for batch in batches:
@@ -264,19 +302,18 @@ def heavy_grams(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield flush()
 
     def most(batches):
-        found = [(p, r, c) for batch in batches for p, r, c in zip(*(col.to_pylist() for col in batch.columns))]
-        if not found:
-            return
-        residue = np.concatenate([np.frombuffer(r, dtype=np.uint32) for _, r, _ in found])
-        n = np.concatenate([np.frombuffer(c, dtype=np.uint16) for _, _, c in found]).astype(np.int64)
-        part = np.repeat([p for p, _, _ in found], [len(r) // 4 for _, r, _ in found])
-        key, at = np.unique((part.astype(np.uint64) << np.uint64(32)) | residue, return_inverse=True)
-        total = np.bincount(at, n).astype(np.int64)
-        top = np.argsort(-total, kind="stable")[: HEAVY // parts]
-        top = np.sort(top[total[top] >= OFTEN])
-        yield pa.RecordBatch.from_arrays([pa.array([key[top].tobytes()], pa.binary()), pa.array([total[top].tobytes()], pa.binary())], names=["keys", "counts"])
-
-    dealt = sets.select("grams").mapInArrow(deal, "part int, residues binary, counts binary").repartitionById(parts, F.col("part"))
+        for part, rows in _by_part(batches):
+            residue = np.concatenate([np.frombuffer(r, dtype=np.uint32) for r, _ in rows])
+            n = np.concatenate([np.frombuffer(c, dtype=np.uint16) for _, c in rows]).astype(np.int64)
+            own, at = np.unique(residue, return_inverse=True)
+            total = np.bincount(at, n).astype(np.int64)
+            top = np.argsort(-total, kind="stable")[:most_each]
+            top = np.sort(top[total[top] >= OFTEN])
+            if len(top):
+                keys = (np.uint64(part) << np.uint64(32)) | own[top].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([total[top].tobytes()], pa.binary())], names=["keys", "counts"])
+
+    dealt = by_range(sets.select("grams").mapInArrow(deal, "part int, residues binary, counts binary"), cut)
     rows = dealt.mapInArrow(most, "keys binary, counts binary").collect()
     keys = np.concatenate([np.empty(0, dtype=np.uint64), *(np.frombuffer(r["keys"], dtype=np.uint64) for r in rows)])
     counts = np.concatenate([np.empty(0, dtype=np.int64), *(np.frombuffer(r["counts"], dtype=np.int64) for r in rows)])
@@ -286,56 +323,95 @@ def heavy_grams(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def block_members(sets: DataFrame) -> DataFrame:
     """``hub`` and ``doc_id``: the blocks that each set is in."""
-    parts = width(sets.sparkSession)
-    heavy = sets.sparkSession.sparkContext.broadcast(heavy_grams(sets))
-
-    def frequency(grams: np.ndarray) -> np.ndarray:
-        keys, counts = heavy.value
+    spark = sets.sparkSession
+    parts, cut = width(spark), ranges(sets)
+    keys, counts = heavy_grams(sets, cut)
+    heavy = spark.sparkContext.broadcast((keys, counts))
+
+    def places(grams: np.ndarray) -> np.ndarray:
+        """Number of each gram among the frequent ones, -1 for others."""
+        keys = heavy.value[0]
         if not len(keys):
-            return np.zeros(len(grams), dtype=np.int64)
-        part, residue = _parts_of(grams, parts)
+            return np.full(len(grams), -1, dtype=np.int64)
+        part, residue = _parts_of(grams, cut)
         own = (part.astype(np.uint64) << np.uint64(32)) | residue
         at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        return np.where(keys[at] == own, counts[at], 0)
-
-    def deal(batches):
-        ids, owners, grams, held = [], [], [], 0
-
-        def flush():
-            return _deal(np.array(ids, dtype=np.int64), np.concatenate(owners), np.concatenate(grams), parts, False, 0)
+        return np.where(keys[at] == own, at, -1)
 
+    def prefixes(batches):
+        """Documents, whose each gram is, the grams that come first in the order, and their numbers among the frequent ones; in chunks."""
+        counts = np.append(heavy.value[1], 0)
+        ids, owners, grams, numbers, held = [], [], [], [], 0
         for batch in batches:
             for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = np.frombuffer(blob, dtype=np.uint64)
-                own = own[np.argsort(frequency(own), kind="stable")[: len(own) - need(len(own)) + 1]]
-                owners.append(np.full(len(own), len(ids)))
+                at = places(own)
+                first = np.argsort(counts[at], kind="stable")[: len(own) - need(len(own)) + 1]
+                owners.append(np.full(len(first), len(ids)))
                 ids.append(doc)
-                grams.append(own)
-                held += len(own)
+                grams.append(own[first])
+                numbers.append(at[first])
+                held += len(first)
                 if held >= CHUNK:
-                    yield flush()
-                    ids, owners, grams, held = [], [], [], 0
+                    yield np.array(ids, dtype=np.int64), *map(np.concatenate, (owners, grams, numbers))
+                    ids, owners, grams, numbers, held = [], [], [], [], 0
         if ids:
-            yield flush()
+            yield np.array(ids, dtype=np.int64), *map(np.concatenate, (owners, grams, numbers))
+
+    def lead(batches):
+        """Of each frequent n-gram the document that comes first, in this task."""
+        found = np.empty((0, 2), dtype=np.int64)
+        for ids, owners, _, numbers in prefixes(batches):
+            hot = numbers >= 0
+            found = _first_of(np.concatenate([found, np.stack([numbers[hot], ids[owners[hot]]], axis=1)]))
+        yield _pack(found, parts)
+
+    def lead_all(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([_first_of(_unpack(batches, 2)).tobytes()], pa.binary())], names=["rows"])
+
+    hubs = np.full(len(keys), -1, dtype=np.int64)
+    if len(keys):
+        led = sets.select("doc_id", "grams").mapInArrow(lead, PACKED).repartitionById(parts, F.col("part")).mapInArrow(lead_all, "rows binary")
+        for row in led.collect():  # at most HEAVY rows in all
+            own = np.frombuffer(row["rows"], dtype=np.int64).reshape(-1, 2)
+            hubs[own[:, 0]] = own[:, 1]
+    hub_of = spark.sparkContext.broadcast(hubs)
+
+    def deal(batches):
+        for ids, owners, grams, numbers in prefixes(batches):
+            hot = numbers >= 0
+            yield _deal(ids, owners[~hot], grams[~hot], cut, False, 0)
+            pairs = np.unique(np.stack([hub_of.value[numbers[hot]], ids[owners[hot]]], axis=1), axis=0)
+            packed = _pack(pairs, cut, 2)
+            none = pa.array([b""] * packed.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([packed.column(0), none, none, none, none, packed.column(1)], names=["part", "docs", "counts", "residues", "multi", "sizes"])
 
     def meet(batches):
-        keys, doc, _, _ = _collect_part(batches)
-        order = np.lexsort((rank_of(doc), keys))
-        start, length = _runs(keys[order])
-        doc = doc[order]
-        met = np.repeat(length > 1, length)
-        pairs = np.stack([np.repeat(doc[start], length)[met], doc[met]], axis=1)
-        yield _pack(np.unique(pairs, axis=0) if len(pairs) else pairs, parts)
+        for part, rows in _by_part(batches):
+            met = _unpack_rows([s for *_, s in rows if s], 2)
+            keys, doc, _, _ = _dealt(part, [r for r in rows if not r[4]])
+            order = np.lexsort((rank_of(doc), keys))
+            start, length = _runs(keys[order])
+            doc = doc[order]
+            several = np.repeat(length > 1, length)
+            pairs = np.concatenate([met, np.stack([np.repeat(doc[start], length)[several], doc[several]], axis=1)])
+            yield _pack(np.unique(pairs, axis=0), parts, 2)
 
     def once(batches):
-        pairs = _unpack(batches, 2)
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        pairs = np.unique(_unpack(batches, 2), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["hub", "doc_id"])
 
-    dealt = sets.select("doc_id", "grams").mapInArrow(deal, DEALT).repartitionById(parts, F.col("part"))
+    dealt = by_range(sets.select("doc_id", "grams").mapInArrow(deal, DEALT), cut)
     return dealt.mapInArrow(meet, PACKED).repartitionById(parts, F.col("part")).mapInArrow(once, "hub long, doc_id long")
 
 
+def _first_of(pairs: np.ndarray) -> np.ndarray:
+    """Of pairs (key, document) one for each key: the document that comes first in the fixed order."""
+    order = np.lexsort((rank_of(pairs[:, 1]), pairs[:, 0]))
+    start, _ = _runs(pairs[order, 0])
+    return pairs[order[start]]
+
+
 def link_block(sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Edges of a forest with the components of a block's links; positions in the block."""
     m = len(sets)
@@ -373,19 +449,37 @@ def link_block(sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int
     return edges
 
 
+def hub_distances(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``hub``, ``doc_id``, whether they are ``linked``, and their Jaccard ``distance``."""
+
+    def compare(batches):
+        centre, held = np.empty(0, dtype=np.uint64), None
+        for batch in batches:
+            hub, salt, member, doc, blobs = (batch.column(k).to_pylist() for k in range(5))
+            out: list[tuple] = []
+            for i in range(len(hub)):
+                own = np.frombuffer(blobs[i], dtype=np.uint64)
+                if member[i] == 0:
+                    centre, held = own, hub[i]
+                    continue
+                assert hub[i] == held
+                at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                both = int((centre[at] == own).sum())
+                out.append((hub[i], doc[i], both, len(own) + len(centre) - both))
+            both, union = (np.array([r[k] for r in out], dtype=np.int64) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array(100 * both >= PERCENT * union), pa.array(1 - both / np.maximum(union, 1))],
+                names=["hub", "doc_id", "linked", "distance"],
+            )
+
+    loaded = star_rows(members, "doc_id").join(sets.select("doc_id", "grams"), "doc_id").select("hub", "salt", "member", "doc_id", "grams")
+    return gather(loaded, "hub", "salt", within=["member", "doc_id"]).mapInArrow(compare, "hub long, doc_id long, linked boolean, distance double")
+
+
 def link_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between representatives."""
-    size = members.groupBy("hub").agg(F.count("*").alias("m")).where("m > 1")
-    pieces = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
-    place = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    dealt = (
-        members.join(size.withColumn("k", pieces), "hub")
-        .withColumn("own", own)
-        .withColumn("place", F.explode(F.when(F.col("k") == 1, whole).otherwise(F.filter(place, lambda p: p["i"] != p["j"]))))
-        .select("hub", F.col("place.i").alias("i"), F.col("place.j").alias("j"), "doc_id")
-    )
+    star = materialise(hub_distances(members, sets), "gram-star")
+    dealt = piece_pairs(left_open(star, "doc_id", 1 - PERCENT / 100), "hub", "doc_id", F.lit(BLOCK), False)
 
     def link(batches):
         held: tuple | None = None
@@ -409,7 +503,8 @@ def link_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([docs[x] for x, _ in found], pa.int64()), pa.array([docs[y] for _, y in found], pa.int64())], names=["a", "b"])
 
     loaded = dealt.join(sets.select("doc_id", "grams"), "doc_id").select("hub", "i", "j", "doc_id", "grams")
-    return loaded.repartition(width(members.sparkSession), "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "doc_id").mapInArrow(link, "a long, b long")
+    rest = gather(loaded, "hub", "i", "j", within=["doc_id"]).mapInArrow(link, "a long, b long")
+    return star.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).unionByName(rest)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -435,9 +530,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
+
+    Of several such rows with one doc_id and equal texts one stays; rows of one doc_id with different texts are one document and stay
+    together. Rows with a null doc_id are left alone."""
     gone = materialise(jaccard_components(docs).where("doc_id <> component_id").select("doc_id"), "gram-gone", small=True)
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keys = ["doc_id", "text"]
+    mark = F.xxhash64(F.lit(1), "text").alias("__text")
+    again = left.where("doc_id is not null").groupBy("doc_id", mark).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.col("__text"))
+    again = materialise(again, "gram-repeats", small=True)
+    if again.isEmpty():
+        return left
+    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    marked = left.select(F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("row"), F.col("doc_id"), mark)  # names can't clash inside
+    rows = marked.join(again, ["doc_id", "__text"], "left_anti").select("row")
+    rows = rows.unionByName(marked.join(again, ["doc_id", "__text"], "left_semi").groupBy(*(F.col(f"row.{k}").alias(k) for k in keys)).agg(F.first("row").alias("row")).select("row"))
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in left.columns))
 
 
 #: The same for documents with distinct doc_ids by plain joins, in DuckDB's SQL; quadratic in a passage's documents, so for small tables.

@@ -127,6 +127,55 @@ def test_join_links_a_short_row_beside_a_long_one_of_its_id(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, 2, 1), (2, 996, 1), (4, 2, 4)}
 
 
+def test_keep_first_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 2), (1, "a b c d e f", 3), (2, "a b c d e f", 4), (3, None, 5), (3, None, 6), (4, "x y z", 7), (4, "other words in this row", 8), (None, "q", 9), (None, "q", 10)]
+    df = spark.createDataFrame([(*r, "z", 0) for r in rows], "doc_id long, text string, `my row` int, row string, __text int")
+    kept = ngram_join.keep_first(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted((str(r.doc_id), r.text) for r in got if r.doc_id != 3) == sorted([("1", "a b c d e f"), ("4", "x y z"), ("4", "other words in this row"), ("None", "q"), ("None", "q")])
+    assert [r.doc_id for r in got].count(3) == 1
+
+
+def wider_copies(n, seed=9, length=60):
+    """Copies with so many changes that a part of them doesn't link with any one hub."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in range(length)]
+    for _ in range(n):
+        w = list(base)
+        for k in rng.integers(0, length, rng.integers(0, 3)):
+            w[k] = f"e{rng.integers(0, 4)}"
+        cut = rng.integers(0, 9)
+        yield " ".join(w[cut : length - rng.integers(0, 9)])
+
+
+def test_join_finds_links_beside_the_hub(spark, monkeypatch):
+    from gradeloom.llm import blocks
+
+    monkeypatch.setattr(blocks, "STAR", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "OFTEN", 3)
+    texts = list(wider_copies(150)) + list(wider_copies(60, 3, 30))
+    check_join(spark, list(range(len(texts))), texts)
+    monkeypatch.setattr(blocks, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "ranges", lambda docs: 12)
+    check_join(spark, list(range(len(texts))), texts)
+
+
+def test_a_large_group_is_dealt_out_evenly(spark):
+    """A group of near copies is compared in groups of a few dozen, and hardly any of it goes on to pairs of pieces."""
+    from gradeloom.llm import blocks
+    from gradeloom.llm.ngram_join import block_members, grams_of, hub_distances
+
+    texts = sorted(set(near_copies(3_000, 5, 120)))
+    sets_ = grams_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    members = block_members(sets_).cache()
+    sizes = [r["n"] for r in blocks.star_rows(members, "doc_id").groupBy("hub", "salt").agg({"*": "count"}).toDF("hub", "salt", "n").collect()]
+    assert max(sizes) < 3 * blocks.STAR and sum(sizes) > 2_000
+    star = hub_distances(members, sets_).cache()
+    assert blocks.left_open(star, "doc_id", 0.2).count() <= star.count()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(6, 30)] + [(1, 1), (None, 2), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -199,15 +248,58 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
-def test_recall_on_driver_vectors(spark):
-    df = spark.read.parquet("/root/testdata/check_h/embeddings.parquet").where("label = 1")
+def test_recall_against_brute_force_at_scale(spark):
+    """4,000 vectors of a label: groups of near copies just around the threshold, and a large one."""
+    rng = np.random.default_rng(3)
+    x = []
+    for size in [1_500] + [25] * 80:
+        centre = rng.normal(size=64)
+        x.append(centre + rng.normal(scale=0.1, size=(size, 64)))
+    x = np.concatenate([*x, rng.normal(size=(500, 64))])
+    rng.shuffle(x)
+    df = spark.createDataFrame([(i, v.tolist(), 7) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = lattice.near_duplicates(df).toPandas().sort_values("vec_id")
-    x = np.stack(df.toPandas().sort_values("vec_id").embedding).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     close = x @ x.T >= 0.98
     np.fill_diagonal(close, False)
+    assert close.sum() > 100_000
     assert got.n_links.sum() >= 0.99 * close.sum() and (got.n_links.to_numpy() <= close.sum(1)).all()
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_driver_vectors_equal_brute_force(spark, size):
+    df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    got = lattice.near_duplicates(df).toPandas().sort_values("vec_id")
+    table = df.toPandas().sort_values("vec_id")
+    want = np.zeros(len(table), dtype=np.int64)
+    for label in table.label.dropna().unique():
+        own = np.flatnonzero(table.label == label)
+        x = np.stack(table.embedding.iloc[own]).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want[own] = (x @ x.T >= 0.98).sum(1) - 1
+    assert got.n_links.sum() >= 0.99 * want.sum() and (got.n_links.to_numpy() <= want).all()
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_hubs_of_frequent_keys_and_links_beside_a_hub(spark, monkeypatch, broadcast):
+    from gradeloom.llm import blocks
+
+    monkeypatch.setattr(lattice, "OFTEN", 3)
+    monkeypatch.setattr(lattice, "HEAVY_KEYS", 40)
+    monkeypatch.setattr(lattice, "BLOCK", 5)
+    monkeypatch.setattr(lattice, "LEAST_PIECE", 3)
+    monkeypatch.setattr(lattice, "PIECE", 7)
+    monkeypatch.setattr(lattice, "STRIP", 2)
+    monkeypatch.setattr(lattice, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(blocks, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(blocks, "STAR", 4)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + rng.normal(scale=0.16, size=16)).tolist(), 0) for i in range(150)]
+    got = {r.vec_id: r for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    links, label = brute_vectors(rows)
+    assert {i: r.component_id for i, r in got.items()} == label and {i: r.n_links for i, r in got.items()} == links
+
+
 def test_no_vectors(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
