@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .blocks import gather, left_open, piece_pairs, star_rows
 from .components import components
 from .scratch import materialise, width
+from .scratch import own as column
 from .textkernel import gram_hashes, join_texts, mix, word_hashes, words
 from .wordbpe import text_slices
 
@@ -535,7 +536,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of several such rows with one doc_id and equal texts one stays; rows of one doc_id with different texts are one document and stay
     together. Rows with a null doc_id are left alone."""
     gone = materialise(jaccard_components(docs).where("doc_id <> component_id").select("doc_id"), "gram-gone", small=True)
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*map(column, docs.columns))
     keys = ["doc_id", "text"]
     mark = F.xxhash64(F.lit(1), "text").alias("__text")
     again = left.where("doc_id is not null").groupBy("doc_id", mark).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.col("__text"))
@@ -543,10 +544,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return left
     again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
-    marked = left.select(F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("row"), F.col("doc_id"), mark)  # names can't clash inside
+    marked = left.select(F.struct(*map(column, left.columns)).alias("row"), F.col("doc_id"), mark)  # names can't clash inside
     rows = marked.join(again, ["doc_id", "__text"], "left_anti").select("row")
     rows = rows.unionByName(marked.join(again, ["doc_id", "__text"], "left_semi").groupBy(*(F.col(f"row.{k}").alias(k) for k in keys)).agg(F.first("row").alias("row")).select("row"))
-    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in left.columns))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in left.columns))
 
 
 #: The same for documents with distinct doc_ids by plain joins, in DuckDB's SQL; quadratic in a passage's documents, so for small tables.

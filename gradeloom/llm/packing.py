@@ -4,8 +4,8 @@
 2. The histogram of piece lengths, at most ``length`` rows, goes to the driver. ``pack_histogram`` places lengths longest
    first into the pack with the most room, for whole counts at a time: it keeps packing patterns and their counts,
    never single pieces. Its work depends on the number of lengths, not of documents.
-3. Pieces are ranked inside their length (in hash buckets, so that no length lands in one task; the buckets' counts, at
-   most ``length`` x RANK_BUCKETS numbers, give each bucket's first rank), and a rank names the pattern, the pack and the
+3. Pieces are ranked inside their length, in hash buckets of about RANKED pieces, so that no length lands in one task and no task grows with the
+   corpus. The buckets' counts, ``length`` numbers and one more for each RANKED pieces, give each bucket's first rank, and a rank names the pattern, the pack and the
    slot of its piece by binary search in the table of patterns.
 
 Full pieces need no room from others, so only remainders are really packed. Padding is what the last packs leave free.
@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import fields, materialise
+from .scratch import own as own_column
 from .wordbpe import encoder, forget, text_slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
-#: Buckets in which the pieces of one length are ranked.
-RANK_BUCKETS = 64
+#: Pieces of one length that are ranked together, about.
+RANKED = 50_000
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> DataFrame:
@@ -128,16 +129,22 @@ def placement(patterns: list[tuple[dict[int, int], int]], length: int) -> dict[s
 
 def pack(pieces: DataFrame, length: int) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a table of pieces (``doc_id``, ``start``, ``length`` and further columns)."""
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_BUCKETS)).cast("int")
-    cells = pieces.groupBy("length", bucket.alias("bucket")).agg(F.count("*").alias("n")).toArrow()  # at most length x RANK_BUCKETS rows
-    table = np.zeros((length + 1, RANK_BUCKETS), dtype=np.int64)
-    table[cells["length"].to_numpy(), cells["bucket"].to_numpy()] = cells["n"].to_numpy()
-    counts = {size: int(n) for size, n in enumerate(table.sum(1)) if n}
-    places = placement(pack_histogram(counts, length), length)
-    before = np.cumsum(table, axis=1) - table
+    sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``length`` rows
+    each = np.zeros(length + 1, dtype=np.int64)  # buckets of each length
+    for size, n in sizes.items():
+        each[size] = -(-n // RANKED)
+    first = np.concatenate([[0], np.cumsum(each)])
+    table = pieces.sparkSession.createDataFrame([(s, int(each[s]), int(first[s])) for s in sizes], "length long, __each int, __first int")
+    spread = pieces.join(F.broadcast(table), "length").withColumn("__bucket", F.col("__first") + F.pmod(F.xxhash64("doc_id", "start"), F.col("__each")).cast("int"))
+    cells = spread.groupBy("__bucket").agg(F.count("*").alias("n")).toArrow()
+    count = np.zeros(int(first[-1]) + 1, dtype=np.int64)
+    count[cells["__bucket"].to_numpy()] = cells["n"].to_numpy()
+    before = np.cumsum(count) - count
+    for size in sizes:
+        before[first[size] : first[size + 1]] -= before[first[size]]
+    places = placement(pack_histogram(sizes, length), length)
     shared = pieces.sparkSession.sparkContext.broadcast((places, before))
-    own = Window.partitionBy("length", "__bucket").orderBy("doc_id", "start")
-    ranked = pieces.withColumn("__bucket", bucket).withColumn("__own", F.row_number().over(own))
+    ranked = spread.withColumn("__own", F.row_number().over(Window.partitionBy("__bucket").orderBy("doc_id", "start")))
     wide = np.int64(1) << 44
 
     def place(batches):
@@ -146,7 +153,7 @@ def pack(pieces: DataFrame, length: int) -> DataFrame:
         keys = places["size"] * wide + places["rank"]
         for batch in batches:
             size, bucket, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "__bucket", "__own"))
-            rank = before[size, bucket] + own - 1
+            rank = before[bucket] + own - 1
             at = np.searchsorted(keys, size * wide + rank, side="right") - 1
             inside = rank - places["rank"][at]
             each = places["each"][at]
@@ -156,8 +163,7 @@ def pack(pieces: DataFrame, length: int) -> DataFrame:
             )
 
     names = pieces.columns
-    schema = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in names)
-    return ranked.select(*names, "__bucket", "__own").mapInArrow(place, schema + ", sequence_id long, offset long")
+    return ranked.select(*map(own_column, names), "__bucket", "__own").mapInArrow(place, fields(pieces, names, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096) -> DataFrame:

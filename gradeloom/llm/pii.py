@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import materialise, own
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.95
@@ -201,7 +201,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     loose = [chains, *(_candidates(F.col(f"__loose_{k}"), k, F.lit(0)) for k in LOOSE)]
     df = df.withColumn("__base", F.array_sort(F.concat(*(F.filter(f"__{k}", lambda s: s["form"] > 0) for k in KINDS))))
     df = df.withColumn("__loose", F.concat(*loose))
-    return df.select(*docs.columns, F.col("__base").alias("base"), apart(F.col("__loose"), F.col("__base")).alias("loose"))
+    return df.select(*map(own, docs.columns), F.col("__base").alias("base"), apart(F.col("__loose"), F.col("__base")).alias("loose"))
 
 
 def estimate(cells: dict[tuple[int, int, int, int], float], rounds: int = 60) -> dict[tuple[int, int, int, int], float]:
@@ -265,14 +265,14 @@ def accepted_cells(found: DataFrame) -> list[str]:
 
 def find_spans(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` with ``base`` and ``spans`` (base and accepted candidates), arrays of start, rank and end."""
-    wanted = docs.select(*dict.fromkeys([*keep, text_col]))
-    found = with_candidates(wanted, text_col).select(*keep, "base", "loose")
+    wanted = docs.select(*map(own, dict.fromkeys([*keep, text_col])))
+    found = with_candidates(wanted, text_col).select(*map(own, keep), "base", "loose")
     found = materialise(found, "pii")  # the patterns run once; labelers' counts and the result read this
     cells = accepted_cells(found)
     cell = lambda s: F.concat_ws("/", *(s[p].cast("string") for p in ("rank", "form", "listed", "context", "digits", "parted")))
     extra = F.filter("loose", lambda s: cell(s).isin(cells)) if cells else F.filter("loose", lambda s: F.lit(False))
     place = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
-    return found.select(*keep, place(F.col("base")).alias("base"), F.array_sort(place(F.concat("base", extra))).alias("spans"))
+    return found.select(*map(own, keep), place(F.col("base")).alias("base"), F.array_sort(place(F.concat("base", extra))).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -291,7 +291,7 @@ def span_digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in square brackets; overlapping spans become one."""
     others = [c for c in docs.columns if c != text_col]
-    row = F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`") for c in others))  # names can't clash inside
+    row = F.struct(F.lit(0).alias("__"), *map(own, others))  # names can't clash inside
     rows = docs.select(row.alias("row"), F.col(text_col).alias("text"))
     found = find_spans(rows, ["row", "text"])
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
@@ -312,7 +312,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     clean = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), rewrite)
     hit = F.size("spans") > 0
     out = found.select("row", hit.alias("hit"), F.when(hit, clean).otherwise(text).alias("clean"))
-    own = {c: F.col("clean") if c == text_col else F.col(f"row.`{c}`") for c in docs.columns}
-    if "n_chars" in own:
-        own["n_chars"] = F.when(F.col("hit"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
-    return out.select(*(v.alias(c) for c, v in own.items()))
+    new = {c: F.col("clean") if c == text_col else F.col("row").getField(c) for c in docs.columns}
+    if "n_chars" in new:
+        new["n_chars"] = F.when(F.col("hit"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return out.select(*(v.alias(c) for c, v in new.items()))

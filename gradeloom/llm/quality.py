@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import fields, own
 from .textkernel import join_texts, mix, word_hashes, words
 from .wordbpe import text_slices
 
@@ -134,15 +135,15 @@ def projection(seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fourier(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Random Fourier features with a constant and the standardised statistics themselves beside them."""
+    """Random Fourier features, and a constant."""
     z = np.clip((x - mean) / scale, -6, 6)
     w, b = projection()
-    return np.concatenate([np.sqrt(2 / FEATURES) * np.cos(z @ w + b), z / 10, np.ones((len(z), 1))], axis=1)
+    return np.concatenate([np.sqrt(2 / FEATURES) * np.cos(z @ w + b), np.ones((len(z), 1))], axis=1)
 
 
 def normal_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """X'X and X'y of the even and of the odd rows (``half``), summed in each partition, then over partitions."""
-    d = FEATURES + STATISTICS + 1
+    d = FEATURES + 1
 
     def sums(batches):
         xx, xy = np.zeros((2, d, d)), np.zeros((2, d))
@@ -248,8 +249,7 @@ def score_texts(texts: list[str | None], model: dict) -> np.ndarray:
 def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``score``; a column of that name is replaced."""
     keep = [c for c in keep if c != "score"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col))
+    rows = docs.select(*map(own, keep)) if text_col in keep else docs.select(*map(own, keep), own(text_col))
     at = rows.columns.index(text_col)
 
     def run(batches):
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text")
                 kept = [batch.column(k).slice(first, len(texts)) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(score_texts(texts, model))], names=[*keep, "score"])
 
-    return rows.mapInArrow(run, schema + ", score double")
+    return rows.mapInArrow(run, fields(docs, keep, "score double"))
 
 
 def held_out(folds: int = 4, fold: int = 2):
@@ -276,4 +276,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     """The rows of ``docs`` whose score is at least ``threshold``, with all their columns."""
     renamed = {"score": "__own_score"} if "score" in docs.columns else {}
     scored = score(docs.withColumnsRenamed(renamed), train(docs, labels.where(~held_out())), [renamed.get(c, c) for c in docs.columns])
-    return scored.where(F.col("score") >= threshold).select(*(F.col(renamed.get(c, c)).alias(c) for c in docs.columns))
+    return scored.where(F.col("score") >= threshold).select(*(own(renamed.get(c, c)).alias(c) for c in docs.columns))

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,6 +67,16 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def own(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fields(df: DataFrame, names: list[str], further: str) -> StructType:
+    """The schema of columns of ``df`` and of ``further`` ones; types are taken as they are, so that nested names may hold anything."""
+    return StructType([*(df.schema[c] for c in names), *StructType.fromDDL(further).fields])
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions that the cluster is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -174,6 +174,8 @@ def _stored(raw: bytes, size: int) -> bytes:
 
 
 DECODERS = {NONE: _stored, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: packbits_decode}
+#: Bytes that a byte of a strip can become at most: a run of 128 of 2 bytes; strings of up to 3838 of 9 bits and more; runs of 258 of 2 bits.
+MOST_GROWTH = {NONE: 1, PACKBITS: 64, LZW: 3_500, DEFLATE: 1_040, OLD_DEFLATE: 1_040}
 ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda raw: zlib.compress(raw, 1), PACKBITS: packbits_encode}
 
 
@@ -226,7 +228,13 @@ def _image(raw: bytes, f: dict[int, tuple[int, ...]], index: int) -> Page:
     across, down = -(-width // wide), -(-height // tall)
     if len(offsets) != across * down or len(sizes) != len(offsets):
         raise TiffError("strips or tiles don't cover the image")
-    out = np.empty((down * tall if tiled else height, across * wide, samples), dtype=np.uint8)
+    room = down * tall * across * wide * samples if tiled else height * width * samples
+    if room > MOST_GROWTH[compression] * sum(sizes):  # the sides are only claimed; what data can fill them is in the file
+        raise TiffError("the image is larger than its data can be")
+    try:
+        out = np.empty((down * tall if tiled else height, across * wide, samples), dtype=np.uint8)
+    except MemoryError:
+        raise TiffError("the image doesn't fit into memory") from None
     for k, (offset, size) in enumerate(zip(offsets, sizes)):
         if offset + size > len(raw):
             raise TiffError("strip or tile outside the file")

@@ -8,7 +8,7 @@ indexes, so a filter on doc_id reads the pages it needs and a query for lengths
 ``read_tokens`` reads the files back and adds each document's place in the whole stream.
 
 Defined cases: a null text is an empty one and holds the end id alone. Rows with a null doc_id come first. Repeated
-doc_ids are kept, ordered by text. An empty table gives empty files. Other columns are not read.
+doc_ids are kept, in a fixed order; an id or null of many rows is spread over several files. An empty table gives empty files. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import scratch_path, small_batches, width
@@ -45,11 +45,16 @@ def file_options(row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_
     }
 
 
+def order_key(doc_id: Column) -> Column:
+    """Null before all others."""
+    return F.coalesce(doc_id, F.lit(-(1 << 63)))
+
+
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` ascending values that cut a number column into ranges of about as many rows."""
+    """``parts - 1`` ascending values that cut a number column into ranges of about as many rows; a value of many rows may be there several times."""
     if parts < 2:
         return []
-    return sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 1 / (4 * parts))))
+    return sorted(df.approxQuantile(column, [i / parts for i in range(1, parts)], 1 / (4 * parts)))
 
 
 def write_tokens(
@@ -65,10 +70,12 @@ def write_tokens(
     """Encode every whole text of ``docs`` into token files at ``path``."""
     shards = shards or width(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds = range_bounds(base, "doc_id", shards)
+    bounds = range_bounds(base.select(order_key(F.col("doc_id")).alias("key")), "key", shards)
     shard = F.lit(0)
     if bounds:
-        shard = F.coalesce(F.array_size(F.filter(F.lit([int(b) for b in bounds]), lambda b: b < F.col("doc_id"))), F.lit(0))
+        cuts, key = F.lit([int(b) for b in bounds]), order_key(F.col("doc_id"))
+        same = F.array_size(F.filter(cuts, lambda b: b == key))
+        shard = F.array_size(F.filter(cuts, lambda b: b < key)) + F.when(same > 1, F.pmod(F.xxhash64("text"), same)).otherwise(0)
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def encode(batches):

@@ -9,6 +9,8 @@ takes the stack of the last event before it, and the longest of its rules whose
 The sweep is split by the key's first label and, within it, by a hash of the url's row; the few events of a label are
 copied to each of its splits, so that a host with a third of all urls is spread over all of them.
 
+A rule list may also be a table (``rule_events``).
+
 Defined cases: a null url or one without ``://`` has an empty host and path, which no rule fits. Equal lengths: the rule
 with the longer host wins, then ``block``. Repeated rows are judged each for itself. Extra columns are kept as they are
 unless they have the result's names.
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import width
+from .scratch import own, width
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STACK = "array<struct<len:int,host_len:int,verdict:string,path:string,rule:string>>"
@@ -70,13 +72,30 @@ def sweep_events(rules: list[tuple[str, str, str]]) -> list[tuple[str, str, list
     return [(label, at, active) for at, (label, active) in events.items()]
 
 
-def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", url_col: str = "url", splits: int | None = None) -> DataFrame:
+def rule_events(rules: DataFrame) -> DataFrame:
+    """``label``, ``key`` and ``stack`` of the same changes for rules in a table (``verdict``, ``host``, ``path``).
+
+    Intervals are nested or apart, so the rules active in one are those of the keys that its key starts with; where it ends, those of the
+    shorter ones. Rules with a null host or path, and repeated rules, don't count."""
+    given = rules.select("verdict", "host", "path").where("host is not null and path is not null").distinct()
+    rule = F.struct((F.length("host") + F.length("path")).alias("len"), F.length("host").alias("host_len"), "verdict", "path", F.concat("host", "path").alias("rule"))
+    by_key = given.groupBy(canonical(F.col("host")).alias("key")).agg(F.collect_list(rule).alias("own"))
+    labels = F.split("key", r"\.")
+    starts = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit(".")))
+    above = by_key.select(F.col("key").alias("at"), F.explode(starts).alias("key")).join(by_key, "key")
+    stacks = above.groupBy("at").agg(F.flatten(F.collect_list("own")).alias("inside"), F.coalesce(F.flatten(F.collect_list(F.when(F.col("key") != F.col("at"), F.col("own")))), F.array().cast(STACK)).alias("outside"))
+    opens = stacks.select(F.substring_index("at", ".", 1).alias("label"), F.col("at").alias("key"), F.col("inside").cast(STACK).alias("stack"))
+    closes = stacks.select(F.substring_index("at", ".", 1).alias("label"), F.concat(F.expr("substring(at, 1, length(at) - 1)"), F.lit("/")).alias("key"), F.col("outside").cast(STACK).alias("stack"))
+    return opens.unionByName(closes)
+
+
+def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow", url_col: str = "url", splits: int | None = None) -> DataFrame:
     """``pages`` with ``host``, ``path``, the winning ``rule`` (null if none fits) and ``verdict``."""
     spark = pages.sparkSession
     splits = splits or width(spark)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rest = rest_of(F.coalesce(F.col(url_col), F.lit("")))
-    urls = pages.select(F.struct(*kept).alias("row"), host_of(rest).alias("host"), path_of(rest).alias("path"))
+    urls = pages.select(F.struct(*map(own, kept)).alias("row"), host_of(rest).alias("host"), path_of(rest).alias("path"))
     urls = urls.select(
         "row",
         "host",
@@ -84,19 +103,19 @@ def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
         canonical(F.col("host")).alias("key"),
         F.lit(1).alias("kind"),
         F.lit(None).cast(STACK).alias("stack"),
-        F.pmod(F.xxhash64(*(F.col(f"row.`{c}`") for c, t in pages.dtypes if c in kept and "map<" not in t and "variant" not in t)), F.lit(splits)).cast("int").alias("split"),
+        F.pmod(F.xxhash64(F.lit(0), *(F.col("row").getField(c) for c, t in pages.dtypes if c in kept and "map<" not in t and "variant" not in t)), F.lit(splits)).cast("int").alias("split"),
     )
-    row_type = urls.schema["row"].dataType.simpleString()
+    row_type = urls.schema["row"].dataType
+    changes = rule_events(rules) if isinstance(rules, DataFrame) else spark.createDataFrame(sweep_events(rules), f"label string, key string, stack {STACK}")
     events = (
-        spark.createDataFrame(sweep_events(rules), f"label string, key string, stack {STACK}")
-        .select(F.lit(None).cast(row_type).alias("row"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "key", F.lit(0).alias("kind"), "stack", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), "label")
+        changes.select(F.lit(None).cast(row_type).alias("row"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "key", F.lit(0).alias("kind"), "stack", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), "label")
     )
     both = urls.withColumn("label", F.substring_index("key", ".", 1)).unionByName(events)
     sweep = Window.partitionBy("label", "split").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     best = F.array_max(F.filter("active", lambda r: F.startswith(F.col("path"), r["path"])))
     return found.withColumn("best", best).select(
-        *(F.col(f"row.`{c}`").alias(c) for c in kept), "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict")
+        *(F.col("row").getField(c).alias(c) for c in kept), "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict")
     )
 
 
