@@ -24,10 +24,10 @@ from .scratch import fields, own
 from .textkernel import join_texts, mix, word_hashes, words
 from .wordbpe import text_slices
 
-FEATURES = 384
+FEATURES = 640
 TRAIN_ROWS = 60_000
 TRAIN_PARTS = 8
-RIDGE = 1e-3
+RIDGE = 1e-4
 SEED = 17
 
 
@@ -130,8 +130,9 @@ def statistics(texts: list[str | None]) -> np.ndarray:
 
 
 def projection(seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and phases for the kernel exp(-|x - y|**2 / (2 * STATISTICS))."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    return rng.standard_normal((STATISTICS, FEATURES)) / np.sqrt(STATISTICS / 2), rng.uniform(0, 2 * np.pi, FEATURES)
+    return rng.standard_normal((STATISTICS, FEATURES)) / np.sqrt(STATISTICS), rng.uniform(0, 2 * np.pi, FEATURES)
 
 
 def fourier(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:

@@ -154,21 +154,59 @@ def test_driver_languages(spark):
 
 
 def brute_statistics(text):
-    raw = (text or "").encode()
-    words = [w for w in (text or "").replace("\n", " ").replace("\t", " ").split(" ") if w]
-    low = [w.lower() for w in words]
-    return len(raw), len(words), len(set(low)) / len(words) if words else 0.0
-
-
-def test_statistics_match_plain_counts():
-    texts = ["the cat the cat sat", None, "", "a | b !! c", "one\ntwo\none\n", "UPPER lower 123"]
+    """All twenty numbers from their definitions, one text at a time."""
+    from collections import Counter
+
+    t = text or ""
+    raw = t.encode()
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", low) if w]
+    lines = [tuple(w for w in re.split(rb"[\x20\x09-\x0D]+", x) if w) for x in low.split(b"\n") if x]
+    upper, lower = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 for c in raw)
+    other, n, size = sum(c >= 128 for c in raw), len(words), len(raw)
+    letters = upper + lower + other / 2
+    share = lambda a, b: a / b if b else 0.0
+    count = lambda chars: sum(c in chars for c in raw)
+    marks = b"#$%&*@=+<>[]{}\\^_`~/"
+    sizes = [len(w) for w in words]
+    kinds, line_kinds = Counter(words), Counter(lines)
+    return [
+        np.log1p(size), np.log1p(n), share(upper, letters), share(count(b"0123456789"), size), share(count(b".,;:'\"()-?"), size),
+        np.log1p(1000 * share(count(marks), size)), np.log1p(1000 * share(count(b"|"), size)), np.log1p(1000 * share(count(b"!"), size)),
+        share(count(b"\x09\x0b\x0c\x0d\x20"), size), np.log1p(1000 * share(count(b"\n"), size)), share(other, size),
+        np.mean(sizes) if n else 0.0, np.std(sizes) if n else 0.0, share(len(kinds), n), np.log1p(len(kinds)) - np.log1p(n), share(max(kinds.values(), default=0), n),
+        share(len(line_kinds), len(lines)), share(max(line_kinds.values(), default=0), len(lines)), share(sum(any(c in marks + b"|!" for c in w) for w in words), n), np.log1p(share(n, len(lines))),
+    ]
+
+
+def test_statistics_against_definitions(odd_texts):
+    texts = ["the cat the cat sat", None, "", "a | b !! c", "one\ntwo\none\n", "UPPER lower 123", "#a b$ (c) d_e\n\nf\tg", "same line\nsame line\nother", *odd_texts]
     x = quality.statistics(texts)
     assert x.shape == (len(texts), quality.STATISTICS) and np.isfinite(x).all()
     for row, t in zip(x, texts):
-        size, n, share = brute_statistics(t)
-        assert np.isclose(row[0], np.log1p(size)) and np.isclose(row[1], np.log1p(n)) and np.isclose(row[13], share)
-    assert np.isclose(x[4, 16], 2 / 3)
-    assert (x[1] == x[2]).all()
+        want = brute_statistics(t)
+        assert np.allclose(row, want, atol=1e-6), (t and t[:40], [(i, a, b) for i, (a, b) in enumerate(zip(row, want)) if not np.isclose(a, b, atol=1e-6)])
+
+
+def test_inner_products_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(40, quality.STATISTICS))
+    f = quality.fourier(x, np.zeros(quality.STATISTICS), np.ones(quality.STATISTICS))[:, :-1]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * quality.STATISTICS))
+    assert abs(f @ f.T - kernel).mean() < 0.05
+
+
+def test_normal_equations_are_sums_over_partitions(spark):
+    rng = np.random.default_rng(1)
+    x, y, half = rng.normal(size=(90, quality.STATISTICS)), rng.integers(0, 2, 90), rng.integers(0, 2, 90)
+    rows = spark.createDataFrame([(a.tolist(), float(b), int(h)) for a, b, h in zip(x, y, half)], "x array<double>, y double, half int").repartition(5)
+    mean, scale = x.mean(0), x.std(0)
+    got = quality.normal_equations(rows, mean, scale)
+    for h in (0, 1):
+        f = quality.fourier(x[half == h], mean, scale)
+        assert np.allclose(got[h][0], f.T @ f) and np.allclose(got[h][1], f.T @ y[half == h])
+        penalty = np.diag([*[quality.RIDGE * max(1.0, len(f))] * (f.shape[1] - 1), 1e-9])
+        assert np.allclose(quality.solve(*got[h]), np.linalg.lstsq(f.T @ f + penalty, f.T @ y[half == h], rcond=None)[0], atol=1e-6)
 
 
 def test_statistics_do_not_depend_on_neighbours():
@@ -178,11 +216,19 @@ def test_statistics_do_not_depend_on_neighbours():
 
 
 def test_isotonic_is_least_squares():
+    """At each raw score: the largest, over starts, of the smallest, over ends, mean of the labels between them."""
     rng = np.random.default_rng(0)
-    raw = rng.normal(size=200).round(1)
-    y = (raw + rng.normal(size=200) > 0).astype(float)
-    xs, ys = quality.isotonic(raw, y)
-    assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all() and ((0 <= ys) & (ys <= 1)).all()
+    for n in (1, 2, 60, 200):
+        raw = rng.normal(size=n).round(1)
+        y = (raw + rng.normal(size=n) > 0).astype(float)
+        xs, ys = quality.isotonic(raw, y)
+        values = np.unique(raw)
+        best = [max(min(y[(raw >= a) & (raw <= b)].mean() for b in values[values >= v]) for a in values[values <= v]) for v in values]
+        for v, want in zip(values, best):
+            k = np.flatnonzero((xs[0::2] <= v) & (v <= xs[1::2]))[0]
+            inside = (raw >= xs[2 * k]) & (raw <= xs[2 * k + 1])
+            assert np.isclose(y[inside].mean(), want) and np.isclose(ys[2 * k], (y[inside].sum() + 0.5) / (inside.sum() + 1)) or ys[2 * k] > (y[inside].sum() + 0.5) / (inside.sum() + 1)
+        assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all() and ((0 <= ys) & (ys <= 1)).all()
 
 
 def test_quality_on_driver_labels(spark):
