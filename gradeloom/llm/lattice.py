@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BROADCAST_ROWS, gather, left_open, piece_pairs, star_rows
+from .blocks import BROADCAST_ROWS, gather, open_pairs, piece_pairs, star_rows
 from .components import components
 from .ngram_join import rank_of
 from .scratch import materialise, width
@@ -37,7 +37,7 @@ TABLES = 8
 LATTICES = 2
 CELL = 0.7
 SEED = 8
-BLOCK = 256
+BLOCK = 1_024
 #: Least and largest piece of a component whose links are counted; rows of a product that are held at a time.
 LEAST_PIECE = 64
 PIECE = 4_096
@@ -173,7 +173,8 @@ def _by_length(vectors: list[np.ndarray]):
 
 
 def hub_angles(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """``hub``, ``vec_id``, whether they are ``linked``, and the angle between them (``distance``)."""
+    """``hub``, ``vec_id``, whether they are ``linked``, and bounds for others: two vectors whose angles to the hub differ by more than the threshold's don't link (``low``, ``high``)."""
+    reach = float(np.arccos(threshold)) + 1e-9
 
     def compare(batches):
         for (hub, _), (member, ids, embeddings) in _groups(batches, 2):
@@ -183,10 +184,11 @@ def hub_angles(members: DataFrame, vectors: DataFrame, threshold: float) -> Data
                     cosine[at] = x @ x[0]
             own = member == 1
             cosine = np.clip(cosine[own], -1.0, 1.0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), hub)), pa.array(ids[own]), pa.array(cosine >= threshold), pa.array(np.arccos(cosine))], names=["hub", "vec_id", "linked", "distance"])
+            angle = np.arccos(cosine)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), hub)), pa.array(ids[own]), pa.array(cosine >= threshold), pa.array(angle), pa.array(angle + reach)], names=["hub", "vec_id", "linked", "low", "high"])
 
     loaded = star_rows(members, "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").select("hub", "salt", "member", "vec_id", "embedding")
-    return gather(loaded, "hub", "salt", within=["member", "vec_id"]).mapInArrow(compare, "hub long, vec_id long, linked boolean, distance double")
+    return gather(loaded, "hub", "salt", within=["member", "vec_id"]).mapInArrow(compare, "hub long, vec_id long, linked boolean, low double, high double")
 
 
 def link_edges(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -194,7 +196,7 @@ def link_edges(members: DataFrame, vectors: DataFrame, threshold: float) -> Data
     star = materialise(hub_angles(members, vectors, threshold), "vector-star")
 
     def link(batches):
-        for _, (_, ids, embeddings) in _groups(batches, 3):
+        for _, (ids, embeddings) in _groups(batches, 3):
             a, b = [], []
             for own, x in _by_length(embeddings):
                 close = x @ x.T >= threshold
@@ -213,9 +215,8 @@ def link_edges(members: DataFrame, vectors: DataFrame, threshold: float) -> Data
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    # vectors of a hub that are about as far from it as one that it doesn't link
-    dealt = piece_pairs(left_open(star, "vec_id", float(np.arccos(threshold))), "hub", "vec_id", F.lit(BLOCK), False)
-    loaded = dealt.join(vectors.select("vec_id", "embedding"), "vec_id").select("hub", "i", "j", "own", "vec_id", "embedding")
+    dealt = open_pairs(star, "vec_id", BLOCK)
+    loaded = dealt.join(vectors.select("vec_id", "embedding"), "vec_id").select("hub", "i", "j", "vec_id", "embedding")
     rest = gather(loaded, "hub", "i", "j", within=["vec_id"]).mapInArrow(link, "a long, b long")
     return star.where("linked").select(F.col("hub").alias("a"), F.col("vec_id").alias("b")).unionByName(rest)
 
@@ -238,7 +239,7 @@ def count_links(found: DataFrame, vectors: DataFrame, threshold: float) -> DataF
 
     members = found.select(F.col("component"), F.col("node").alias("vec_id"))
     most = F.least(F.lit(PIECE), F.greatest(F.lit(LEAST_PIECE), F.ceil(F.col("m") / LEAST_PIECE)))
-    dealt = piece_pairs(members, "component", "vec_id", most, True)
+    dealt = piece_pairs(members, "component", "vec_id", most)
     loaded = dealt.join(vectors.select("vec_id", "times", "embedding"), "vec_id").select("component", "i", "j", "own", "vec_id", "times", "embedding")
     rows = gather(loaded, "component", "i", "j", within=["vec_id"]).mapInArrow(count, "vec_id long, linked long")
     return rows.groupBy("vec_id").agg(F.sum("linked").alias("linked"))

@@ -10,10 +10,10 @@ n-grams is never multiplied as a whole:
 2. Equal sets are one class, represented by its smallest doc_id.
 3. ``block_members``: linked sets share one of the first |A| - ceil(PERCENT/100 |A|) + 1 n-grams of each in any one order of all n-grams;
    the order here is by frequency for the most frequent ones (``heavy_grams``, bounded in number), which come last, then by
-   hash, so that sets meet in rare n-grams rather than in a passage that thousands share. All representatives that meet in such an n-gram join the block of the one that comes first in a fixed random order, its hub, so
-   every possible link lies in some block, and copies of one text meet in few blocks. The hubs of frequent n-grams are minima that each task combines, so no task
+   hash, so that sets meet in rare n-grams rather than in a passage that thousands share. All representatives that meet in such an n-gram join the block of one of them, its hub: the one with the fewest n-grams of its own, then by
+   hash. So every possible link lies in some block, copies of one text meet in few blocks, and their hub is about the text that they are copies of. The hubs of frequent n-grams are minima that each task combines, so no task
    gathers the sets of a frequent n-gram; the sets of another one are at most a task's share.
-4. Each member of a block is compared with its hub, in salted groups (``blocks.star_rows``); the Jaccard distance obeys the triangle inequality, so most members of a group of near copies are
+4. Each member of a block is compared with its hub, in salted groups (``blocks.star_rows``); what they differ in bounds how near others can be (``hub_bounds``), so most members of a group of near copies are
    done with that. ``link_block`` takes what is left in pairs of pieces: it multiplies a row of the block's incidence matrix with the rows not yet reached, accumulating overlap
    counts, and discards those below the bound that the sizes give: overlap >= PERCENT/(100+PERCENT) * (|A| + |B|). Rows that
    link join the row's tree and aren't looked at again; only tree edges leave the task, never all pairs of a group.
@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import gather, left_open, piece_pairs, star_rows
+from .blocks import gather, open_pairs, star_rows
 from .components import components
-from .scratch import materialise, width
+from .scratch import fields, materialise, width
 from .scratch import own as column
 from .textkernel import gram_hashes, join_texts, mix, word_hashes, words
 from .wordbpe import text_slices
@@ -46,7 +46,7 @@ N = 5
 PERCENT = 80
 #: N-grams that a task combines before it deals them out, sets in a piece of a block, ids that may be broadcast.
 CHUNK = 1_000_000
-BLOCK = 256
+BLOCK = 1_024
 #: Bytes of text (as the table stores them) whose n-grams a task holds at a time; more ranges of hashes than this a task aren't made.
 RANGE_BYTES = 16 << 20
 RANGES = 64
@@ -95,8 +95,8 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(values)]]))
 
 
-def _deal(doc_ids: np.ndarray, owner: np.ndarray, grams: np.ndarray, parts: int, combine: bool, turn: int):
-    """Rows of DEALT for a chunk: per range, its documents with how many residues each has. ``owner`` ascends.
+def _deal(doc_ids: np.ndarray, owner: np.ndarray, grams: np.ndarray, parts: int, combine: bool, turn: int, lone: np.ndarray | None = None):
+    """Rows of DEALT for a chunk: per range, its documents with how many residues each has. ``owner`` ascends. ``lone``: a number of each document for ``multi``.
 
     With ``combine``, n-grams met more than once in the chunk are dealt out once, without document (``multi``), and each
     document's number of them goes with its size to the ranges in turn (``sizes``: doc, size, shared triples)."""
@@ -125,7 +125,8 @@ def _deal(doc_ids: np.ndarray, owner: np.ndarray, grams: np.ndarray, parts: int,
             continue
         start, length = _runs(doc[a:b])
         ids = doc_ids[doc[a:b][start]]
-        rows.append((p, ids.tobytes(), length.astype(np.uint32).tobytes(), residue[a:b].tobytes(), multi_residue[c:d].tobytes(), sizes.tobytes() if mine else b""))
+        further = multi_residue[c:d] if lone is None else lone[doc[a:b][start]].astype(np.uint32)
+        rows.append((p, ids.tobytes(), length.astype(np.uint32).tobytes(), residue[a:b].tobytes(), further.tobytes(), sizes.tobytes() if mine else b""))
     cols = list(zip(*rows)) if rows else [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "docs", "counts", "residues", "multi", "sizes"])
 
@@ -246,7 +247,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
     return by_doc.mapInArrow(total, "doc_id long, n long, least long, shared long")
 
 
-def _sets_of(docs: DataFrame, columns: str, cells) -> DataFrame:
+def _sets_of(docs: DataFrame, columns: str, cells, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id`` and further columns made of each text's set; ``cells``: sets and sizes to Arrow arrays."""
 
     def run(batches):
@@ -255,9 +256,11 @@ def _sets_of(docs: DataFrame, columns: str, cells) -> DataFrame:
                 own, sizes = gram_sets(texts)
                 at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 blobs = [own[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *cells(blobs, sizes)], names=["doc_id", *(c.split()[0] for c in columns.split(", "))])
+                kept = [batch.column(k).slice(first, len(texts)) for k in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([*kept, *cells(blobs, sizes)], names=[*names, *(c.split()[0] for c in columns.split(", "))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {columns}")
+    names = ["doc_id", *keep]
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, fields(docs, names, columns))
 
 
 def digests_of(docs: DataFrame) -> DataFrame:
@@ -266,8 +269,8 @@ def digests_of(docs: DataFrame) -> DataFrame:
 
 
 def grams_of(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and its set as ascending 64-bit numbers (``grams``)."""
-    return _sets_of(docs, "grams binary", lambda blobs, sizes: [pa.array(blobs, pa.binary())])
+    """``doc_id``, ``lone`` and its set as ascending 64-bit numbers (``grams``)."""
+    return _sets_of(docs, "grams binary", lambda blobs, sizes: [pa.array(blobs, pa.binary())], ("lone",))
 
 
 def rank_of(ids: np.ndarray) -> np.ndarray:
@@ -340,16 +343,16 @@ def block_members(sets: DataFrame) -> DataFrame:
         return np.where(keys[at] == own, at, -1)
 
     def prefixes(batches):
-        """Documents, whose each gram is, the grams that come first in the order, and their numbers among the frequent ones; in chunks."""
+        """Documents with their ``lone``, whose each gram is, the grams that come first in the order, and their numbers among the frequent ones; in chunks."""
         counts = np.append(heavy.value[1], 0)
         ids, owners, grams, numbers, held = [], [], [], [], 0
         for batch in batches:
-            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, blob, lone in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 own = np.frombuffer(blob, dtype=np.uint64)
                 at = places(own)
                 first = np.argsort(counts[at], kind="stable")[: len(own) - need(len(own)) + 1]
                 owners.append(np.full(len(first), len(ids)))
-                ids.append(doc)
+                ids.append((doc, lone))
                 grams.append(own[first])
                 numbers.append(at[first])
                 held += len(first)
@@ -361,28 +364,28 @@ def block_members(sets: DataFrame) -> DataFrame:
 
     def lead(batches):
         """Of each frequent n-gram the document that comes first, in this task."""
-        found = np.empty((0, 2), dtype=np.int64)
+        found = np.empty((0, 3), dtype=np.int64)
         for ids, owners, _, numbers in prefixes(batches):
             hot = numbers >= 0
-            found = _first_of(np.concatenate([found, np.stack([numbers[hot], ids[owners[hot]]], axis=1)]))
+            found = _first_of(np.concatenate([found, np.column_stack([numbers[hot], ids[owners[hot]]])]))
         yield _pack(found, parts)
 
     def lead_all(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([_first_of(_unpack(batches, 2)).tobytes()], pa.binary())], names=["rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([_first_of(_unpack(batches, 3)).tobytes()], pa.binary())], names=["rows"])
 
     hubs = np.full(len(keys), -1, dtype=np.int64)
     if len(keys):
-        led = sets.select("doc_id", "grams").mapInArrow(lead, PACKED).repartitionById(parts, F.col("part")).mapInArrow(lead_all, "rows binary")
+        led = sets.select("doc_id", "grams", "lone").mapInArrow(lead, PACKED).repartitionById(parts, F.col("part")).mapInArrow(lead_all, "rows binary")
         for row in led.collect():  # at most HEAVY rows in all
-            own = np.frombuffer(row["rows"], dtype=np.int64).reshape(-1, 2)
+            own = np.frombuffer(row["rows"], dtype=np.int64).reshape(-1, 3)
             hubs[own[:, 0]] = own[:, 1]
     hub_of = spark.sparkContext.broadcast(hubs)
 
     def deal(batches):
         for ids, owners, grams, numbers in prefixes(batches):
             hot = numbers >= 0
-            yield _deal(ids, owners[~hot], grams[~hot], cut, False, 0)
-            pairs = np.unique(np.stack([hub_of.value[numbers[hot]], ids[owners[hot]]], axis=1), axis=0)
+            yield _deal(ids[:, 0], owners[~hot], grams[~hot], cut, False, 0, ids[:, 1])
+            pairs = np.unique(np.stack([hub_of.value[numbers[hot]], ids[owners[hot], 0]], axis=1), axis=0)
             packed = _pack(pairs, cut, 2)
             none = pa.array([b""] * packed.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([packed.column(0), none, none, none, none, packed.column(1)], names=["part", "docs", "counts", "residues", "multi", "sizes"])
@@ -390,8 +393,10 @@ def block_members(sets: DataFrame) -> DataFrame:
     def meet(batches):
         for part, rows in _by_part(batches):
             met = _unpack_rows([s for *_, s in rows if s], 2)
-            keys, doc, _, _ = _dealt(part, [r for r in rows if not r[4]])
-            order = np.lexsort((rank_of(doc), keys))
+            rows = [r for r in rows if not r[4]]
+            keys, doc, _, _ = _dealt(part, rows)
+            lone = np.concatenate([np.empty(0, dtype=np.uint32), *(np.repeat(np.frombuffer(m, dtype=np.uint32), np.frombuffer(c, dtype=np.uint32)) for _, c, _, m, _ in rows)])
+            order = np.lexsort((rank_of(doc), lone, keys))
             start, length = _runs(keys[order])
             doc = doc[order]
             several = np.repeat(length > 1, length)
@@ -402,15 +407,15 @@ def block_members(sets: DataFrame) -> DataFrame:
         pairs = np.unique(_unpack(batches, 2), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["hub", "doc_id"])
 
-    dealt = by_range(sets.select("doc_id", "grams").mapInArrow(deal, DEALT), cut)
+    dealt = by_range(sets.select("doc_id", "grams", "lone").mapInArrow(deal, DEALT), cut)
     return dealt.mapInArrow(meet, PACKED).repartitionById(parts, F.col("part")).mapInArrow(once, "hub long, doc_id long")
 
 
-def _first_of(pairs: np.ndarray) -> np.ndarray:
-    """Of pairs (key, document) one for each key: the document that comes first in the fixed order."""
-    order = np.lexsort((rank_of(pairs[:, 1]), pairs[:, 0]))
-    start, _ = _runs(pairs[order, 0])
-    return pairs[order[start]]
+def _first_of(rows: np.ndarray) -> np.ndarray:
+    """Of rows (key, document, its ``lone``) one for each key: the document that comes first."""
+    order = np.lexsort((rank_of(rows[:, 1]), rows[:, 2], rows[:, 0]))
+    start, _ = _runs(rows[order, 0])
+    return rows[order[start]]
 
 
 def link_block(sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -450,13 +455,18 @@ def link_block(sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int
     return edges
 
 
-def hub_distances(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``hub``, ``doc_id``, whether they are ``linked``, and their Jaccard ``distance``."""
+def hub_bounds(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``hub``, ``doc_id``, whether they are ``linked``, and bounds for others, ``low`` and ``high``.
+
+    Sets link if they differ in at most r * (|x| + |y|) n-grams, r = (100 - PERCENT) / (100 + PERCENT). Let d be in how many a set differs from the hub and s how many
+    of these occur in other documents too. x and y have at most the smaller s of such differences in common, and differ in all others: linked ones
+    have 2 * min(s_x, s_y) >= d_x + d_y - r * (|x| + |y|). With low = d - r * |x| and high = 2 * s - low that is low_x <= high_y and low_y <= high_x."""
+    r = (100 - PERCENT) / (100 + PERCENT)
 
     def compare(batches):
         centre, held = np.empty(0, dtype=np.uint64), None
         for batch in batches:
-            hub, salt, member, doc, blobs = (batch.column(k).to_pylist() for k in range(5))
+            hub, salt, member, doc, lone, blobs = (batch.column(k).to_pylist() for k in range(6))
             out: list[tuple] = []
             for i in range(len(hub)):
                 own = np.frombuffer(blobs[i], dtype=np.uint64)
@@ -466,21 +476,23 @@ def hub_distances(members: DataFrame, sets: DataFrame) -> DataFrame:
                 assert hub[i] == held
                 at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
                 both = int((centre[at] == own).sum())
-                out.append((hub[i], doc[i], both, len(own) + len(centre) - both))
-            both, union = (np.array([r[k] for r in out], dtype=np.int64) for k in (2, 3))
+                out.append((hub[i], doc[i], both, len(own), len(own) + len(centre) - both, lone[i]))
+            _, _, both, n, union, own_lone = (np.array([r[k] for r in out], dtype=np.int64) for k in range(6))
+            low = union - both - r * n
+            high = 2 * (union - both - own_lone) - low + 1e-6
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array(100 * both >= PERCENT * union), pa.array(1 - both / np.maximum(union, 1))],
-                names=["hub", "doc_id", "linked", "distance"],
+                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array(100 * both >= PERCENT * union), pa.array(low), pa.array(high)],
+                names=["hub", "doc_id", "linked", "low", "high"],
             )
 
-    loaded = star_rows(members, "doc_id").join(sets.select("doc_id", "grams"), "doc_id").select("hub", "salt", "member", "doc_id", "grams")
-    return gather(loaded, "hub", "salt", within=["member", "doc_id"]).mapInArrow(compare, "hub long, doc_id long, linked boolean, distance double")
+    loaded = star_rows(members, "doc_id").join(sets.select("doc_id", "lone", "grams"), "doc_id").select("hub", "salt", "member", "doc_id", "lone", "grams")
+    return gather(loaded, "hub", "salt", within=["member", "doc_id"]).mapInArrow(compare, "hub long, doc_id long, linked boolean, low double, high double")
 
 
 def link_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between representatives."""
-    star = materialise(hub_distances(members, sets), "gram-star")
-    dealt = piece_pairs(left_open(star, "doc_id", 1 - PERCENT / 100), "hub", "doc_id", F.lit(BLOCK), False)
+    star = materialise(hub_bounds(members, sets), "gram-star")
+    dealt = open_pairs(star, "doc_id", BLOCK)
 
     def link(batches):
         held: tuple | None = None
@@ -518,8 +530,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     near = docs.join(F.broadcast(going) if few else going, "doc_id", "left_semi")
     sets = materialise(digests_of(near), "gram-digests")
     classes = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "gram-classes", small=True)
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    own = grams_of(docs.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi"))
+    lone = counts.select("doc_id", F.when(F.col("least") == F.col("n"), F.greatest(F.col("n") - F.col("shared"), F.lit(0))).otherwise(0).alias("lone"))  # rows of one doc_id with sets of several sizes: not known
+    reps = materialise(classes.select(F.col("rep").alias("doc_id")).join(lone, "doc_id"), "gram-lone", small=True)
+    own = grams_of(docs.join(F.broadcast(reps) if few else reps, "doc_id"))
     own = materialise(own, "gram-reps")  # read for frequencies, for meeting places and for the products
     edges = link_edges(materialise(block_members(own), "gram-blocks", small=True), own)
     found = components(materialise(edges, "gram-edges"))

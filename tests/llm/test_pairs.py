@@ -165,15 +165,17 @@ def test_join_finds_links_beside_the_hub(spark, monkeypatch):
 def test_a_large_group_is_dealt_out_evenly(spark):
     """A group of near copies is compared in groups of a few dozen, and hardly any of it goes on to pairs of pieces."""
     from gradeloom.llm import blocks
-    from gradeloom.llm.ngram_join import block_members, grams_of, hub_distances
+    from gradeloom.llm.ngram_join import block_members, grams_of, hub_bounds
 
     texts = sorted(set(near_copies(3_000, 5, 120)))
-    sets_ = grams_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, lone long")
+    counts = {r.doc_id: r.n - r.shared for r in ngram_join.shared_counts(df.drop("lone")).collect()}
+    sets_ = grams_of(spark.createDataFrame([(i, t, counts[i]) for i, t in enumerate(texts)], df.schema)).cache()
     members = block_members(sets_).cache()
     sizes = [r["n"] for r in blocks.star_rows(members, "doc_id").groupBy("hub", "salt").agg({"*": "count"}).toDF("hub", "salt", "n").collect()]
     assert max(sizes) < 3 * blocks.STAR and sum(sizes) > 2_000
-    star = hub_distances(members, sets_).cache()
-    assert blocks.left_open(star, "doc_id", 0.2).count() <= star.count()
+    star = hub_bounds(members, sets_).cache()
+    assert blocks.open_pairs(star, "doc_id", ngram_join.BLOCK).count() < 0.2 * len(texts)  # the hub is the text that the others are copies of
 
 
 def test_components_of_chains_and_stars(spark):
