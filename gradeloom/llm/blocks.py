@@ -48,6 +48,11 @@ def gather(rows: DataFrame, *keys: str, within: list[str]) -> DataFrame:
     return rows.repartition(width(rows.sparkSession), *keys).sortWithinPartitions(*keys, *within)
 
 
+def with_data(rows: DataFrame, data: DataFrame, node: str) -> DataFrame:
+    """``rows`` with the columns of ``data``, a table of nodes; few rows are broadcast, so that only what is gathered is shuffled."""
+    return data.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, node)
+
+
 def _joined(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
     return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, list(keys))
 

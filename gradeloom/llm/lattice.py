@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BROADCAST_ROWS, gather, open_pairs, piece_pairs, star_rows
+from .blocks import BROADCAST_ROWS, gather, open_pairs, piece_pairs, star_rows, with_data
 from .components import components
 from .ngram_join import rank_of
 from .scratch import materialise, width
@@ -187,7 +187,7 @@ def hub_angles(members: DataFrame, vectors: DataFrame, threshold: float) -> Data
             angle = np.arccos(cosine)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), hub)), pa.array(ids[own]), pa.array(cosine >= threshold), pa.array(angle), pa.array(angle + reach)], names=["hub", "vec_id", "linked", "low", "high"])
 
-    loaded = star_rows(members, "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").select("hub", "salt", "member", "vec_id", "embedding")
+    loaded = with_data(star_rows(members, "vec_id"), vectors.select("vec_id", "embedding"), "vec_id").select("hub", "salt", "member", "vec_id", "embedding")
     return gather(loaded, "hub", "salt", within=["member", "vec_id"]).mapInArrow(compare, "hub long, vec_id long, linked boolean, low double, high double")
 
 
@@ -216,7 +216,7 @@ def link_edges(members: DataFrame, vectors: DataFrame, threshold: float) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = open_pairs(star, "vec_id", BLOCK)
-    loaded = dealt.join(vectors.select("vec_id", "embedding"), "vec_id").select("hub", "i", "j", "vec_id", "embedding")
+    loaded = with_data(dealt, vectors.select("vec_id", "embedding"), "vec_id").select("hub", "i", "j", "vec_id", "embedding")
     rest = gather(loaded, "hub", "i", "j", within=["vec_id"]).mapInArrow(link, "a long, b long")
     return star.where("linked").select(F.col("hub").alias("a"), F.col("vec_id").alias("b")).unionByName(rest)
 
@@ -240,7 +240,7 @@ def count_links(found: DataFrame, vectors: DataFrame, threshold: float) -> DataF
     members = found.select(F.col("component"), F.col("node").alias("vec_id"))
     most = F.least(F.lit(PIECE), F.greatest(F.lit(LEAST_PIECE), F.ceil(F.col("m") / LEAST_PIECE)))
     dealt = piece_pairs(members, "component", "vec_id", most)
-    loaded = dealt.join(vectors.select("vec_id", "times", "embedding"), "vec_id").select("component", "i", "j", "own", "vec_id", "times", "embedding")
+    loaded = with_data(dealt, vectors.select("vec_id", "times", "embedding"), "vec_id").select("component", "i", "j", "own", "vec_id", "times", "embedding")
     rows = gather(loaded, "component", "i", "j", within=["vec_id"]).mapInArrow(count, "vec_id long, linked long")
     return rows.groupBy("vec_id").agg(F.sum("linked").alias("linked"))
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import gather, open_pairs, star_rows
+from .blocks import gather, open_pairs, star_rows, with_data
 from .components import components
 from .scratch import fields, materialise, width
 from .scratch import own as column
@@ -485,7 +485,7 @@ def hub_bounds(members: DataFrame, sets: DataFrame) -> DataFrame:
                 names=["hub", "doc_id", "linked", "low", "high"],
             )
 
-    loaded = star_rows(members, "doc_id").join(sets.select("doc_id", "lone", "grams"), "doc_id").select("hub", "salt", "member", "doc_id", "lone", "grams")
+    loaded = with_data(star_rows(members, "doc_id"), sets.select("doc_id", "lone", "grams"), "doc_id").select("hub", "salt", "member", "doc_id", "lone", "grams")
     return gather(loaded, "hub", "salt", within=["member", "doc_id"]).mapInArrow(compare, "hub long, doc_id long, linked boolean, low double, high double")
 
 
@@ -515,7 +515,7 @@ def link_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
             found = link_block(np.array([len(s) for s in sets_]), sets_)
             yield pa.RecordBatch.from_arrays([pa.array([docs[x] for x, _ in found], pa.int64()), pa.array([docs[y] for _, y in found], pa.int64())], names=["a", "b"])
 
-    loaded = dealt.join(sets.select("doc_id", "grams"), "doc_id").select("hub", "i", "j", "doc_id", "grams")
+    loaded = with_data(dealt, sets.select("doc_id", "grams"), "doc_id").select("hub", "i", "j", "doc_id", "grams")
     rest = gather(loaded, "hub", "i", "j", within=["doc_id"]).mapInArrow(link, "a long, b long")
     return star.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).unionByName(rest)
 
