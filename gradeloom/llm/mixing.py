@@ -8,7 +8,7 @@ of limit / weight, so all nodes of a level are settled by one window.
 
 A leaf's budget is whole epochs of its documents and a rest. Each epoch has its own order, a hash of seed, epoch and document, and
 the rest is the token-prefix of the first epoch that isn't whole: the documents up to a cut, whose last one is taken in part. Finding the cut sums
-tokens by leaf and hash bucket first, so that of a leaf with a third of all rows only the bucket with the cut is sorted, a 65536th of it.
+tokens by leaf and hash bucket first, so that of a leaf with a third of all rows only the bucket with the cut is looked at, then the bucket of that with the cut, and so on; what is sorted at last is a small part.
 
 Defined cases: null language or source is the node ``""``; the domain follows from the source. Null and empty texts have the end id
 alone. Weights that aren't given are 1; weight 0 or less takes nothing. Rests below one token a leaf are dropped. Repeated
@@ -25,8 +25,9 @@ from .scratch import materialise, own
 from .wordbpe import encoder, text_slices
 
 LEVELS = ("domain", "lang", "source")
-#: Hash buckets of a leaf, by bits of a row's turn.
-BUCKET_BITS = 16
+#: Hash buckets of a leaf, by bits of a row's turn: of the bucket with the cut only such a part is looked at, in each of some steps.
+BUCKET_BITS = 8
+STEPS = 3
 SEED = 5
 #: Leaves that are broadcast; with more, documents and leaves are joined by shuffle.
 BROADCAST_LEAVES = 50_000
@@ -116,14 +117,19 @@ def mixing_plan(tokens: DataFrame, weights: dict[str, dict[str, float]], share:
     plan = materialise(leaf_budgets(tokens, weights, share, epochs), "mix-budgets", small=True)
     small = plan.count() <= BROADCAST_LEAVES
     partial = plan.where("rest > 0").select(*names, "full", "rest")
-    rows = tokens.join(F.broadcast(partial) if small else partial, names).withColumn("turn", turn(F.col("full"), seed))
-    rows = rows.withColumn("bucket", F.shiftright("turn", 64 - BUCKET_BITS).cast("int"))
-    sums = rows.groupBy(*names, "bucket").agg(F.sum("tokens").alias("n"))
-    before = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = sums.select(*names, "bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    crossed = start.join(F.broadcast(partial) if small else partial, names).where("start < rest and rest <= start + n").select(*names, "bucket", "start")
-    own = Window.partitionBy(*names, "bucket").orderBy("turn", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = rows.join(F.broadcast(crossed) if small else crossed, [*names, "bucket"]).withColumn("end", F.col("start") + F.sum("tokens").over(own))
+    rows = tokens.join(F.broadcast(partial) if small else partial, names).withColumn("turn", turn(F.col("full"), seed)).drop("rest", "full")
+    start = partial.select(*names, "rest", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("bucket"))
+    for step in range(STEPS):  # rows of the cut's bucket, its buckets' sums, and the one that holds the cut
+        keys = names if step == 0 else [*names, "bucket"]
+        inside = rows if step == 0 else rows.withColumn("bucket", F.shiftright("turn", 64 - step * BUCKET_BITS))
+        near = inside.join(F.broadcast(start) if small else start, keys).withColumn("finer", F.shiftright("turn", 64 - (step + 1) * BUCKET_BITS))
+        sums = near.groupBy(*names, "start", "finer", "rest").agg(F.sum("tokens").alias("n"))
+        before = Window.partitionBy(*names).orderBy("finer").rowsBetween(Window.unboundedPreceding, -1)
+        ends = sums.withColumn("start", F.col("start") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        start = materialise(ends.where("start < rest and rest <= start + n").select(*names, "rest", "start", F.col("finer").alias("bucket")), "mix-cut", small=True)
+    rows = rows.withColumn("bucket", F.shiftright("turn", 64 - STEPS * BUCKET_BITS))
+    own = Window.partitionBy(*names).orderBy("turn", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = rows.join(F.broadcast(start) if small else start, [*names, "bucket"]).withColumn("end", F.col("start") + F.sum("tokens").over(own))
     cut = inside.where("end - tokens < rest and rest <= end").select(
         *names, F.col("turn").alias("cut_turn"), F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), (F.col("rest") - F.col("end") + F.col("tokens")).alias("cut_take")
     )
