@@ -4,8 +4,7 @@
 2. The histogram of piece lengths, at most ``length`` rows, goes to the driver. ``pack_histogram`` places lengths longest
    first into the pack with the most room, for whole counts at a time: it keeps packing patterns and their counts,
    never single pieces. Its work depends on the number of lengths, not of documents.
-3. Pieces are ranked inside their length, in hash buckets of about RANKED pieces, so that no length lands in one task and no task grows with the
-   corpus. The buckets' counts, ``length`` numbers and one more for each RANKED pieces, give each bucket's first rank, and a rank names the pattern, the pack and the
+3. Pieces are ranked inside their length, in up to BUCKETS hash buckets of RANKED pieces or more, so that no length lands in one task. The buckets' counts, ``length`` + BUCKETS numbers, give each bucket's first rank, and a rank names the pattern, the pack and the
    slot of its piece by binary search in the table of patterns.
 
 Full pieces need no room from others, so only remainders are really packed. Padding is what the last packs leave free.
@@ -30,8 +29,9 @@ from .wordbpe import encoder, forget, text_slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
-#: Pieces of one length that are ranked together, about.
-RANKED = 50_000
+#: Pieces of one length that are ranked together, about, at least; buckets in all, about, at most.
+RANKED = 500
+BUCKETS = 100_000
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> DataFrame:
@@ -130,9 +130,10 @@ def placement(patterns: list[tuple[dict[int, int], int]], length: int) -> dict[s
 def pack(pieces: DataFrame, length: int) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a table of pieces (``doc_id``, ``start``, ``length`` and further columns)."""
     sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``length`` rows
+    ranked_together = max(RANKED, -(-sum(sizes.values()) // BUCKETS))
     each = np.zeros(length + 1, dtype=np.int64)  # buckets of each length
     for size, n in sizes.items():
-        each[size] = -(-n // RANKED)
+        each[size] = -(-n // ranked_together)
     first = np.concatenate([[0], np.cumsum(each)])
     table = pieces.sparkSession.createDataFrame([(s, int(each[s]), int(first[s])) for s in sizes], "length long, __each int, __first int")
     spread = pieces.join(F.broadcast(table), "length").withColumn("__bucket", F.col("__first") + F.pmod(F.xxhash64("doc_id", "start"), F.col("__each")).cast("int"))
