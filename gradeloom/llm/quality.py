@@ -24,7 +24,7 @@ from .scratch import fields, own
 from .textkernel import join_texts, mix, word_hashes, words
 from .wordbpe import text_slices
 
-FEATURES = 640
+FEATURES = 384
 TRAIN_ROWS = 60_000
 TRAIN_PARTS = 8
 RIDGE = 1e-4
