@@ -48,7 +48,7 @@ PERCENT = 80
 CHUNK = 1_000_000
 BLOCK = 1_024
 #: Bytes of text (as the table stores them) whose n-grams a task holds at a time; more ranges of hashes than this a task aren't made.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 RANGES = 64
 BROADCAST_IDS = 500_000
 #: Sets that hold an n-gram before it counts as frequent, and how many frequent ones are told apart at most.
@@ -169,7 +169,9 @@ def _dealt(part: int, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     keys = [np.frombuffer(r, dtype=np.uint32).astype(np.uint64) | base for _, _, r, _, _ in rows]
     docs = [np.repeat(np.frombuffer(d, dtype=np.int64), np.frombuffer(c, dtype=np.uint32)) for d, c, _, _, _ in rows]
     multi = [np.frombuffer(m, dtype=np.uint32).astype(np.uint64) | base for _, _, _, m, _ in rows]
-    return whole(keys, np.uint64), whole(docs, np.int64), whole(multi, np.uint64), whole([np.frombuffer(s, dtype=np.int64) for *_, s in rows], np.int64)
+    further = whole([np.frombuffer(s, dtype=np.int64) for *_, s in rows], np.int64)
+    rows.clear()  # what was packed isn't needed beside what it holds
+    return whole(keys, np.uint64), whole(docs, np.int64), whole(multi, np.uint64), further
 
 
 def _pack(rows: np.ndarray, parts: int, by: int = 1) -> pa.RecordBatch:
@@ -394,8 +396,8 @@ def block_members(sets: DataFrame) -> DataFrame:
         for part, rows in _by_part(batches):
             met = _unpack_rows([s for *_, s in rows if s], 2)
             rows = [r for r in rows if not r[4]]
-            keys, doc, _, _ = _dealt(part, rows)
             lone = np.concatenate([np.empty(0, dtype=np.uint32), *(np.repeat(np.frombuffer(m, dtype=np.uint32), np.frombuffer(c, dtype=np.uint32)) for _, c, _, m, _ in rows)])
+            keys, doc, _, _ = _dealt(part, rows)
             order = np.lexsort((rank_of(doc), lone, keys))
             start, length = _runs(keys[order])
             doc = doc[order]
@@ -464,22 +466,25 @@ def hub_bounds(members: DataFrame, sets: DataFrame) -> DataFrame:
     r = (100 - PERCENT) / (100 + PERCENT)
 
     def compare(batches):
-        centre, held = np.empty(0, dtype=np.uint64), None
+        centres: list[np.ndarray] = []  # several if the hub's doc_id has rows with different sets
+        held = None
         for batch in batches:
             hub, salt, member, doc, lone, blobs = (batch.column(k).to_pylist() for k in range(6))
             out: list[tuple] = []
             for i in range(len(hub)):
                 own = np.frombuffer(blobs[i], dtype=np.uint64)
                 if member[i] == 0:
-                    centre, held = own, hub[i]
+                    centres = [*centres, own] if (hub[i], salt[i]) == held else [own]
+                    held = (hub[i], salt[i])
                     continue
-                assert hub[i] == held
-                at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
-                both = int((centre[at] == own).sum())
-                out.append((hub[i], doc[i], both, len(own), len(own) + len(centre) - both, lone[i]))
-            _, _, both, n, union, own_lone = (np.array([r[k] for r in out], dtype=np.int64) for k in range(6))
-            low = union - both - r * n
-            high = 2 * (union - both - own_lone) - low + 1e-6
+                assert (hub[i], salt[i]) == held
+                for centre in centres:
+                    at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                    both = int((centre[at] == own).sum())
+                    out.append((hub[i], doc[i], both, len(own), len(own) + len(centre) - both, lone[i], len(centres)))
+            _, _, both, n, union, own_lone, several = (np.array([r[k] for r in out], dtype=np.int64) for k in range(7))
+            low = np.where(several > 1, -1e18, union - both - r * n)  # bounds are those of one hub
+            high = np.where(several > 1, 1e18, 2 * (union - both - own_lone) - low + 1e-6)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array(100 * both >= PERCENT * union), pa.array(low), pa.array(high)],
                 names=["hub", "doc_id", "linked", "low", "high"],
@@ -533,7 +538,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lone = counts.select("doc_id", F.when(F.col("least") == F.col("n"), F.greatest(F.col("n") - F.col("shared"), F.lit(0))).otherwise(0).alias("lone"))  # rows of one doc_id with sets of several sizes: not known
     reps = materialise(classes.select(F.col("rep").alias("doc_id")).join(lone, "doc_id"), "gram-lone", small=True)
     own = grams_of(docs.join(F.broadcast(reps) if few else reps, "doc_id"))
-    own = materialise(own, "gram-reps")  # read for frequencies, for meeting places and for the products
+    own = materialise(own.where(F.length("grams") > 0), "gram-reps")  # read for frequencies, for meeting places and for the products
     edges = link_edges(materialise(block_members(own), "gram-blocks", small=True), own)
     found = components(materialise(edges, "gram-edges"))
     member = sets.select("doc_id", "digest").join(classes, "digest").join(found.withColumnRenamed("node", "rep"), "rep", "left")
