@@ -10,8 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 # Calls and modules that candidate code must not use.
-UNSAFE_CALLS = frozenset("eval exec compile __import__ os.system os.popen subprocess.run subprocess.call subprocess.Popen shutil.rmtree".split())
-UNSAFE_MODULES = frozenset("socket requests urllib http ftplib ctypes".split())
+UNSAFE_CALLS = frozenset([
+    "eval",
+    "exec",
+    "compile",
+    "__import__",
+    "os.system",
+    "os.popen",
+    "subprocess.run",
+    "subprocess.call",
+    "subprocess.Popen",
+    "shutil.rmtree",
+])
+UNSAFE_MODULES = frozenset([
+    "socket",
+    "requests",
+    "urllib",
+    "http",
+    "ftplib",
+    "ctypes",
+])
 
 
 def called(node: ast.Call) -> str:

@@ -14,6 +14,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class ModelClient(Protocol):
@@ -109,7 +110,7 @@ def run_code(code: str, call: str, files: dict[str, str], timeout: float = 15.0)
 
 def execute(cases: DataFrame, key: list[str], timeout: float = 15.0) -> DataFrame:
     """Cases (``code``, ``setup_code``, ``call_code``) run in child processes: ``ok``, ``error`` and ``output`` (JSON text)."""
-    schema = ", ".join(f"`{c}` {cases.schema[c].dataType.simpleString()}" for c in key) + ", ok boolean, error string, output string"
+    schema = StructType([*(cases.schema[c] for c in key), *StructType.fromDDL("ok boolean, error string, output string").fields])
 
     def run(batches):
         for pdf in batches:

@@ -49,7 +49,7 @@ class Run:
 
         t = put("tasks", lambda: tasks.normalize(raw))
         seen = put("executions", lambda: seed_runs(raw, t))
-        routed = put("routing", lambda: taxonomy.validate_routing(taxonomy.route(t), list(taxonomy.DOMAINS), list(taxonomy.TASK_TYPES), 0.5, 0.7))
+        routed = put("routing", lambda: taxonomy.validate_routing(taxonomy.route(t), taxonomy.DOMAINS, taxonomy.TASK_TYPES, 0.5, 0.7))
         seeds = put("seeds", lambda: tasks.seed_environments(t.join(seen.where("ok").select("task_id"), "task_id", "left_semi"), routed).drop("level"))
         plans = put("plans", lambda: scaled_plans(seeds))
         gates.assert_complete(plans, seeds.count() * len(LEVELS)).count()
