@@ -316,3 +316,44 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if "n_chars" in new:
         new["n_chars"] = F.when(F.col("hit"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
     return out.select(*(v.alias(c) for c, v in new.items()))
+
+
+def base_digests(docs: DataFrame) -> DataFrame:
+    """The part of ``span_digests`` that is exact formats and checks alone: counts of base spans and their digest."""
+    return span_digests(docs).drop("spans")
+
+
+#: The same by plain patterns, in DuckDB's SQL.
+BASE_SQL = r"""
+WITH kinds(kind, rank, pattern) AS (VALUES
+  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'),
+  ('ip', 1, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  ('card', 2, '[0-9]([\x20-]?[0-9])+'),
+  ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]')
+), hits AS (
+  SELECT doc_id, kind, rank, CASE rank
+      WHEN 0 THEN string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') WHEN 1 THEN string_split_regex(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')
+      WHEN 2 THEN string_split_regex(text, '[0-9]([\x20-]?[0-9])+') ELSE string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') END AS pieces,
+    CASE rank
+      WHEN 0 THEN regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') WHEN 1 THEN regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')
+      WHEN 2 THEN regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+') ELSE regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') END AS found
+  FROM documents, kinds WHERE text IS NOT NULL
+), places AS (
+  SELECT doc_id, kind, rank, found, pieces, unnest(range(1, len(found) + 1)) AS i FROM hits
+), spans AS (
+  SELECT doc_id, kind, rank, found[i] AS v, regexp_replace(found[i], '[^0-9]', '', 'g') AS d,
+    list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS a FROM places
+), good AS (
+  SELECT doc_id, kind, rank, a::BIGINT AS a, (a + length(v))::BIGINT AS b FROM spans WHERE CASE rank
+    WHEN 0 THEN true
+    WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 2 THEN length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda k:
+      CASE WHEN k % 2 = 0 THEN substr(d, length(d) - k, 1)::INTEGER ELSE 2 * substr(d, length(d) - k, 1)::INTEGER - CASE WHEN substr(d, length(d) - k, 1)::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    ELSE length(d) BETWEEN 10 AND 15 END
+), told AS (
+  SELECT doc_id, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS t,
+    count(*) FILTER (WHERE rank = 0) AS e, count(*) FILTER (WHERE rank = 1) AS i, count(*) FILTER (WHERE rank = 2) AS c, count(*) FILTER (WHERE rank = 3) AS p FROM good GROUP BY doc_id
+)
+SELECT documents.doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(t, '')) AS base_sha256
+FROM documents LEFT JOIN told ON told.doc_id = documents.doc_id
+"""

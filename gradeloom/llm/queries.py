@@ -79,15 +79,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), 0.7)
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    from .pii import base_digests
+
+    return base_digests(_table(spark, sf_dir, "documents"))
+
+
 #: Name to query, in the order of the operators' numbers.
 QUERIES = [op1_token_files, op2_packing, op3_language, op4_ngram_join, op5_mixing, op6_url_rules, op7_tiff, op8_pii, op9_lattice, op10_quality]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in [*QUERIES, pii_base_spans]}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import lattice, ngram_join, url_rules
+    from . import lattice, ngram_join, pii, url_rules
 
-    return {"op4_ngram_join": ngram_join.ORACLE_SQL, "op6_url_rules": url_rules.ORACLE_SQL, "op9_lattice": lattice.ORACLE_SQL}
+    return {"pii_base_spans": pii.BASE_SQL, "op4_ngram_join": ngram_join.ORACLE_SQL, "op6_url_rules": url_rules.ORACLE_SQL, "op9_lattice": lattice.ORACLE_SQL}
