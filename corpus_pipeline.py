@@ -2,6 +2,10 @@
 
 ``run`` applies STAGES to ``documents``; each stage's result is written as Parquet and read again as the next one's input.
 All but the last return the columns of ``documents``.
+
+Defined cases: null and empty texts are scored, copied, mixed and packed like others (an empty text is the end id alone). Rows with a null doc_id
+are no one's copies. Repeated rows count as the operators say: one of equal rows of a doc_id stays. Further columns are kept, whatever their names. Empty
+tables give empty results; without usable labels every document has the same score, so all stay or none.
 """
 
 from __future__ import annotations
