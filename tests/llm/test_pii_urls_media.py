@@ -223,3 +223,43 @@ def test_precision_and_recall_of_added_spans(spark):
     spans = {(r.doc_id, s) for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).selectExpr("doc_id", "spans", "base").collect() for s in {f"{pii.KINDS[x['rank']]}:{x['start']}:{x['end']}" for x in r.spans if x not in r.base}}
     hit = len(spans & true)
     assert hit / max(1, len(spans)) >= 0.95 and hit / len(true) >= 0.95, (hit, len(spans), len(true))
+
+
+def test_url_rules_from_a_table_and_columns_of_any_name(spark):
+    rules = [("block", "org", "/"), ("allow", "example.org", "/"), ("block", "b.example.org", "/en/"), ("allow", "example.org", "/e"), ("block", "com", ""), ("block", "foo.com", "/fr")]
+    table = spark.createDataFrame([*rules, rules[0], ("block", None, "/")], "verdict string, host string, path string")
+    df = spark.createDataFrame([(i, u, {"a b": i}) for i, u in enumerate(URLS)], "page_id long, url string, `my.col x` struct<`a b`:int>")
+    out = url_rules.apply_rules(df, table, splits=3)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()} == {i: plain_rule(u, rules) for i, u in enumerate(URLS)}
+    assert out.columns[:3] == df.columns and url_rules.apply_rules(df, table.limit(0), splits=2).count() == len(URLS)
+
+
+def test_fixed_bytes_of_the_format():
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")  # the example of the PackBits description
+    assert tiff.packbits_decode(packed, 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]  # the example of TIFF 6.0, section 13
+    bits = "".join(f"{c:09b}" for c in codes)
+    raw = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.lzw_decode(raw, 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == raw
+
+
+def test_sides_that_no_data_can_fill_are_an_error():
+    import struct
+
+    file = bytearray(tiff.write([np.zeros((4, 5), dtype=np.uint8)], tiff.DEFLATE))
+    for tag in (tiff.WIDTH, tiff.HEIGHT, tiff.ROWS_PER_STRIP):
+        at = file.find(struct.pack("<HHI", tag, 4, 1)) if tag != tiff.ROWS_PER_STRIP else file.find(struct.pack("<H", tag))
+        struct.pack_into("<I", file, at + 8, 2_000_000)
+    with pytest.raises(tiff.TiffError):
+        list(tiff.pages(bytes(file)))
+
+
+def test_every_stored_form_is_read_back(spark):
+    texts = [f"text number {i} " * (1 + i % 90) for i in range(160)]
+    stored = media.text_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"])
+    pages_ = media.tiff_pages(stored, "media", ["doc_id", "n_bytes"]).collect()
+    assert {(p.compression, p.tiled) for p in pages_} >= {(tiff.LZW, False), (tiff.PACKBITS, True), (tiff.NONE, True), (tiff.DEFLATE, False), (tiff.DEFLATE, True)}
+    whole = {}
+    for p in sorted(pages_, key=lambda p: (p.doc_id, p.page)):
+        whole[p.doc_id] = whole.get(p.doc_id, b"") + bytes(p.pixels)
+    assert {i: b[: len(texts[i].encode())].decode() for i, b in whole.items()} == dict(enumerate(texts))
