@@ -139,3 +139,21 @@ def test_status_prune_change(spark):
     assert gates.assert_complete(e, 4).count() == 4
     with pytest.raises(Exception, match="rows"):
         gates.assert_complete(e, 5).collect()
+
+
+def test_json_is_repaired_outside_of_texts():
+    r = values.repair_json
+    assert r('{"a": "True story, None left", "b": True, // note\n "c": [1,2,],}') == '{"a": "True story, None left", "b": true, "c": [1, 2]}'
+    assert r("x {'a': 'it\\'s \"q\"', 'b': None} y") == '{"a": "it\'s \\"q\\"", "b": null}'
+    assert r('```json\n{"a": [1, 2\n```') == '{"a": [1, 2]}' and r('{"u": "http://x//y # z"}') == '{"u": "http://x//y # z"}'
+    assert r("[(1, 2), {3: 4}]") == '[[1, 2], {"3": 4}]' and r('{"a": "open') == '{"a": "open"}' and r("none") is None and r("{a b}") is None
+
+
+def test_comparing_goes_as_deep_as_values_do():
+    deep, other = 1, 2
+    for _ in range(3_000):
+        deep, other = [deep], [other]
+    assert values.match(deep, deep) and not values.match(deep, other)
+    assert values.match("array([1., 2.])", "[1.0 2.0]\n") and values.match("[1, 2]", [1, 2]) and not values.match(1, {"a": 1})
+    assert values.contains({"a": 1, "c": 2}, {"a": 1}) and not values.contains([1, 2], [1]) and not values.match({"a": 1, "c": 2}, {"a": 1})
+    assert values.path_matches("/a/../b", "/b") and not values.path_matches("/b", "b")
