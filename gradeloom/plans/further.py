@@ -181,3 +181,19 @@ def axis_rank_weights(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT s_suppkey, replace(replace(lower(trim(s_name)), ' ', '_'), '-', '_') AS name, round(s_acctbal / 10000, 6) AS share FROM supplier")
 def compact_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", T.compact("s_name").alias("name"), r6(T.rate(F.col("s_acctbal"), F.lit(10000.0))).alias("share"))
+
+
+@query(
+    """
+WITH u AS (SELECT conv_id, (turn + 1)::DOUBLE AS weight, list_filter(list_transform(string_split_regex(lower(trim(text)), '\\s+'), lambda x: trim(x, '.,:;!?')), lambda x: length(x) > 3
+  AND NOT list_contains(['the', 'a', 'an', 'and', 'or', 'to', 'of', 'is', 'what', 'when', 'use', 'clear', 'patient', 'facing'], x)) AS w FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+a AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+m AS (SELECT a.conv_id, a.turn, u.weight, len(list_filter(u.w, lambda x: contains(a.t, x))) >= greatest(1, least(3, len(u.w) // 2)) AS ok FROM a JOIN u ON a.conv_id = u.conv_id)
+SELECT conv_id, turn, round(coalesce(sum(weight) FILTER (WHERE ok), 0) / sum(weight), 6) AS score, count(*) FILTER (WHERE ok) AS passed FROM m GROUP BY 1, 2"""
+)
+def keyword_rubrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' turns as criteria, weighted by their place, for the answers of their conversation."""
+    c = table(spark, sf, "conversations").where("text is not null")
+    criteria = c.where("role = 'user'").select("conv_id", F.col("text").alias("criterion"), (F.col("turn") + 1.0).alias("weight"))
+    answers = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
+    return rubrics.keyword_scores(answers.join(criteria, "conv_id"), ["conv_id", "turn"]).withColumn("score", r6("score"))

@@ -130,3 +130,12 @@ def test_reports(spark):
     assert summaries.sum_summaries(summaries.validation_counts(v).unionByName(summaries.validation_counts(v))).first().input == 8
     p = spark.createDataFrame([(0.9, 0.4), (0.5, 0.5)], "chosen_score double, rejected_score double")
     assert summaries.preference_margin(p).first().mean_margin == pytest.approx(0.25)
+
+
+def test_keyword_scores(spark):
+    from gradeloom.operators import rubrics
+
+    rows = [("a", "Use the parser, validate headers!", "The PARSER ran.", 2.0), ("a", "what is a to", "anything", 1.0), ("b", "alpha beta gamma delta epsilon zeta", "alpha, beta", 1.0), ("b", "alpha beta gamma delta", "alpha beta", 0.5), ("c", "", "x", 0.0)]
+    got = {r.env_id: r for r in rubrics.keyword_scores(spark.createDataFrame(rows, "env_id string, criterion string, answer string, weight double"), ["env_id"]).collect()}
+    assert (got["a"].score, got["a"].passed) == (2.0 / 3.0, 1)  # a criterion without keywords is never met
+    assert (got["b"].score, got["b"].passed) == (0.5 / 1.5, 1) and got["c"].score == 0.0
