@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.functions.arrays import let, running
+
 
 def _before(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -60,16 +62,17 @@ def label_mask(offsets: Column, ids: Column, spans: Column, ignore: int = -100)
 def word_offsets(text: Column) -> Column:
     """Tokens split at blanks with their offsets, for use without a tokenizer."""
     words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
-    gaps = F.split(text, r"\S+", -1)
-    pairs = F.arrays_zip(gaps.alias("gap"), words.alias("word"))
-    kind = "array<struct<start:int,end:int,word:string>>"
+    pairs = let(words, lambda w: F.arrays_zip(F.slice(F.split(text, r"\S+", -1), F.lit(1), F.size(w)).alias("gap"), w.alias("word")))
+
+    def place(x: Column, at: Column) -> Column:
+        start = at + F.length(x["gap"])
+        return F.struct(start.alias("start"), (start + F.length(x["word"])).alias("end"), x["word"].alias("word"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["word"])
-        return F.when(x["word"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["word"].alias("word")))).alias("out")))
+    def placed(xs: Column) -> Column:
+        sizes = F.transform(xs, lambda x: F.length(x["gap"]) + F.length(x["word"]))
+        return F.zip_with(xs, let(sizes, lambda n: running(n, lambda a, b: a + b)), place)
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
+    return let(pairs, placed)
 
 
 def overlapping(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
