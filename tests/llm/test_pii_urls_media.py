@@ -167,7 +167,9 @@ def test_text_digests(spark, odd_texts):
 def test_running_and_apart_against_plain_loops(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(pii, "RUN", 4)
+    from gradeloom.functions import arrays
+
+    monkeypatch.setattr(arrays, "RUN", 4)
     rng = np.random.default_rng(5)
     rows = []
     for i in range(120):
@@ -177,7 +179,7 @@ def test_running_and_apart_against_plain_loops(spark, monkeypatch):
         rows.append((i, [int(x) for x in rng.integers(0, 50, rng.integers(0, 200))], spans, loose))
     span = "array<struct<start:int,end:int>>"
     df = spark.createDataFrame(rows, f"i int, n array<int>, b {span}, l {span}")
-    got = df.select("i", pii.running(F.col("n"), lambda a, b: a + b).alias("s"), pii.running(F.col("n"), F.greatest).alias("m"), pii.apart(F.col("l"), F.col("b")).alias("free")).collect()
+    got = df.select("i", arrays.running(F.col("n"), lambda a, b: a + b).alias("s"), arrays.running(F.col("n"), F.greatest).alias("m"), pii.apart(F.col("l"), F.col("b")).alias("free")).collect()
     for r in got:
         _, n, spans, loose = rows[r.i]
         assert r.s == [sum(n[:k]) for k in range(len(n))] and r.m == [max([0, *n[:k]]) for k in range(len(n))]
