@@ -56,9 +56,46 @@ def test_signature_compiles(spark):
 
 
 def test_requirements_compile(spark):
-    texts = ["Return a dict of rows", "Output must be sorted in descending order", "Print 'done' to stdout", "Create the file `out.csv`", "result must not be empty", "be nice"]
+    texts = ["Return a dict of rows", "A dict with keys mean and valid_count", "Output must be sorted in descending order", "Print the Summary to stdout", "print it", "Write `out.csv`, please", "Write the file", "Preserve output contract", "be nice", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(constraints.requirement_check(F.col("t")).alias("c"))
-    assert [(r.c.rule, json.loads(r.c.params)) if r.c else None for r in df.collect()] == [("type_is", {"type": "dict"}), ("list_sorted", {"order": "descending"}), ("contains", {"text": "done"}), ("path_exists", {"path": "out.csv"}), ("non_empty", {}), None]
+    want = [("type_is", {"type": "dict"}), ("dict_has_keys", {"keys": ["mean", "valid_count", "count"]}), ("list_sorted", {"order": "descending"}), ("contains", {"text": "summary"}), ("non_empty", {})]
+    want += [("path_exists", {}), ("path_exists", {}), ("non_empty", {}), None, None, None]
+    assert [(r.c.rule, json.loads(r.c.params)) if r.c else None for r in df.collect()] == want
+    named = spark.createDataFrame([("Write results to out.json, then stop",)], "t string").select(constraints.requirement_check(F.col("t")).alias("c")).first().c
+    assert json.loads(named.params) == {"path": "out.json"}
+
+
+def test_seed_against_truth(spark):
+    rows = [
+        ("x: [1, 2]\nend", "x: [1,2]\nend", "1", "1", ["a/b"], ["a/b"]),
+        ("x: 1", "y: 1", "1", None, ["b", "a"], ["d/a", "d/b"]),
+        ("a", "a", "2", "1", ["a"], ["b"]),
+        ("1.0", "1", None, None, None, None),
+        ("a\nb", "a", None, "null", [], None),
+    ]
+    df = spark.createDataFrame(rows, "stdout string, truth_stdout string, value string, truth_value string, paths array<string>, truth_paths array<string>")
+    got = [r.mismatches for r in constraints.seed_matches_truth(df).collect()]
+    assert got == [[], ["stdout_mismatch"], ["return_value_mismatch", "file_artifacts_mismatch"], [], ["stdout_mismatch"]]
+
+
+def test_failure_types_and_rules(spark):
+    failures = {
+        "c1_return_type:return type is int": "return_type_mismatch",
+        "OUTPUT_CONSTRAINT_FAILED:return_keys:keys missing": "return_keys_mismatch",
+        "c_return_value_equals:no": "return_value_mismatch",
+        "OUTPUT_CONSTRAINT_FAILED:return_contains:no": "return_value_mismatch",
+        "OUTPUT_CONSTRAINT_FAILED:stdout_0:no": "stdout_mismatch",
+        "c_stdout_regex_1:no": "stdout_regex_mismatch",
+        "c_artifact_exists_0:x": "file_artifact_missing",
+        "CASE_EXECUTION_ERROR:ValueError": "exception_mismatch",
+        "CASE_EXECUTION_ERROR:NameError: x": "name_error",
+        "CASE_EXECUTION_ERROR:ModuleNotFoundError: y": "module_not_found",
+    }
+    df = spark.createDataFrame([([k],) for k in failures] + [(["a path {name}/x"],), ([],), (None,)], "f array<string>")
+    got = df.select(constraints.failure_types(F.col("f")).alias("t"), constraints.repair_rules(constraints.failure_types(F.col("f"))).alias("r")).collect()
+    assert [r.t for r in got] == [[v] for v in failures.values()] + [["unresolved_artifact_template"], [], []]
+    assert all(constraints.failure_types_of([k]) == [v] and constraints.repair_rules_of([v]) == r.r for (k, v), r in zip(failures.items(), got))
+    assert len(got[-1].r) == 3 and len(got[0].r) == 4
 
 
 def test_preflight():
