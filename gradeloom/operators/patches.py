@@ -10,7 +10,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.operators.gates import holds_any, reasons
+from gradeloom.operators.gates import reasons
 
 PATCH = "array<struct<state:string,key:string,value:string>>"
 STATES = ("task", "data", "tool", "visible", "gold", "verifier", "test", "turn")
@@ -231,7 +231,7 @@ def realized_patch(axis: Column, patch: Column) -> Column:
     out = _has_state(patch, ("task", *SEMANTIC))
     for name, (entries, states, words) in PROOFS.items():
         text = F.array_join(F.transform(F.filter(F.coalesce(patch, F.array().cast(PATCH)), lambda p: p["state"].isin(*states)), lambda p: F.lower(F.coalesce(p["value"], F.lit("")))), " ")  # noqa: B023
-        out = F.when(axis == name, has(patch, entries) | holds_any(text, words)).otherwise(out)
+        out = F.when(axis == name, has(patch, entries) | text.rlike("|".join(words))).otherwise(out)
     return out
 
 

@@ -149,6 +149,34 @@ def deltas_to_base(rows: DataFrame, key: str, base, numbers: list[str]) -> DataF
     return rows.join(F.broadcast(one)).withColumns({f"delta_{c}": F.col(c) - F.col(f"base_{c}") for c in numbers}).drop(*(f"base_{c}" for c in numbers))
 
 
+# Numbers of a model's row in a comparison, and those that are compared with the base.
+COMPARED = ("sample_pass_rate", "case_pass_rate", "case_pass_rate_nonzero_only", "nonzero_case_sample_pass_rate")
+COUNTED = ("passed_cases", "total_cases")
+
+
+def comparison_rows(totals: DataFrame) -> DataFrame:
+    """Models' totals (``model_label``, ``model_kind``, ``samples``, numbers of ``agent_summary``) as rows of a comparison; null numbers are 0."""
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in (*COMPARED, *COUNTED)]
+    kept = [c for c in ("output_dir", "adapter") if c in totals.columns]
+    return totals.select("model_label", "model_kind", F.coalesce("samples", F.lit(0)).alias("num_envs"), *numbers, *kept)
+
+
+def comparison_deltas(rows: DataFrame, base: str = "base") -> DataFrame:
+    """Each other model's rates less the base model's; null without a base row."""
+    out = deltas_to_base(rows, "model_label", base, list(COMPARED))
+    return out.where(F.col("model_label") != base).select("model_label", *(f"delta_{c}" for c in COMPARED))
+
+
+def sft_manifest(samples: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row of counts: ``samples`` (``split``, ``trajectory_type``, ``tools``) by split and kind, those that use the test-file tool, and rejected ones."""
+    counts = lambda c: F.coalesce(F.first(F.when(F.col("facet") == c, F.col("m")), ignorenulls=True), F.create_map().cast("map<string,bigint>"))
+    per = [samples.groupBy(F.coalesce(c, F.lit("unknown")).alias("k")).agg(F.count("*").alias("n")).select(F.lit(c).alias("facet"), "k", "n") for c in ("split", "trajectory_type")]
+    facets = per[0].unionByName(per[1]).groupBy("facet").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("m"))
+    maps = facets.agg(counts("split").alias("splits"), counts("trajectory_type").alias("trajectory_types"))
+    one = samples.agg(F.count("*").alias("num_samples"), flag_count(F.array_contains("tools", "create_test_file")).alias("uses_create_test_file"))
+    return one.join(F.broadcast(rejected.agg(F.count("*").alias("num_rejected")))).join(F.broadcast(maps))
+
+
 def file_budget(files: DataFrame, env: str = "env_id", each: int = 65_536, total: int = 262_144) -> DataFrame:
     """Fixture files with ``fits``: no larger than ``each``, and within ``total`` with those before it."""
     from pyspark.sql import Window

@@ -1,4 +1,4 @@
-"""The stages of a run, each a table in a folder: prepare, normalise, route, seed, scale, split, agent, reward.
+"""The stages of a run, each a table in a folder: prepare, normalise, route, seed, scale (operators, states, cases, solutions), split, agent, reward, evaluate.
 
 A stage that is finished for the same inputs isn't run again; ``run`` returns the tables by name. Model and execution are adapters.
 """
@@ -10,19 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.operators import adapters, constraints, episodes, gates, planning, scoring, splits, summaries, tasks, taxonomy, upserts
+from gradeloom.operators import adapters, constraints, episodes, gates, gold, patches, planning, scoring, splits, summaries, tasks, taxonomy, upserts, verifiers
 from gradeloom.sources import files
 
 LEVELS = ["M1", "M2", "M3", "M4"]
 
 
 class Run:
-    """A folder of stage tables."""
+    """A folder of stage tables.
 
-    def __init__(self, spark: SparkSession, folder: str, client: adapters.ModelClient | None = None, ratios: dict[str, float] | None = None, seed: int = 1337):
+    ``strict``: operators that aren't realized reject their environment; else the table ``realization`` only reports them (mock models return the seed's solution, which D, C and A may not)."""
+
+    def __init__(self, spark: SparkSession, folder: str, client: adapters.ModelClient | None = None, ratios: dict[str, float] | None = None, seed: int = 1337, strict: bool = False):
         self.spark, self.folder, self.client = spark, folder.rstrip("/"), client or gold_client()
         self.ratios, self.seed = ratios or {"train": 0.7, "dev": 0.1, "test": 0.2}, seed
-        self.ran: list[str] = []
+        self.strict, self.ran = strict, []
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -53,8 +55,14 @@ class Run:
         seeds = put("seeds", lambda: tasks.seed_environments(t.join(seen.where("ok").select("task_id"), "task_id", "left_semi"), routed).drop("level"))
         plans = put("plans", lambda: scaled_plans(seeds))
         gates.assert_complete(plans, seeds.count() * len(LEVELS)).count()
-        ops = put("operators", lambda: planning.operator_instances(plans))
-        envs = put("envs", lambda: graded(seeds, plans, ops, seen))
+        ops = put("operators", lambda: patched(planning.operator_instances(plans), plans, seeds))
+        put("states", lambda: patches.state_maps(patches.applied(ops)))
+        drafts = put("drafts", lambda: graded(seeds, plans, ops, seen))
+        cases = put("cases", lambda: scaled_cases(drafts, ops))
+        put("case_plans", lambda: verifiers.case_plans(drafts, ops))
+        golds = put("golds", lambda: gold.gold_solutions(drafts, cases.where("valid"), self.client))
+        real = put("realization", lambda: realized(ops, cases, golds, drafts))
+        envs = put("envs", lambda: with_golds(drafts, cases, golds, real, self.strict))
         put("splits", lambda: splits.assign_splits(envs.where("export_status = 'clean'"), self.ratios, self.seed).select("env_id", "group_key", "split"))
         clean = envs.where("export_status = 'clean'")
         runs = put("runs", lambda: adapters.run_agents(clean, self.client))
@@ -63,10 +71,33 @@ class Run:
         put("summary", lambda: summaries.reward_summary(rewards.withColumn("scored_rubrics", F.lit(0))))
         return out
 
+    def evaluate(self, models: dict[str, tuple[str, adapters.ModelClient]], split: str | None = "test", base: str = "base", mark: str = "1") -> dict[str, DataFrame]:
+        """Models (label to kind and client) run on the environments of a split (null: the seeds' own level of all): ``comparison`` and ``deltas`` to the base model.
+
+        Each model's runs and evaluations are stage tables of their own; the seed's recorded output is what answers are held against."""
+        m = {"input": mark, "seed": str(self.seed), "split": split or "seeds"}
+        place = f"eval-{split or 'seeds'}"
+        clean = self.table("envs").where("export_status = 'clean'")
+        chosen = clean.where("level = 'M1'") if split is None else clean.join(self.table("splits").where(F.col("split") == split).select("env_id"), "env_id", "left_semi")
+        seen = self.table("executions")
+        rows = None
+        for label, (kind, client) in models.items():
+            runs = self.stage(f"{place}-{label}-runs", m, lambda: adapters.run_agents(chosen, client))  # noqa: B023
+            evals = self.stage(f"{place}-{label}", m, lambda: evaluated(runs, chosen, seen))  # noqa: B023
+            total = summaries.agent_summary(evals.withColumn("scored_rubrics", F.lit(0))).where("level is null")
+            one = summaries.comparison_rows(total.withColumns({"model_label": F.lit(label), "model_kind": F.lit(kind), "output_dir": F.lit(self.path(f"{place}-{label}"))}))
+            rows = one if rows is None else rows.unionByName(one)
+        made = self.stage(f"{place}-comparison", m | {"models": ",".join(models)}, lambda: rows)
+        return {"comparison": made, "deltas": summaries.comparison_deltas(made, base)}
+
+    def publish(self, folder: str, names: list[str]) -> DataFrame:
+        """Stage tables copied to a folder of results, with a manifest of their rows; tables that aren't there are left out."""
+        return files.publish(self.spark, {n: self.path(n) for n in names}, folder)
+
 
 def gold_client() -> adapters.MockClient:
     """A model that reads the task, then submits the gold solution."""
-    return adapters.MockClient({"agent_turn": lambda c: {"tool": "get_task_context"} if c["turn"] == 0 else {"tool": "submit_final_code", "code": c["gold_solution"]}})
+    return adapters.MockClient({"scaled_gold": lambda c: {"code": c["seed_code"]}, "agent_turn": lambda c: {"tool": "get_task_context"} if c["turn"] == 0 else {"tool": "submit_final_code", "code": c["gold_solution"]}})
 
 
 def seed_runs(raw: DataFrame, t: DataFrame) -> DataFrame:
@@ -85,6 +116,49 @@ def scaled_plans(seeds: DataFrame) -> DataFrame:
     return planning.plan_violations(planning.scaling_plans(weighted))
 
 
+def patched(ops: DataFrame, plans: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Operators with their patch and test, filled in where an entry is missing."""
+    domains = plans.select("env_id", "base_env_id").join(seeds.select(F.col("env_id").alias("base_env_id"), "primary_domain"), "base_env_id")
+    df = patches.with_patches(ops.join(domains.drop("base_env_id"), "env_id"), F.col("primary_domain"), F.lit(None).cast("array<string>")).drop("primary_domain")
+    return patches.patch_errors(df.withColumn("patch", patches.repaired_patch(F.col("patch"), F.col("axis"), F.col("operator_id"), F.col("transformation_goal"))))
+
+
+def scaled_cases(envs: DataFrame, ops: DataFrame) -> DataFrame:
+    """The seed's case for each environment, and one for each operator, with its verdict. A model may write further ones; these are the blueprint."""
+    e = envs.select("env_id", "call_code", F.col("expected_output").alias("expected_output_signature"))
+    text = lambda c, name: F.lit(c).alias(name)
+    seed = e.select("env_id", F.lit(0).cast("long").alias("position"), text("seed_case", "case_id"), text("The seed's own call.", "description"), text("seed_regression", "case_kind"), text("", "targets_operator_id"), text("seed", "axis"),
+                    text("The seed's behaviour stays.", "semantic_intent"), text("Same output as the seed.", "target_constraint"), text("seed_behaviour_lost", "expected_failure_mode"), F.array(F.lit("The seed's output stays.")).alias("covered_requirements"))
+    own = ops.select("env_id", F.col("position").cast("long").alias("position"), F.concat("operator_id", F.lit("_case")).alias("case_id"), F.col("transformation_goal").alias("description"), F.col("semantic_spec.test_template_type").alias("case_kind"), F.col("operator_id").alias("targets_operator_id"), "axis",
+                     F.col("transformation_goal").alias("semantic_intent"), F.col("semantic_spec.requirement").alias("target_constraint"), F.col("semantic_spec.expected_failure_mode").alias("expected_failure_mode"), F.array("semantic_spec.requirement").alias("covered_requirements"))
+    df = seed.unionByName(own).join(e, "env_id").withColumns({"setup_code": F.lit(""), "assertion_code": F.lit("")})
+    return constraints.validate_cases(df, ops.select("env_id", "operator_id", "axis")).withColumn("checks", constraints.signature_checks(F.col("expected_output_signature")))
+
+
+def realized(ops: DataFrame, cases: DataFrame, golds: DataFrame, envs: DataFrame) -> DataFrame:
+    """Operators with the verdict of ``gates.realization`` from their patch, cases and the solution's runs."""
+    reports = golds.select("env_id", F.inline("case_reports")).select("env_id", "case_id", "passed")
+    own = cases.where("targets_operator_id <> ''").select("env_id", "case_id", F.col("targets_operator_id").alias("operator_id"), "valid").join(reports, ["env_id", "case_id"], "left")
+    counts = own.groupBy("env_id", "operator_id").agg(F.count("*").alias("linked_cases"), F.count_if("valid").alias("valid_cases"), F.count_if(F.coalesce("passed", F.lit(False))).alias("passed_cases"), F.count_if(~F.coalesce("passed", F.lit(True))).alias("failed_cases"))
+    state = patches.state_maps(patches.applied(ops)).select("env_id", F.coalesce(F.try_element_at("gold_state", F.lit("answer_invariant")) == "true", F.lit(False)).alias("answer_invariant"))
+    reused = envs.select("env_id", F.col("gold_solution").alias("__seed")).join(golds.select("env_id", "gold_code"), "env_id").select("env_id", F.coalesce(F.col("__seed") == F.col("gold_code"), F.lit(False)).alias("gold_reused"))
+    df = ops.join(counts, ["env_id", "operator_id"], "left").join(state, "env_id").join(reused, "env_id")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("linked_cases", "valid_cases", "passed_cases", "failed_cases")}
+    shown = F.exists("patch", lambda p: p["state"] == "visible")
+    facts = {"intensity": F.col("operator_intensity"), "has_patch": patches.realized_patch(F.col("axis"), F.col("patch")), "exposed": shown, "invariant_declared": patches.has(F.col("patch"), [("gold", "answer_invariant")])}
+    return gates.realization(df.withColumns(zero).withColumns(facts)).drop("patch", "semantic_spec")
+
+
+def with_golds(envs: DataFrame, cases: DataFrame, golds: DataFrame, real: DataFrame, strict: bool) -> DataFrame:
+    """Environments with their solution and decision: one whose solution or cases fail is rejected, and with ``strict`` one with an operator that isn't realized."""
+    bad = cases.groupBy("env_id").agg(F.every("valid").alias("cases_valid"))
+    hard = real.groupBy("env_id").agg(F.some(F.col("severity") == "hard_fail").alias("unrealized"))
+    df = envs.drop("export_status").join(golds.select("env_id", "gold_code", "gold_passed", "repair_attempts"), "env_id").join(bad, "env_id", "left").join(hard, "env_id", "left")
+    flags = gates.reasons((~F.col("gold_passed"), "SCALED_GOLD_FAILED"), (~F.coalesce("cases_valid", F.lit(False)), "INVALID_CASES"), (F.col("unrealized") & F.lit(strict), "OPERATOR_NOT_REALIZED"))
+    out = df.withColumns({"blocking_flags": F.concat("blocking_flags", flags), "gold_solution": F.col("gold_code")})
+    return gates.export_status(out).drop("gold_code", "gold_passed", "cases_valid", "unrealized")
+
+
 def graded(seeds: DataFrame, plans: DataFrame, ops: DataFrame, seen: DataFrame) -> DataFrame:
     """Scaled environments with their decision: a plan that breaks a rule or operators that don't add up are rejected."""
     off = planning.intensity_mismatch(ops, plans).select("env_id").distinct().withColumn("mismatch", F.lit(True))

@@ -81,6 +81,21 @@ def read_document(spark: SparkSession, path: str):
     return json.loads(rows[0]["value"]) if rows else None
 
 
+def publish(spark: SparkSession, tables: dict[str, str], folder: str) -> DataFrame:
+    """Tables (name to path) written once more below ``folder``, by the executors, with a manifest of names and rows. Missing ones and those already in place are left out of the copy."""
+    rows = []
+    for name, path in tables.items():
+        target = f"{folder.rstrip('/')}/{name}"
+        if not exists(spark, path):
+            continue
+        if path.rstrip("/") != target:
+            spark.read.parquet(path).write.mode("overwrite").parquet(target)
+        rows.append((name, spark.read.parquet(target).count()))
+    manifest = spark.createDataFrame(rows, "name string, rows long")
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/manifest")
+    return manifest
+
+
 def stage_done(spark: SparkSession, path: str, stage: str, rows: int, marks: dict[str, str]) -> None:
     """Status of a finished stage with the marks of its inputs."""
     append_log(spark.createDataFrame([(stage, rows, json.dumps(marks, sort_keys=True))], "stage string, rows long, marks string").withColumn("at", F.current_timestamp()), path)

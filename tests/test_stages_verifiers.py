@@ -28,6 +28,31 @@ def test_stages_run_once_and_resume(spark, tmp_path):
     assert again.all(raw(spark))["evals"].count() == 20 and again.ran == []
 
 
+def test_scaled_tables_evaluation_and_publishing(spark, tmp_path):
+    run = Run(spark, str(tmp_path / "run"))
+    out = run.all(raw(spark, 2))
+    ops = out["operators"]
+    assert ops.where("size(patch_errors) > 0").count() == 0 and ops.count() == out["cases"].where("targets_operator_id <> ''").count()
+    assert out["cases"].where("not valid").count() == 0 and out["golds"].where("not gold_passed").count() == 0
+    assert out["states"].count() == ops.select("env_id").distinct().count()
+    reasons = {x for r in out["realization"].collect() for x in r.failure_reasons}
+    assert reasons == {"SEED_GOLD_REUSED_WITHOUT_JUSTIFICATION"}
+    bad = adapters.MockClient({"agent_turn": lambda c: {"tool": "submit_final_code", "code": "def f(x):\n    return {'v': -1}"}})
+    got = run.evaluate({"base": ("base", bad), "tuned": ("sft", run.client)}, split=None)
+    rows = {r.model_label: r for r in got["comparison"].collect()}
+    assert rows["base"].num_envs == rows["tuned"].num_envs == 2 and rows["base"].sample_pass_rate == 0 and rows["tuned"].case_pass_rate == 1
+    assert [(r.model_label, r.delta_sample_pass_rate) for r in got["deltas"].collect()] == [("tuned", 1.0)]
+    made = run.publish(str(tmp_path / "result"), ["envs", "rewards", "no such table"])
+    assert {r.name: r.rows for r in made.collect()} == {"envs": 8, "rewards": 8} and spark.read.parquet(str(tmp_path / "result/envs")).count() == 8
+
+
+def test_strict_runs_reject_unrealized_operators(spark, tmp_path):
+    out = Run(spark, str(tmp_path / "strict"), strict=True).all(raw(spark, 1))
+    got = {r.level: r.export_status for r in out["envs"].collect()}
+    hard = {r.level for r in out["realization"].where("severity = 'hard_fail'").collect()}
+    assert got["M1"] == "clean" and hard and all(got[level] == ("rejected" if level in hard else "clean") for level in got)
+
+
 def test_a_bad_model_fails_its_cases(spark, tmp_path):
     bad = adapters.MockClient({"agent_turn": lambda c: {"tool": "submit_final_code", "code": "def f(x):\n    return 1 / 0"}})
     out = Run(spark, str(tmp_path / "bad"), bad).all(raw(spark, 2))
