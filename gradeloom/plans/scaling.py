@@ -86,7 +86,9 @@ def merged_states(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """
-WITH t AS (SELECT doc_id, text, lower(text) AS t FROM documents),
+WITH p AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'A dict with the keys mean and count:' WHEN 1 THEN 'Return a dict.' WHEN 2 THEN 'Print the summary.' WHEN 3 THEN 'Use stdout.'
+  WHEN 4 THEN 'Write `a.json`, then b.csv, then stop.' WHEN 5 THEN 'In descending order.' WHEN 6 THEN 'Preserve output contract.' ELSE '' END || ' ' || text AS text FROM documents),
+t AS (SELECT doc_id, text, lower(text) AS t FROM p),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(replace(text, ',', ' '), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: regexp_matches(x, '\\.(json|csv|txt)$'))[1] AS word FROM t)
 SELECT doc_id, CASE WHEN contains(t, 'dict') AND (contains(t, 'key') OR contains(t, 'field')) THEN 'dict_has_keys' WHEN contains(t, 'dict') THEN 'type_is'
   WHEN (contains(t, 'stdout') OR contains(t, 'print')) AND regexp_matches(t, 'mg|kg|filtered mean|summary|warning') THEN 'contains' WHEN contains(t, 'stdout') OR contains(t, 'print') THEN 'non_empty'
@@ -98,8 +100,10 @@ SELECT doc_id, CASE WHEN contains(t, 'dict') AND (contains(t, 'key') OR contains
   WHEN regexp_matches(t, 'sort|ascending|descending') THEN CASE WHEN contains(t, 'descending') THEN 'descending' ELSE 'ascending' END ELSE '' END AS param FROM w"""
 )
 def compiled_requirements(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole documents as requirements: the check that each asks for, and its parameter."""
-    c = constraints.requirement_check(F.col("text"))
+    """Whole documents behind a request as requirements: the check that each asks for, and its parameter."""
+    asks = ["A dict with the keys mean and count:", "Return a dict.", "Print the summary.", "Use stdout.", "Write `a.json`, then b.csv, then stop.", "In descending order.", "Preserve output contract.", ""]
+    ask = F.get(F.array(*map(F.lit, asks)), (F.col("doc_id") % 8).cast("int"))
+    c = constraints.requirement_check(F.concat(ask, F.lit(" "), "text"))
     p = F.from_json("c.params", "struct<keys:array<string>,type:string,text:string,path:string,order:string>")
     df = table(spark, sf, "documents").select("doc_id", c.alias("c")).withColumn("p", p)
     return df.select("doc_id", F.col("c.rule").alias("rule"), F.coalesce(F.array_join("p.keys", ","), "p.type", "p.text", "p.path", "p.order", F.lit("")).alias("param"))
