@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from gradeloom.operators import adapters, gold, patches, summaries
+from gradeloom.operators import adapters, constraints, gold, patches, summaries
 from gradeloom.operators.constraints import CHECK
 
 OPS = f"env_id string, operator_id string, position int, axis string, operator_intensity int, transformation_goal string, patch {patches.PATCH}"
@@ -72,3 +72,14 @@ def test_manifest_counts(spark):
     assert (got.num_samples, got.num_rejected, got.uses_create_test_file) == (3, 1, 1) and got.splits == {"train": 2, "dev": 1} and got.trajectory_types == {"gold": 1, "agent": 1, "unknown": 1}
     none = summaries.sft_manifest(df.limit(0), df.limit(0)).first()
     assert none.num_samples == 0 and none.splits == {}
+
+
+def test_bound_requirements(spark):
+    rows = [("e", "c1", "coverage", "o1", "D", ["r1", "r2", "r9", "r1"]), ("e", "c2", "seed_regression", "o1", "seed", ["r2", "r9"]), ("e", "c3", "coverage", "", None, ["r2", "r3"]), ("f", "c", "coverage", "o", "D", ["r1"]), ("e", "c4", "coverage", "o1", "D", None)]
+    cases = spark.createDataFrame(rows, "env_id string, case_id string, case_kind string, targets_operator_id string, axis string, covered_requirement_ids array<string>")
+    known = spark.createDataFrame([("e", "r1", "o1", "D"), ("e", "r2", "o2", "C"), ("e", "r3", None, "global")], "env_id string, requirement_id string, operator_id string, axis string")
+    got = {(r.case_id, r.requirement_id): r.failure_reasons for r in constraints.bound_requirements(cases, known).collect()}
+    assert got == {
+        ("c1", "r1"): [], ("c1", "r2"): ["REQUIREMENT_OPERATOR_MISMATCH:r2", "REQUIREMENT_AXIS_MISMATCH:r2"], ("c1", "r9"): ["UNKNOWN_REQUIREMENT_ID:r9"],
+        ("c2", "r2"): [], ("c2", "r9"): ["UNKNOWN_REQUIREMENT_ID:r9"], ("c3", "r2"): [], ("c3", "r3"): [],
+    }
