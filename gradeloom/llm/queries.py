@@ -79,6 +79,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), 0.7)
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import infill_digests
+
+    return infill_digests(_table(spark, sf_dir, "documents"), 42)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_digests
+
+    return shard_digests(_table(spark, sf_dir, "documents"), 16)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import proof_digests
+
+    return proof_digests(_table(spark, sf_dir, "documents"))
+
+
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8 that SQL can express."""
     from .pii import base_digests
@@ -87,7 +105,7 @@ def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Name to query, in the order of the operators' numbers.
-QUERIES = [op1_token_files, op2_packing, op3_language, op4_ngram_join, op5_mixing, op6_url_rules, op7_tiff, op8_pii, op9_lattice, op10_quality]
+QUERIES = [op1_token_files, op2_packing, op3_language, op4_ngram_join, op5_mixing, op6_url_rules, op7_tiff, op8_pii, op9_lattice, op10_quality, op11_infill, op12_sharding, op13_merkle]
 
 
 def queries() -> dict:
@@ -95,6 +113,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import lattice, ngram_join, pii, url_rules
+    from . import infill, lattice, merkle, ngram_join, pii, url_rules
 
-    return {"pii_base_spans": pii.BASE_SQL, "op4_ngram_join": ngram_join.ORACLE_SQL, "op6_url_rules": url_rules.ORACLE_SQL, "op9_lattice": lattice.ORACLE_SQL}
+    found = {"pii_base_spans": pii.BASE_SQL, "op4_ngram_join": ngram_join.ORACLE_SQL, "op6_url_rules": url_rules.ORACLE_SQL, "op9_lattice": lattice.ORACLE_SQL}
+    return found | {"op11_infill": infill.ORACLE_SQL, "op13_merkle": merkle.ORACLE_SQL}
