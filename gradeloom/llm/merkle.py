@@ -74,7 +74,7 @@ def build(leaves: DataFrame, name: str) -> list[DataFrame]:
     levels, now = [], leaves
     most = leaves.agg(F.max("m")).first()[0] or 0
     while most > 1:
-        now = materialise(_upper(now), f"{name}-level", small=True)
+        now = materialise(_upper(now), f"{name}-level", small=name == "groups")
         levels.append(now)
         most = -(-most // FAN)
     return levels
@@ -115,7 +115,7 @@ def push_proofs(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame, nam
             pushed = level.join(tops, "grp").select(*level.columns, *further)
         else:
             pushed = _pushed(level, above, tops)
-        above = materialise(pushed, f"{name}-proofs", small=True)
+        above = materialise(pushed, f"{name}-proofs", small=name == "groups")
     if above is None:
         return leaves.join(tops, "grp").select(*leaves.columns, *further)
     return _pushed(leaves, above, tops)

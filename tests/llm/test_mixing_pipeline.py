@@ -194,5 +194,5 @@ def test_pipeline_survives_odd_rows(spark, odd_texts, tmp_path):
 def test_every_operator_has_a_query():
     from gradeloom.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
