@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import fields, materialise
@@ -127,8 +127,15 @@ def placement(patterns: list[tuple[dict[int, int], int]], length: int) -> dict[s
     return {n: np.array([r[i] for r in rows], dtype=np.int64) for i, n in enumerate(names)}
 
 
+def bucket(each: Column) -> Column:
+    """One of ``each`` buckets for a piece."""
+    return F.pmod(F.xxhash64("doc_id", "start", "__tie"), each).cast("int")
+
+
 def pack(pieces: DataFrame, length: int) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to a table of pieces (``doc_id``, ``start``, ``length`` and further columns)."""
+    """Add ``sequence_id`` and ``offset`` to a written table of pieces (``doc_id``, ``start``, ``length`` and further columns).
+
+    ``__tie``, a number of each row, spreads rows that are otherwise equal or have no doc_id over buckets as others; it goes."""
     sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``length`` rows
     ranked_together = max(RANKED, -(-sum(sizes.values()) // BUCKETS))
     each = np.zeros(length + 1, dtype=np.int64)  # buckets of each length
@@ -136,7 +143,7 @@ def pack(pieces: DataFrame, length: int) -> DataFrame:
         each[size] = -(-n // ranked_together)
     first = np.concatenate([[0], np.cumsum(each)])
     table = pieces.sparkSession.createDataFrame([(s, int(each[s]), int(first[s])) for s in sizes], "length long, __each int, __first int")
-    spread = pieces.join(F.broadcast(table), "length").withColumn("__bucket", F.col("__first") + F.pmod(F.xxhash64("doc_id", "start"), F.col("__each")).cast("int"))
+    spread = pieces.join(F.broadcast(table), "length").withColumn("__bucket", F.col("__first") + bucket(F.col("__each")))
     cells = spread.groupBy("__bucket").agg(F.count("*").alias("n")).toArrow()
     count = np.zeros(int(first[-1]) + 1, dtype=np.int64)
     count[cells["__bucket"].to_numpy()] = cells["n"].to_numpy()
@@ -145,7 +152,7 @@ def pack(pieces: DataFrame, length: int) -> DataFrame:
         before[first[size] : first[size + 1]] -= before[first[size]]
     places = placement(pack_histogram(sizes, length), length)
     shared = pieces.sparkSession.sparkContext.broadcast((places, before))
-    ranked = spread.withColumn("__own", F.row_number().over(Window.partitionBy("__bucket").orderBy("doc_id", "start")))
+    ranked = spread.withColumn("__own", F.row_number().over(Window.partitionBy("__bucket").orderBy("doc_id", "start", "__tie")))
     wide = np.int64(1) << 44
 
     def place(batches):
@@ -163,10 +170,11 @@ def pack(pieces: DataFrame, length: int) -> DataFrame:
                 names=[*names, "sequence_id", "offset"],
             )
 
-    names = pieces.columns
+    names = [c for c in pieces.columns if c != "__tie"]
     return ranked.select(*map(own_column, names), "__bucket", "__own").mapInArrow(place, fields(pieces, names, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096) -> DataFrame:
     """Pieces of all documents with their sequences. Encoding is done once: the pieces are written, then ranked."""
-    return pack(materialise(cut_pieces(docs, tokenizer, end_id, length), "pieces"), length)
+    pieces = cut_pieces(docs, tokenizer, end_id, length).withColumn("__tie", F.monotonically_increasing_id())
+    return pack(materialise(pieces, "pieces"), length)

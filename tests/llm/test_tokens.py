@@ -5,7 +5,9 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from gradeloom.llm import packing
 from gradeloom.llm.packing import pack_documents, pack_histogram, placement
 from gradeloom.llm.scratch import scratch_path
 from gradeloom.llm.token_files import read_tokens, token_digests, write_tokens
@@ -128,3 +130,12 @@ def test_other_tokenizers_take_whole_texts(name, odd_texts):
     assert not e.by_words
     texts = [t for t in odd_texts if t is None or len(t) < 1000]
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == plain(path, texts)
+
+
+def test_equal_rows_and_rows_without_id_are_spread_over_buckets(spark, tokenizer):
+    docs = spark.range(100_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CASE WHEN id % 2 = 0 THEN 'same words' END AS text")
+    pieces = packing.cut_pieces(docs, tokenizer, 2, 64).withColumn("__tie", F.monotonically_increasing_id())
+    sizes = pieces.groupBy("length", packing.bucket(F.lit(-(-50_000 // packing.RANKED))).alias("b")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * packing.RANKED
+    got = pack_documents(docs, tokenizer, 2, 64)
+    assert got.count() == 100_000 and got.select("sequence_id", "offset").distinct().count() == 100_000
