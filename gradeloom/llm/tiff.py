@@ -201,6 +201,15 @@ def _fields(raw: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, ...]]
     return found, after
 
 
+def _covered(offsets: tuple[int, ...], sizes: tuple[int, ...]) -> int:
+    """Distinct bytes of the parts; bytes that several name count once."""
+    total, end = 0, 0
+    for offset, size in sorted(zip(offsets, sizes)):
+        total += max(0, offset + size - max(offset, end))
+        end = max(end, offset + size)
+    return total
+
+
 def _image(raw: bytes, f: dict[int, tuple[int, ...]], index: int) -> Page:
     def one(tag: int, default: int | None = None) -> int:
         got = f.get(tag)
@@ -229,15 +238,15 @@ def _image(raw: bytes, f: dict[int, tuple[int, ...]], index: int) -> Page:
     if len(offsets) != across * down or len(sizes) != len(offsets):
         raise TiffError("strips or tiles don't cover the image")
     room = down * tall * across * wide * samples if tiled else height * width * samples
-    if room > MOST_GROWTH[compression] * sum(sizes):  # the sides are only claimed; what data can fill them is in the file
+    if any(offset + size > len(raw) for offset, size in zip(offsets, sizes)):
+        raise TiffError("strip or tile outside the file")
+    if room > MOST_GROWTH[compression] * _covered(offsets, sizes):  # the sides are only claimed; what data can fill them is in the file, and counts once
         raise TiffError("the image is larger than its data can be")
     try:
         out = np.empty((down * tall if tiled else height, across * wide, samples), dtype=np.uint8)
     except MemoryError:
         raise TiffError("the image doesn't fit into memory") from None
     for k, (offset, size) in enumerate(zip(offsets, sizes)):
-        if offset + size > len(raw):
-            raise TiffError("strip or tile outside the file")
         y, x = k // across * tall, k % across * wide
         rows = tall if tiled else min(tall, height - y)
         part = np.frombuffer(DECODERS[compression](raw[offset : offset + size], rows * wide * samples), dtype=np.uint8).reshape(rows, wide, samples)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -265,3 +266,17 @@ def test_every_stored_form_is_read_back(spark):
     for p in sorted(pages_, key=lambda p: (p.doc_id, p.page)):
         whole[p.doc_id] = whole.get(p.doc_id, b"") + bytes(p.pixels)
     assert {i: b[: len(texts[i].encode())].decode() for i, b in whole.items()} == dict(enumerate(texts))
+
+
+def test_strips_that_share_bytes_are_bounded_by_the_file(spark):
+    raw = bytearray(tiff.write([np.zeros((4000, 1000), dtype=np.uint8)], tiff.DEFLATE, 1, 4))
+    (at,) = struct.unpack_from("<I", raw, 4)
+    fields, _ = tiff._fields(bytes(raw), at, "<")
+    entry = {t: at + 2 + 12 * k for k in range(20) for t in [int.from_bytes(raw[at + 2 + 12 * k : at + 4 + 12 * k], "little")]}
+    (place,) = struct.unpack_from("<I", raw, entry[tiff.STRIP_OFFSETS] + 8)
+    for k in range(1000):  # every strip names the first one's bytes
+        struct.pack_into("<I", raw, place + 4 * k, fields[tiff.STRIP_OFFSETS][0])
+    with pytest.raises(tiff.TiffError, match="larger than its data"):
+        list(tiff.pages(bytes(raw)))
+    got = media.tiff_pages(spark.createDataFrame([(1, bytes(raw))], "id long, media binary"), "media", ["id"]).collect()
+    assert [(r.page, r.pixels) for r in got] == [(0, None)] and "larger" in got[0].error
