@@ -11,16 +11,15 @@ Trees are sparse: for each order the grams that occur, as sorted numbers, with t
 escapes (``Tree``). A process keeps the code lengths of the grams that it met in a hash table, so that a gram is worked out once.
 
 Before that a text is normalised: A-Z become a-z, and each run of ASCII bytes that aren't letters becomes one blank, as digits,
-marks and layout say nothing about a language. Each distinct sentence of a text is coded once, so that a line repeated a hundred
-times doesn't outweigh the rest.
+marks and layout say nothing about a language. Then every byte of the whole text is coded, repeated lines too.
 
 Sentences that the sample holds under two languages (quotations, notices, shared passages) say nothing about language:
-each counts once in every tree, so that all languages expect it. Repeats of a sentence count once in training too.
+each counts once in every tree, so that all languages expect it. Repeats of a sentence count once in training.
 
 Training reads a bounded sample of the rows allowed by the caller: ``TRAIN_DOCS`` documents a language and ``TRAIN_TOTAL`` in all
 (places that small languages leave go to the others), the first by a hash of the text, whatever their length; copies count as one. Of a text
-of more than ``TRAIN_BYTES`` bytes it reads that many, as sentences picked by hash from all over the text (``excerpt``). The trees that are
-broadcast grow with that sample, not with the corpus. The order is the same for any number of languages.
+of more than ``TRAIN_BYTES`` bytes it reads that many, as sentences picked by hash from all over the text (``excerpt``): the sample goes to the
+driver, so its bytes must be bounded as well as its rows. The trees that are broadcast grow with that sample, not with the corpus. The order is the same for any number of languages.
 
 Defined cases: null text or text with no letter gets ``und`` and score 0. With no training rows every text is ``und``.
 Ties go to the first language by name. Repeated rows get equal results. Extra columns are ignored.
@@ -197,9 +196,9 @@ def coder(model: dict) -> Coder:
 
 
 def text_code_lengths(texts: list[str], model: dict) -> np.ndarray:
-    """Bits of each text's distinct sentences under each language."""
+    """Bits of each whole text under each language."""
     own = coder(model)
-    data, begin = normalised([". ".join(dict.fromkeys(t.replace("\n", ". ").split(". "))).encode() for t in texts])
+    data, begin = normalised([t.encode() for t in texts])
     rows = own.rows(gram_keys(data, begin, own.order))
     return np.stack([np.add.reduceat(bits[rows], begin[:-1]) for bits in own.bits], axis=1)
 

@@ -193,7 +193,7 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics, label and half of a bounded number of labelled rows."""
+    """Statistics, label and half of at most about TRAIN_ROWS documents. Rows of one doc_id are one training row: the first by its statistics."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     n = known.count()
@@ -206,11 +206,13 @@ def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for first, texts in text_slices(batch.column(0)):
                 x = statistics(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(x), pa.list_(pa.float64())), *(batch.column(i).slice(first, len(texts)) for i in (1, 2))], names=["x", "y", "half"]
+                    [pa.array(list(x), pa.list_(pa.float64())), *(batch.column(i).slice(first, len(texts)) for i in (1, 2, 3))], names=["x", "y", "half", "doc_id"]
                 )
 
     # at most TRAIN_ROWS rows of three numbers are broadcast
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").select("text", "y", "half").mapInArrow(stats, "x array<double>, y double, half int")
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").select("text", "y", "half", "doc_id")
+    rows = found.mapInArrow(stats, "x array<double>, y double, half int, doc_id long")
+    return rows.groupBy("doc_id", "y", "half").agg(F.min("x").alias("x")).select("x", "y", "half")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:

@@ -246,3 +246,17 @@ def test_quality_without_usable_labels(spark, labels):
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     kept = quality.keep_good(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     assert kept.columns == docs.columns and {r.score for r in kept.collect()} <= {5}
+
+
+def test_repeated_ids_are_one_training_row(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    docs = spark.range(100_000).selectExpr("id % 3 AS doc_id", "concat('text number ', id % 50, ' of many') AS text")
+    rows = quality._training_rows(docs, labels).collect()
+    assert sorted(r.y for r in rows) == [0.0, 1.0] and all(len(r.x) == quality.STATISTICS for r in rows)
+    assert quality.train(docs, labels).keys() >= {"beta"}
+
+
+def test_a_repeated_line_is_coded_each_time():
+    model = {"key": "two", "langs": ["a", "b"], "trees": [language.count_grams(["the cat and the dog"], 2), language.count_grams(["die Katze und der Hund"], 2)], "order": 2}
+    one, five = language.text_code_lengths(["the cat. "], model), language.text_code_lengths(["the cat. " * 5], model)
+    assert (five > 4 * one).all() and one.argmin() == 0
