@@ -98,22 +98,6 @@ def verifier_delta(operators: DataFrame, lists: list[str]) -> DataFrame:
     return operators.groupBy("env_id").agg(*(flat(c) for c in lists))
 
 
-def merged_state(operators: DataFrame, patch: str = "patch") -> DataFrame:
-    """State of an environment after its operators' patches (map of text), a later one over an earlier one."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", F.map_entries(patch).alias("e")))), lambda x: x["e"])
-    entries = F.flatten(ordered)
-    last = F.filter(F.transform(entries, lambda e, i: F.struct(i.alias("i"), e["key"].alias("key"), e["value"].alias("value"))), lambda e: F.lit(True))
-    keep = F.filter(last, lambda e: ~F.exists(last, lambda f: (f["key"] == e["key"]) & (f["i"] > e["i"])))
-    return operators.groupBy("env_id").agg(F.map_from_entries(F.transform(keep, lambda e: F.struct(e["key"], e["value"]))).alias("state"))
-
-
-def prompt_text(problem: Column, requirements: Column, generic: list[str]) -> Column:
-    """A prompt with its distinct requirements that aren't generic, numbered."""
-    own = F.array_distinct(F.filter(F.transform(requirements, lambda x: T.strip(x)), lambda r: (r != "") & ~F.lower(r).isin(*[g.lower() for g in generic])))
-    lines = F.transform(own, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r))
-    return F.when(F.size(own) > 0, F.concat_ws("\n", problem, F.lit("Requirements:"), F.array_join(lines, "\n"))).otherwise(problem)
-
-
 def logged_call(name: Column, code: Column) -> Column:
     """What a log keeps of a tool call."""
     return F.struct(name.alias("tool_name"), digest12(code).alias("sha256"), F.length(code).alias("chars"))

@@ -62,10 +62,10 @@ SPECS = {
 }
 #: What the cases of an axis must show; our own words.
 REQUIREMENTS = {
-    "D": "A case that runs shows the other form of input that this operator brings.",
-    "C": "A case that runs shows the added rule on computation or result.",
-    "A": "A case that runs shows that the short cut which this operator forbids fails.",
-    "V": "More cases that run, each aimed at what this operator asks for.",
+    "D": "A case that runs shows in its result the other form of input that this operator brings.",
+    "C": "A case that runs shows the added rule in its result.",
+    "A": "A case that runs shows in its result that the short cut which this operator forbids fails.",
+    "V": "More cases that run, each with the result that this operator asks for.",
 }
 GOAL, GOAL_TEXT, VARIANT = "{goal list}", "{goal}", "{id}_resource_variant"
 # Names of the entries that an axis can't be without; the sentences are our own, or the operator's goal.

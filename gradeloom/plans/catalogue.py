@@ -623,4 +623,4 @@ def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLES["stream_latest"] = ORACLES["checkpoint_latest"]
 
-from gradeloom.plans import further, scaling  # noqa: E402, F401 - their queries register themselves
+from gradeloom.plans import cases, further, scaling  # noqa: E402, F401 - their queries register themselves

@@ -1,4 +1,4 @@
-"""The stages of a run, each a table in a folder: prepare, normalise, route, seed, scale (operators, states, cases, solutions), split, agent, reward, evaluate.
+"""The stages of a run, each a table in a folder: prepare, normalise, route, seed, scale (operators, states, requirements, cases, solutions, prompts), split, agent, reward, evaluate.
 
 A stage that is finished for the same inputs isn't run again; ``run`` returns the tables by name. Model and execution are adapters.
 """
@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.operators import adapters, constraints, episodes, gates, gold, patches, planning, scoring, splits, summaries, tasks, taxonomy, upserts, verifiers
+from gradeloom.operators import adapters, case_repair, constraints, episodes, evidence, gates, gold, patches, planning, prompts, rubrics, scoring, splits, summaries, tasks, taxonomy, upserts, verifiers
 from gradeloom.sources import files
 
 LEVELS = ["M1", "M2", "M3", "M4"]
@@ -19,12 +19,13 @@ LEVELS = ["M1", "M2", "M3", "M4"]
 class Run:
     """A folder of stage tables.
 
-    ``strict``: operators that aren't realized reject their environment; else the table ``realization`` only reports them (mock models return the seed's solution, which D, C and A may not)."""
+    ``strict``: operators that aren't realized reject their environment; else the table ``realization`` only reports them (a model that returns the seed's solution as it is fails D, C and A).
+    ``rounds``: how often cases that fail go back to the model."""
 
-    def __init__(self, spark: SparkSession, folder: str, client: adapters.ModelClient | None = None, ratios: dict[str, float] | None = None, seed: int = 1337, strict: bool = False):
+    def __init__(self, spark: SparkSession, folder: str, client: adapters.ModelClient | None = None, ratios: dict[str, float] | None = None, seed: int = 1337, strict: bool = False, rounds: int = 3):
         self.spark, self.folder, self.client = spark, folder.rstrip("/"), client or gold_client()
         self.ratios, self.seed = ratios or {"train": 0.7, "dev": 0.1, "test": 0.2}, seed
-        self.strict, self.ran = strict, []
+        self.strict, self.rounds, self.ran = strict, rounds, []
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -56,13 +57,15 @@ class Run:
         plans = put("plans", lambda: scaled_plans(seeds))
         gates.assert_complete(plans, seeds.count() * len(LEVELS)).count()
         ops = put("operators", lambda: patched(planning.operator_instances(plans), plans, seeds))
-        put("states", lambda: patches.state_maps(patches.applied(ops)))
+        states = put("states", lambda: patches.state_maps(patches.applied(ops)))
         drafts = put("drafts", lambda: graded(seeds, plans, ops, seen))
-        cases = put("cases", lambda: scaled_cases(drafts, ops))
+        asked = put("requirements", lambda: requirements(drafts, ops))
+        cases = put("cases", lambda: self.repaired(drafts, ops, states, asked, m))
         put("case_plans", lambda: verifiers.case_plans(drafts, ops))
         golds = put("golds", lambda: gold.gold_solutions(drafts, cases.where("valid"), self.client))
-        real = put("realization", lambda: realized(ops, cases, golds, drafts))
-        envs = put("envs", lambda: with_golds(drafts, cases, golds, real, self.strict))
+        written = put("prompts", lambda: rewritten(drafts, ops, cases, states))
+        real = put("realization", lambda: realized(ops, cases, golds, drafts, written))
+        envs = put("envs", lambda: with_golds(drafts, cases, golds, real, self.strict).drop("user_prompt").join(written, "env_id"))
         put("splits", lambda: splits.assign_splits(envs.where("export_status = 'clean'"), self.ratios, self.seed).select("env_id", "group_key", "split"))
         clean = envs.where("export_status = 'clean'")
         runs = put("runs", lambda: adapters.run_agents(clean, self.client))
@@ -71,6 +74,13 @@ class Run:
         put("summary", lambda: summaries.reward_summary(rewards.withColumn("scored_rubrics", F.lit(0))))
         return out
 
+    def repaired(self, drafts: DataFrame, ops: DataFrame, states: DataFrame, asked: DataFrame, marks: dict[str, str]) -> DataFrame:
+        """The cases of all environments, validated and repaired; each round is a stage table of its own."""
+        keep = lambda df, name: self.stage(f"repair/{name}", marks, lambda: df)
+        shown = evidence.visible_requirements(with_states(drafts, states).join(asked.groupBy("env_id").agg(F.collect_list("text").alias("output_requirements")), "env_id", "left"))
+        cases = case_repair.validated(scaled_cases(drafts, ops), ops, asked, shown, self.client, self.rounds, keep)
+        return cases.withColumn("checks", constraints.signature_checks(F.col("expected_output_signature")))
+
     def evaluate(self, models: dict[str, tuple[str, adapters.ModelClient]], split: str | None = "test", base: str = "base", mark: str = "1") -> dict[str, DataFrame]:
         """Models (label to kind and client) run on the environments of a split (null: the seeds' own level of all): ``comparison`` and ``deltas`` to the base model.
 
@@ -123,29 +133,59 @@ def patched(ops: DataFrame, plans: DataFrame, seeds: DataFrame) -> DataFrame:
     return patches.patch_errors(df.withColumn("patch", patches.repaired_patch(F.col("patch"), F.col("axis"), F.col("operator_id"), F.col("transformation_goal"))))
 
 
+SEED_REQUIREMENT = "The seed's result stays as it was."
+
+
+def requirements(envs: DataFrame, ops: DataFrame) -> DataFrame:
+    """Requirements of each environment with their ids: the seed's result, and what each operator's case must show."""
+    seed = envs.select("env_id", F.lit(0).cast("long").alias("position"), F.lit(None).cast("string").alias("operator_id"), F.lit("seed").alias("axis"), F.lit(SEED_REQUIREMENT).alias("text"))
+    own = ops.select("env_id", F.col("position").cast("long").alias("position"), "operator_id", "axis", F.col("semantic_spec.requirement").alias("text"))
+    return rubrics.number_requirements(seed.unionByName(own))
+
+
 def scaled_cases(envs: DataFrame, ops: DataFrame) -> DataFrame:
-    """The seed's case for each environment, and one for each operator, with its verdict. A model may write further ones; these are the blueprint."""
+    """The seed's case for each environment, and one for each operator: the blueprint that a model may replace (``case_repair``)."""
     e = envs.select("env_id", "call_code", F.col("expected_output").alias("expected_output_signature"))
     text = lambda c, name: F.lit(c).alias(name)
-    seed = e.select("env_id", F.lit(0).cast("long").alias("position"), text("seed_case", "case_id"), text("The seed's own call.", "description"), text("seed_regression", "case_kind"), text("", "targets_operator_id"), text("seed", "axis"),
-                    text("The seed's behaviour stays.", "semantic_intent"), text("Same output as the seed.", "target_constraint"), text("seed_behaviour_lost", "expected_failure_mode"), F.array(F.lit("The seed's output stays.")).alias("covered_requirements"))
-    own = ops.select("env_id", F.col("position").cast("long").alias("position"), F.concat("operator_id", F.lit("_case")).alias("case_id"), F.col("transformation_goal").alias("description"), F.col("semantic_spec.test_template_type").alias("case_kind"), F.col("operator_id").alias("targets_operator_id"), "axis",
-                     F.col("transformation_goal").alias("semantic_intent"), F.col("semantic_spec.requirement").alias("target_constraint"), F.col("semantic_spec.expected_failure_mode").alias("expected_failure_mode"), F.array("semantic_spec.requirement").alias("covered_requirements"))
-    df = seed.unionByName(own).join(e, "env_id").withColumns({"setup_code": F.lit(""), "assertion_code": F.lit("")})
-    return constraints.validate_cases(df, ops.select("env_id", "operator_id", "axis")).withColumn("checks", constraints.signature_checks(F.col("expected_output_signature")))
+    seed = e.select("env_id", "call_code", F.lit(0).cast("long").alias("position"), text("seed_case", "case_id"), text("The seed's own call.", "description"), text("seed_regression", "case_kind"), text("", "targets_operator_id"), text("seed", "axis"),
+                    text("The seed's behaviour stays.", "semantic_intent"), text("Same output as the seed.", "target_constraint"), text("seed_behaviour_lost", "expected_failure_mode"), F.array(F.lit(SEED_REQUIREMENT)).alias("covered_requirements"))
+    own = ops.join(e.select("env_id", "call_code"), "env_id").select(
+        "env_id", "call_code", F.col("position").cast("long").alias("position"), F.concat("operator_id", F.lit("_case")).alias("case_id"), F.concat("transformation_goal", F.lit(" The call: "), "call_code").alias("description"),
+        F.col("semantic_spec.test_template_type").alias("case_kind"), F.col("operator_id").alias("targets_operator_id"), "axis", F.col("transformation_goal").alias("semantic_intent"), F.col("semantic_spec.requirement").alias("target_constraint"),
+        F.col("semantic_spec.expected_failure_mode").alias("expected_failure_mode"), F.array("semantic_spec.requirement").alias("covered_requirements"),
+    )
+    return seed.unionByName(own).join(e.drop("call_code"), "env_id").withColumns({"setup_code": F.lit(""), "assertion_code": F.lit("")})
+
+
+def with_states(envs: DataFrame, states: DataFrame) -> DataFrame:
+    """Environments with the maps of the states that are read as requirements; those without patches have empty ones."""
+    none = F.create_map().cast("map<string,string>")
+    df = envs.select("env_id", F.lit(None).cast("string").alias("user_prompt")).join(states.select("env_id", "visible_state", "task_state"), "env_id", "left")
+    return df.withColumns({c: F.coalesce(c, none) for c in ("visible_state", "task_state")})
+
+
+def rewritten(envs: DataFrame, ops: DataFrame, cases: DataFrame, states: DataFrame) -> DataFrame:
+    """The finished prompt of each environment, from its states, operators and valid cases."""
+    own = ops.withColumn("output_requirements", F.array("semantic_spec.requirement"))
+    asked = prompts.requirements_of(with_states(envs, states).drop("user_prompt"), own, cases.where("valid"))
+    df = envs.select("env_id", "problem", "context_summary").join(asked.select("env_id", "requirements"), "env_id")
+    return df.select("env_id", prompts.prompt(F.col("env_id"), F.col("requirements"), F.col("problem"), F.col("context_summary")).alias("user_prompt"))
 
 
-def realized(ops: DataFrame, cases: DataFrame, golds: DataFrame, envs: DataFrame) -> DataFrame:
-    """Operators with the verdict of ``gates.realization`` from their patch, cases and the solution's runs."""
+def realized(ops: DataFrame, cases: DataFrame, golds: DataFrame, envs: DataFrame, written: DataFrame) -> DataFrame:
+    """Operators with the verdict of ``gates.realization`` from their patch, the finished prompt, their cases and the solution's runs."""
     reports = golds.select("env_id", F.inline("case_reports")).select("env_id", "case_id", "passed")
-    own = cases.where("targets_operator_id <> ''").select("env_id", "case_id", F.col("targets_operator_id").alias("operator_id"), "valid").join(reports, ["env_id", "case_id"], "left")
-    counts = own.groupBy("env_id", "operator_id").agg(F.count("*").alias("linked_cases"), F.count_if("valid").alias("valid_cases"), F.count_if(F.coalesce("passed", F.lit(False))).alias("passed_cases"), F.count_if(~F.coalesce("passed", F.lit(True))).alias("failed_cases"))
+    usable = (F.trim(F.coalesce("call_code", F.lit(""))) != "") & (F.size(F.json_object_keys("expected_output_signature")) > 0)
+    links = rubrics.linked_cases(ops.select("env_id", "operator_id", "axis"), cases.withColumn("targets", F.col("targets_operator_id")))
+    own = links.join(cases.select("env_id", "case_id", F.coalesce(usable, F.lit(False)).alias("usable")), ["env_id", "case_id"]).join(reports, ["env_id", "case_id"], "left")
+    counts = own.groupBy("env_id", "operator_id").agg(F.count("*").alias("linked_cases"), F.count_if("usable").alias("valid_cases"), F.count_if(F.coalesce("passed", F.lit(False))).alias("passed_cases"), F.count_if(~F.coalesce("passed", F.lit(True))).alias("failed_cases"))
     state = patches.state_maps(patches.applied(ops)).select("env_id", F.coalesce(F.try_element_at("gold_state", F.lit("answer_invariant")) == "true", F.lit(False)).alias("answer_invariant"))
-    reused = envs.select("env_id", F.col("gold_solution").alias("__seed")).join(golds.select("env_id", "gold_code"), "env_id").select("env_id", F.coalesce(F.col("__seed") == F.col("gold_code"), F.lit(False)).alias("gold_reused"))
-    df = ops.join(counts, ["env_id", "operator_id"], "left").join(state, "env_id").join(reused, "env_id")
+    reused = envs.select("env_id", F.col("gold_solution").alias("__seed")).join(golds.select("env_id", "gold_code"), "env_id").select("env_id", F.coalesce(F.trim("__seed") == F.trim("gold_code"), F.lit(False)).alias("gold_reused"))
+    seen = envs.select("env_id", F.concat_ws("\n", "problem", "context_summary").alias("seed_text")).join(written, "env_id")
+    df = prompts.exposures(ops.withColumn("output_requirements", F.array("semantic_spec.requirement")), cases, seen).drop("output_requirements")
+    df = df.join(counts, ["env_id", "operator_id"], "left").join(state, "env_id").join(reused, "env_id")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("linked_cases", "valid_cases", "passed_cases", "failed_cases")}
-    shown = F.exists("patch", lambda p: p["state"] == "visible")
-    facts = {"intensity": F.col("operator_intensity"), "has_patch": patches.realized_patch(F.col("axis"), F.col("patch")), "exposed": shown, "invariant_declared": patches.has(F.col("patch"), [("gold", "answer_invariant")])}
+    facts = {"intensity": F.col("operator_intensity"), "has_patch": patches.realized_patch(F.col("axis"), F.col("patch")), "invariant_declared": patches.has(F.col("patch"), [("gold", "answer_invariant")])}
     return gates.realization(df.withColumns(zero).withColumns(facts)).drop("patch", "semantic_spec")
 
 

@@ -115,10 +115,6 @@ def test_exports(spark):
     runs = spark.createDataFrame([("e", "t", "code", True, ["x"], 1.0), ("f", "t", "", True, ["x"], 1.0), ("g", "t", "c", False, ["x"], None), ("h", "t", "c", True, [], None)], "env_id string, sample_type string, final_code string, execution_passed boolean, used_tools array<string>, rubric_score double")
     good, bad = exports.tool_samples(runs)
     assert good.count() == 1 and {r.reject_reason for r in bad.collect()} == {"NO_FINAL_CODE", "ORACLE_FAILED", "NO_TOOL_USED"} and len(good.first().sample_id.split("_")[-1]) == 16
-    st = exports.merged_state(spark.createDataFrame([("e", 2, {"a": "2"}), ("e", 1, {"a": "1", "b": "1"})], "env_id string, position int, patch map<string,string>")).first()
-    assert st.state == {"a": "2", "b": "1"}
-    text = spark.range(1).select(exports.prompt_text(F.lit("P"), F.array(*map(F.lit, ["r", " r ", "Generic", "s"])), ["generic"]).alias("t")).first().t
-    assert text == "P\nRequirements:\n1. r\n2. s"
 
 
 def test_completed_rows_prefer_the_checkpoint(spark):
