@@ -590,17 +590,21 @@ def plan_sampling(spark: SparkSession, sf: str) -> DataFrame:
     return planning.plan_violations(plans)
 
 
-@query("SELECT o_orderkey, o_orderkey % 3 <> 2 AS same, true AS holds, false AS equal_part FROM orders")
+@query("SELECT o_orderkey, o_orderkey % 3 <> 2 AS same, o_custkey % 2 = 0 AS holds, o_orderkey % 4 = 0 AS equal_part FROM orders")
 def value_matching(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders' totals, as nested values with noise inside and outside of the tolerance, matched and contained."""
+    """Orders as nested values: matched with noise inside and outside of the tolerance, searched for a part that they hold or not, matched with all of themselves in another order or a part."""
     from gradeloom.functions.values import value_contains, values_match
 
     o = table(spark, sf, "orders")
     noise = F.get(F.array(F.lit(1.0), F.lit(1 + 5e-7), F.lit(1 + 5e-6)), (F.col("o_orderkey") % 3).cast("int"))
-    a = F.to_json(F.struct(F.col("o_totalprice").alias("total"), F.array("o_orderstatus", "o_orderpriority").alias("tags")))
-    b = F.to_json(F.struct((F.col("o_totalprice") * noise).alias("total"), F.array("o_orderstatus", "o_orderpriority").alias("tags")))
-    part = F.to_json(F.struct(F.col("o_totalprice").alias("total")))
-    return o.select("o_orderkey", values_match(a, b).alias("same"), value_contains(a, part).alias("holds"), values_match(a, part).alias("equal_part"))
+    total, tags = F.col("o_totalprice"), F.array("o_orderstatus", "o_orderpriority").alias("tags")
+    runs = lambda x: F.array(F.struct(F.struct(x.alias("total")).alias("output"), F.lit(True).alias("ok"))).alias("runs")
+    texts = o.select(
+        "o_orderkey", "o_custkey", F.to_json(F.struct(total.alias("total"), tags, runs(total))).alias("a"), F.to_json(F.struct((total * noise).alias("total"), tags, runs(total * noise))).alias("b"),
+        F.to_json(F.struct(runs(total + F.col("o_custkey") % 2))).alias("part"), F.to_json(F.struct(runs(total), tags, total.alias("total"))).alias("turned"),
+    )
+    whole = F.when(F.col("o_orderkey") % 4 == 0, F.col("turned")).otherwise(F.col("part"))
+    return texts.select("o_orderkey", values_match("a", "b").alias("same"), value_contains("a", "part").alias("holds"), values_match(F.col("a"), whole).alias("equal_part"))
 
 
 @query()
