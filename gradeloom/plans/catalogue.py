@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import text as T
 from gradeloom.operators import episodes, exports, gates, planning, rubrics, scoring, splits, summaries, taxonomy, upserts
 from gradeloom.sources.session import table
-from gradeloom.sources.shared import shared_folder, written
+from gradeloom.sources.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -255,10 +255,28 @@ SELECT doc_id, {_rule_sql("t", taxonomy.DOMAIN_WORDS, "scientific_software_engin
 FROM t"""
 )
 def route_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.lower(F.col("text"))
-    first, second = taxonomy.task_rule(F.col("t"))
-    d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
-    return d.select("doc_id", taxonomy.domain_rule(F.col("t")).alias("primary_domain"), first.alias("primary_task_type"), second.alias("secondary_task_type"))
+    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
+    return taxonomy.with_rules(d, F.col("t")).drop("t")
+
+
+_ANY = lambda words: f"regexp_matches(t, '{'|'.join(words)}')"
+_CLINICAL = {n: _ANY(w) for n, w in taxonomy.CLINICAL_WORDS}
+_CLINICAL[taxonomy.CLINICAL_URGENT] = f"({_CLINICAL[taxonomy.CLINICAL_URGENT]} OR ({_ANY(taxonomy.CLINICAL_STEPS)} AND {_ANY(taxonomy.CLINICAL_SIGNS)}))"
+_CLINICAL[taxonomy.CLINICAL_PLANNED] = f"({_CLINICAL[taxonomy.CLINICAL_PLANNED]} AND NOT {_CLINICAL[taxonomy.CLINICAL_URGENT]})"
+QUESTIONS = ["The next best step after sudden fever?", "Most likely cause, and the best treatment?", "Which vaccine, by a cohort study?", "Best treatment of shock?", "Informed consent for a biopsy.", ""]
+
+
+@query(
+    f"""
+WITH q AS (SELECT doc_id, lower([{", ".join(f"'{q}'" for q in QUESTIONS)}][doc_id % {len(QUESTIONS)} + 1] || ' ' || coalesce(text, '')) AS t FROM documents),
+f AS (SELECT doc_id, list_filter([{", ".join(f"CASE WHEN {sql} THEN '{n}' END" for n, sql in _CLINICAL.items())}], lambda x: x IS NOT NULL) AS found FROM q)
+SELECT doc_id, coalesce(found[1], '{taxonomy.CLINICAL_DEFAULT}') AS primary_task_type, array_to_string(found[2:], ',') AS secondary FROM f"""
+)
+def clinical_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents behind a question: clinical task types by priority."""
+    question = F.get(F.array(*map(F.lit, QUESTIONS)), (F.col("doc_id") % len(QUESTIONS)).cast("int"))
+    d = table(spark, sf, "documents").select("doc_id", F.lower(F.concat(question, F.lit(" "), F.coalesce("text", F.lit("")))).alias("t"))
+    return taxonomy.with_clinical_types(d, F.col("t")).select("doc_id", "primary_task_type", F.array_join("secondary_task_types", ",").alias("secondary"))
 
 
 @query(
@@ -607,24 +625,4 @@ def value_matching(spark: SparkSession, sf: str) -> DataFrame:
     return texts.select("o_orderkey", values_match("a", "b").alias("same"), value_contains("a", "part").alias("holds"), values_match(F.col("a"), whole).alias("equal_part"))
 
 
-@query()
-def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest event of each user by a stream of upserts; the same rows as ``checkpoint_latest``."""
-    import uuid
-
-    from gradeloom.streaming import pipelines
-
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf, "events").schema
-    source = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
-    folder = source.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(source).isDirectory()
-    reader = spark.readStream.schema(schema)
-    stream = reader.parquet(f"{sf}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf)
-    pipelines.upsert_sink(stream, f"{base}/table", f"{base}/checkpoint", ["user_id"], ["ts", "event_id"]).awaitTermination()
-    out = pipelines.version(spark, f"{base}/table")
-    return (out if out is not None else spark.createDataFrame([], schema)).select("user_id", "event_id", "event_type", "value")
-
-
-ORACLES["stream_latest"] = ORACLES["checkpoint_latest"]
-
-from gradeloom.plans import cases, further, scaling  # noqa: E402, F401 - their queries register themselves
+from gradeloom.plans import cases, further, scaling, streams  # noqa: E402, F401 - their queries register themselves

@@ -154,6 +154,51 @@ def test_streamed_upserts_equal_the_batch(spark, events, tmp_path):
     assert sorted(map(tuple, pipelines.version(spark, path).select(base.columns).collect())) == want
 
 
+def test_upserts_write_what_a_batch_touches(spark, tmp_path):
+    path, cp, d = str(tmp_path / "t"), str(tmp_path / "cp"), str(tmp_path / "in")
+    schema = "k long, at long, v string"
+
+    def put(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(d)
+        pipelines.upsert_sink(spark.readStream.schema(schema).parquet(d), path, cp, ["k"], ["at"], buckets=16).awaitTermination()
+
+    def sizes():
+        import glob
+
+        return {v: len(glob.glob(f"{path}/v={v}/{pipelines.BUCKET}=*")) for v in range(4)}
+
+    put([(k, 0, "old") for k in range(500)])
+    assert sizes()[0] == 16
+    put([(3, 1, "new"), (3, 0, "late"), (1000, 0, "more")])
+    assert sizes()[0] == 16 and 1 <= sizes()[1] <= 2
+    put([(3, 2, "newer")])
+    put([(3, 3, "newest")])
+    got = {r.k: r.v for r in pipelines.version(spark, path).collect()}
+    assert len(got) == 501 and got[3] == "newest" and got[1000] == "more" and got[7] == "old"
+    left = sizes()
+    assert left[0] <= 15 and left[2] == left[3] == 1 and left[0] + left[1] <= 16  # superseded buckets went
+    assert {r.k: r.v for r in pipelines.version(spark, path, below=3).collect()}[3] == "newer"  # a batch that is run again finds what it read
+
+
+def test_forgotten_episodes_start_anew(spark, tmp_path):
+    import datetime as dt
+
+    d, cp, out = str(tmp_path / "in"), str(tmp_path / "cp"), str(tmp_path / "out")
+    schema = "u long, i long, tool string, ts timestamp"
+
+    def put(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(d)
+        marked = pipelines.budget_stream(spark.readStream.schema(schema).parquet(d), "u", "tool", "i", 9, 2, "ts", "1 hour", idle_ms=3_600_000)
+        pipelines.append_sink(marked, out, cp).awaitTermination()
+
+    day = lambda n: dt.datetime(2024, 1, n, 12)
+    put([(1, 1, "a", day(1)), (1, 2, "a", day(1)), (1, 3, "a", day(1)), (2, 1, "a", day(1))])
+    put([(2, 2, "a", day(1)), (2, 3, "a", day(1)), (3, 1, "b", day(9))])  # the watermark goes on; episode 1 is forgotten
+    put([(1, 4, "a", day(9))])
+    got = {(r.u, r.i): r.budget_violation for r in spark.read.parquet(out).collect()}
+    assert got == {(1, 1): False, (1, 2): False, (1, 3): True, (2, 1): False, (2, 2): False, (2, 3): True, (3, 1): False, (1, 4): False}
+
+
 def test_streamed_summary_once_windows_and_budget(spark, events):
     d, base = events
     got = pipelines.run_available(pipelines.live_summary(stream(spark, d, base), "event_type", "value"), "live", "complete")
@@ -163,7 +208,7 @@ def test_streamed_summary_once_windows_and_budget(spark, events):
     assert first.count() == base.select("user_id").distinct().count()
     win = pipelines.run_available(pipelines.windowed(stream(spark, d, base, 9), "ts", "event_type", "1 day", "1 hour"), "win", "append")
     assert 0 < win.agg(F.sum("n")).first()[0] <= base.count()
-    marked = pipelines.run_available(pipelines.budget_stream(stream(spark, d, base, 9), "user_id", "event_type", "event_id", 20, 5), "budget", "append")
+    marked = pipelines.run_available(pipelines.budget_stream(stream(spark, d, base, 9), "user_id", "event_type", "event_id", 20, 5, "ts"), "budget", "append")
     from gradeloom.operators.episodes import budget_flags
 
     flags = budget_flags(base, ["user_id"], "event_type", ["event_id"], 20, 5)

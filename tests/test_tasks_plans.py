@@ -51,8 +51,9 @@ def test_normalised_demo_rows_route(spark):
 
 
 def test_substring_rules_keep_their_traps(spark):
-    assert one(spark, taxonomy.domain_rule(F.col("a")), a="read a barcode") == "systems_molecular_modeling"
-    assert one(spark, taxonomy.domain_rule(F.col("a")), a="hello") == "scientific_software_engineering"
+    texts = spark.createDataFrame([("read a barcode",), ("hello",), (None,)], "a string")
+    got = [r.primary_domain for r in taxonomy.with_rules(texts, F.col("a")).collect()]
+    assert got == ["systems_molecular_modeling", "scientific_software_engineering", "scientific_software_engineering"]
 
 
 @pytest.mark.parametrize(
