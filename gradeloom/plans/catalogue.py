@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as T
-from gradeloom.operators import episodes, exports, gates, planning, rubrics, scoring, splits, summaries, taxonomy, upserts
+from gradeloom.operators import episodes, exports, gates, planning, ranks, rubrics, scoring, splits, summaries, taxonomy, upserts
 from gradeloom.sources.session import table
 from gradeloom.sources.shared import written
 
@@ -297,17 +297,24 @@ def alias_coalesce(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 @query(
     """
-WITH n AS (SELECT n_regionkey, n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY customers DESC, n_name) AS rn FROM n)
-SELECT n_regionkey, n_name, customers, rn::INTEGER AS place FROM r WHERE rn <= 3"""
+WITH s AS (SELECT c_nationkey, c_mktsegment AS domain, count(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT *, round(n / sum(n) OVER (PARTITION BY c_nationkey), 6) AS relevance FROM s),
+p AS (SELECT c_nationkey, arg_max(domain, (n, domain)) AS main FROM s GROUP BY 1),
+r AS (SELECT t.c_nationkey, domain, relevance, row_number() OVER (PARTITION BY t.c_nationkey ORDER BY relevance DESC, domain) AS place FROM t JOIN p ON p.c_nationkey = t.c_nationkey AND domain <> main AND domain <> 'MACHINERY' AND relevance >= 0.18)
+SELECT c_nationkey, place::INTEGER AS place, domain, relevance FROM r WHERE place <= 3"""
 )
 def hint_topn(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
-    n = table(spark, sf, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_regionkey", "n_name", F.coalesce("customers", F.lit(0)).alias("customers"))
-    ranked = n.groupBy("n_regionkey").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("customers")).alias("m"), "n_name"))), 1, 3).alias("top"))
-    return ranked.select("n_regionkey", F.posexplode("top").alias("at", "t")).select("n_regionkey", F.col("t.n_name").alias("n_name"), (-F.col("t.m")).alias("customers"), (F.col("at") + 1).alias("place"))
+    """Segments as hints of a nation, by their share of customers; the largest is the primary one, and machinery isn't allowed."""
+    s = table(spark, sf, "customer").groupBy("c_nationkey", F.col("c_mktsegment").alias("domain")).agg(F.count("*").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct("domain", "n")))
+    hints = F.transform("all", lambda h: F.struct(h["domain"].alias("domain"), F.round(h["n"] / F.col("total"), 6).alias("relevance")))
+    per = s.groupBy("c_nationkey").agg(listed.alias("all"), F.sum("n").alias("total"), F.max(F.struct("n", "domain"))["domain"].alias("main"))
+    top = taxonomy.top_hints(hints, F.col("main"), SEGMENTS[:-1], 0.18, 3)
+    return per.select("c_nationkey", F.posexplode(top).alias("at", "h")).select("c_nationkey", (F.col("at") + 1).alias("place"), "h.domain", "h.relevance")
 
 
 PLAIN_SQL = "trim(regexp_replace(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '[^a-z0-9_ .:/+-]+', '', 'g'))"
@@ -456,10 +463,8 @@ SELECT lang, chosen, rejected, round(CASE WHEN cs <= rs THEN least(1.0, rs + 0.3
 )
 def prefer_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Good and bad documents of a language, paired by rank."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("lang", "quality").orderBy("doc_id"))
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("lang", "doc_id", "quality", n.alias("rn"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("score"))
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("lang", "doc_id", "quality", F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("score"))
+    d = ranks.placed(d, ["lang", "quality"], ["doc_id"], "rn")
     good = d.where("quality = 1").select("lang", "rn", F.col("doc_id").alias("chosen"), F.col("score").alias("chosen_score"))
     bad = d.where("quality = 0").select("lang", "rn", F.col("doc_id").alias("rejected"), F.col("score").alias("rejected_score"))
     return exports.preference_samples(good.join(bad, ["lang", "rn"])).select("lang", "chosen", "rejected", r6("margin").alias("margin"))
@@ -587,15 +592,20 @@ def failure_triage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """
-SELECT conv_id, turn, len(w)::INTEGER AS tokens, len(list_filter(w, lambda x: strlen(x) > 0))::INTEGER AS labelled FROM (
-  SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM conversations WHERE role = 'assistant')"""
+WITH t AS (SELECT conv_id, turn, text, length(text) // 3 AS a, 2 * (length(text) // 3) AS b FROM conversations WHERE role = 'assistant'),
+w AS (SELECT *, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words, string_split_regex(text, '[^ \\t\\n\\x0B\\f\\r]+') AS gaps FROM t),
+o AS (SELECT conv_id, turn, a, b, len(words) AS n, list_transform(range(1, len(words) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(words[1:i - 1], lambda w: length(w))), 0)) AS starts, words FROM w)
+SELECT conv_id, turn, n::INTEGER AS tokens, len(list_filter(range(1, n + 1), lambda i: starts[i] < b AND starts[i] + length(words[i]) > a))::INTEGER AS labelled,
+  coalesce(list_min(list_filter(range(1, n + 1), lambda i: starts[i] < b AND starts[i] + length(words[i]) > a)) - 1, -1)::INTEGER AS first_labelled FROM o"""
 )
 def label_mask(spark: SparkSession, sf: str) -> DataFrame:
-    """Whitespace tokens of assistant turns inside the span of the whole turn: all are labelled."""
+    """Whitespace tokens of assistant turns, of which those that touch the turn's middle third are labelled: how many, and the first."""
     c = table(spark, sf, "conversations").where("role = 'assistant'").withColumn("tokens", episodes.word_offsets(F.coalesce("text", F.lit(""))))
-    spans = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
-    mask = episodes.label_mask(F.col("tokens"), F.transform("tokens", lambda x, i: i), spans)
-    return c.select("conv_id", "turn", F.size("tokens").alias("tokens"), F.size(F.filter(mask, lambda m: m >= 0)).alias("labelled"))
+    third = F.floor(F.length("text") / 3)
+    spans = F.array(F.struct(third.alias("start"), (2 * third).alias("end")))
+    c = c.withColumn("mask", episodes.label_mask(F.col("tokens"), F.transform("tokens", lambda x, i: i), spans))
+    labelled = F.filter("mask", lambda m: m >= 0)
+    return c.select("conv_id", "turn", F.size("tokens").alias("tokens"), F.size(labelled).alias("labelled"), F.coalesce(F.array_min(labelled), F.lit(-1)).alias("first_labelled"))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as T
-from gradeloom.operators import episodes, exports, planning, rubrics, scoring, summaries, upserts
+from gradeloom.operators import episodes, exports, planning, ranks, rubrics, scoring, summaries, upserts
 from gradeloom.plans.catalogue import long, query, r6
 from gradeloom.sources.session import table
 
@@ -52,9 +52,11 @@ def ordered_parts(spark: SparkSession, sf: str) -> DataFrame:
     return upserts.ordered_union(parts, "position").select("part", "position", "name")
 
 
-@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey")
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS position FROM events")
 def input_order(spark: SparkSession, sf: str) -> DataFrame:
-    return upserts.restore_order(table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    """Events with their place in the order in which they came, as ``restore_order`` puts them at the sink."""
+    e = table(spark, sf, "events").select("event_id", "ts")
+    return upserts.restore_order(ranks.placed(e, [], ["ts", "event_id"], "position"), "position").select("event_id", "position")
 
 
 @query(f"SELECT role, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role, {FOLDED_SQL} ORDER BY conv_id, turn) AS n FROM conversations) WHERE n = 1")
