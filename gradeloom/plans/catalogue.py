@@ -635,4 +635,4 @@ def value_matching(spark: SparkSession, sf: str) -> DataFrame:
     return texts.select("o_orderkey", values_match("a", "b").alias("same"), value_contains("a", "part").alias("holds"), values_match(F.col("a"), whole).alias("equal_part"))
 
 
-from gradeloom.plans import cases, further, scaling, streams  # noqa: E402, F401 - their queries register themselves
+from gradeloom.plans import cases, further, gating, scaling, streams  # noqa: E402, F401 - their queries register themselves
