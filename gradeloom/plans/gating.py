@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.operators import constraints, exports, gates, rubrics, splits, verifiers
+from gradeloom.operators import constraints, deltas, exports, gates, rubrics, splits, verifiers
 from gradeloom.plans.cases import LINE_SQL, _lines, _text
 from gradeloom.plans.catalogue import query
 from gradeloom.sources.session import table
@@ -229,3 +229,27 @@ def planned_cases(spark: SparkSession, sf: str) -> DataFrame:
     ops = _lines(spark, sf).where("k <= 3").select(F.col("o").alias("env_id"), F.col("k").alias("position"), F.col("k").cast("string").alias("operator_id"))
     out = verifiers.case_plans(envs, ops, {"M4": 2})
     return out.select(F.col("env_id").alias("o"), "status", "required_cases", "additional_cases", F.col("targets_operator_id").alias("targets"))
+
+
+@query(
+    """
+SELECT p_partkey, 'new_checks' AS list, 1 AS place, p_name AS rule, NULL AS code, 'fallback' AS source, NULL AS counts, NULL AS error FROM part WHERE p_size % 3 <> 2
+UNION ALL SELECT p_partkey, 'new_checks', 2, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'generic' END, NULL, 'llm', NULL, NULL FROM part WHERE p_size % 3 <> 2
+UNION ALL SELECT p_partkey, 'new_checks', NULL, NULL, NULL, NULL, NULL, 'LIST_IS_NOT_A_LIST' FROM part WHERE p_size % 3 = 2
+UNION ALL SELECT p_partkey, 'new_hidden_tests', 1, NULL, CASE WHEN p_size % 2 = 0 THEN 'assert ' || p_name ELSE 'compile( ' || p_name END, 'llm', p_size % 2 = 0, NULL FROM part
+UNION ALL SELECT p_partkey, 'new_hidden_tests', 2, NULL, 'assert ' || p_brand, 'fallback', false, NULL FROM part
+UNION ALL SELECT p_partkey, 'static_checks', 1, NULL, NULL, NULL, NULL, 'ITEM_IS_NEITHER_OBJECT_NOR_TEXT' FROM part
+UNION ALL SELECT p_partkey, 'static_checks', 2, p_type, NULL, p_brand, NULL, NULL FROM part"""
+)
+def delta_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as operators whose verifier deltas hold texts, objects, numbers and lists that aren't lists: each item in one form."""
+    p = table(spark, sf, "part")
+    even = F.col("p_size") % 2 == 0
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    checks = F.when(F.col("p_size") % 3 == 2, quoted(F.col("p_name"))).otherwise(F.concat(F.lit("["), quoted(F.col("p_name")), F.lit(","), F.to_json(F.struct(F.col("p_brand").alias("name"), F.when(even, F.col("p_type")).alias("rule"))), F.lit("]")))
+    code = F.concat(F.when(even, "assert ").otherwise("compile( "), "p_name")
+    tests = F.concat(F.lit("["), F.to_json(F.struct(F.col("p_brand").alias("test_id"), code.alias("code"))), F.lit(","), quoted(F.concat(F.lit("assert "), "p_brand")), F.lit("]"))
+    static = F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(","), F.to_json(F.struct(F.col("p_type").alias("description"), F.col("p_brand").alias("source"))), F.lit("]"))
+    delta = F.concat(F.lit('{"new_checks":'), checks, F.lit(',"new_hidden_tests":'), tests, F.lit(',"static_checks":'), static, F.lit("}"))
+    items = deltas.delta_items(p.select(F.col("p_partkey").cast("string").alias("operator_id"), delta.alias("delta")))
+    return items.select(F.col("operator_id").cast("long").alias("p_partkey"), "list", "place", "rule", "code", "source", F.col("counts_as_hidden_test").alias("counts"), "error")
