@@ -270,7 +270,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98) -> DataFrame:
         .select("mark1", "mark2", F.coalesce("component", "node").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).alias("links"))
     )
     known = materialise(known, "vector-known", small=True)
-    out = rows.select("vec_id", "mark1", "mark2").join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, ["mark1", "mark2"], "left")
+    spread = F.coalesce("mark1", F.monotonically_increasing_id()).alias("mark1")  # unusable rows still meet nothing (mark2 is null), but don't meet in one task either
+    out = rows.select("vec_id", spread, "mark2").join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, ["mark1", "mark2"], "left")
     return out.select(
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
