@@ -119,3 +119,17 @@ def test_interval_join(x, y):
     got = sorted((r.k, r.left_id, r.right_id) for r in episodes.overlapping(make(x), make(y), "k", 7).collect())
     want = sorted((k, i, j) for i, (k, s, n) in enumerate(x) for j, (l, t, m) in enumerate(y) if k == l and n and m and s < t + m and t < s + n)
     assert got == want
+
+
+def test_places_in_groups_of_any_size(spark):
+    from gradeloom.operators import ranks
+
+    rows = [("a" if i % 3 else None, i // 4, i) for i in range(400)] + [("b", 1, 1)]
+    df = spark.createDataFrame(rows, "g string, v long, place long").repartition(5)
+    got = ranks.placed(df, ["g"], ["v", "place"], "n").collect()
+    want = {}
+    for g, v, p in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        want[g, v, p] = sum(1 for k in want if k[0] == g) + 1
+    assert {(r.g, r.v, r.place): r.n for r in got} == want and len(got) == 401
+    assert [r.n for r in ranks.placed(df, [], ["v", "place"], "n").orderBy("v", "place").collect()] == list(range(1, 402))
+    assert ranks.placed(df.limit(0), ["g"], ["v"]).count() == 0

@@ -172,3 +172,20 @@ def test_names_of_a_brand_overlap_whatever_their_type_and_size(spark, tmp_path):
     own = [(k, b, set((n or "").split())) for k, b, _, _, n in parts]
     want = [(k, m) for k, b, x in own for m, c, y in own if k < m and b == c is not None and x and len(x & y) >= min(2, len(x))]
     assert sorted(tuple(r) for r in catalogue.token_overlap(spark, str(tmp_path)).collect()) == sorted(want) and len(want) > 100
+
+
+def test_words_are_found_in_one_pass(monkeypatch):
+    from gradeloom.functions import words
+
+    known = ["bar", "bam", "barcode", "a", "é b"]
+    texts = ["a barcode", "", "x", "té b bam", "BAR"]
+    want = [[i for i, w in enumerate(known) if w in t] for t in texts]
+    assert [words.finder(known)(t) for t in texts] == want
+    monkeypatch.setattr(words, "ahocorasick", None)
+    assert [words.finder(known)(t) for t in texts] == want
+
+
+def test_clinical_types_by_priority(spark):
+    rows = ["next best step after sudden fever, best treatment", "the best treatment", "nothing", "overdose: which antidote", None]
+    got = [(r.primary_task_type, r.secondary_task_types) for r in taxonomy.with_clinical_types(spark.createDataFrame([(t,) for t in rows], "t string"), F.col("t")).collect()]
+    assert got == [("triage_urgent_management", []), ("treatment_planning", []), ("diagnosis_reasoning", []), ("triage_urgent_management", ["medication_safety"]), ("diagnosis_reasoning", [])]
