@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,46 +26,47 @@ def _operators(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""
-WITH o AS (SELECT p_partkey, p_size % 2 + 1 AS n, {AXIS_SQL} AS axis FROM part),
-t(axis, state, key, value) AS (VALUES
-  ('D', 'data', 'resource_variants', '["d_variant_intensity_#"]'), ('D', 'data', 'additional_inputs', '["d_additional_input_#"]'), ('D', 'verifier', 'resource_variation_checks', '["d_resource_check_#"]'),
-  ('D', 'test', 'tests_with_new_resource_variants', '["d_case_variant_#"]'), ('C', 'verifier', 'constraint_checks', '["c_constraint_check_#"]'), ('C', 'test', 'constraint_hidden_tests', '["c_constraint_case_#"]'),
-  ('A', 'verifier', 'anti_shortcut_checks', '["a_shortcut_check_#"]'), ('A', 'verifier', 'shortcut_rejection_checks', '["a_rejection_check_#"]'), ('A', 'test', 'shortcut_hidden_tests', '["a_shortcut_case_#"]'),
-  ('V', 'verifier', 'stronger_checks', '["v_case_coverage_#"]'), ('V', 'verifier', 'verifier_hardening', '["validated_oracle_cases"]'), ('V', 'test', 'semantic_hidden_tests', '["v_semantic_case_#"]'))
-SELECT p_partkey, state, key, replace(value, '#', n::VARCHAR) AS value FROM o JOIN t ON o.axis = t.axis
+WITH o AS (SELECT p_partkey, p_size % 2 + 1 AS n, {AXIS_SQL} AS axis FROM part), t(axis, state, key, value) AS (VALUES __TEMPLATES__)
+SELECT p_partkey, state, key, replace(value, '{{n}}', n::VARCHAR) AS value FROM o JOIN t ON o.axis = t.axis
+UNION ALL SELECT p_partkey, 'task', 'axis_constraints', '["' || axis || '"]' FROM o UNION ALL SELECT p_partkey, 'task', 'axis_intensity', n::VARCHAR FROM o
+UNION ALL SELECT p_partkey, 'task', 'domain_context', '{{"primary_domain":"any","secondary_domains":["other"]}}' FROM o
 UNION ALL SELECT p_partkey, 'data', 'input_format_variants', CASE n WHEN 1 THEN '["extensionless","comment_lines"]' ELSE '["extensionless","comment_lines","empty_sections"]' END FROM o WHERE axis = 'D'
-UNION ALL SELECT p_partkey, 'gold', k, CASE WHEN (axis = 'V') = (k <> 'gold_changed') THEN 'true' ELSE 'false' END
-FROM o, (VALUES ('gold_changed'), ('answer_invariant'), ('seed_gold_compatible_with_scaled_task')) g(k)"""
+UNION ALL SELECT p_partkey, 'gold', k, CASE WHEN (axis = 'V') = (k <> 'gold_changed') THEN 'true' ELSE 'false' END FROM o, (VALUES ('gold_changed'), ('answer_invariant'), ('seed_gold_compatible_with_scaled_task')) g(k)""".replace(
+        "__TEMPLATES__", ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (axis, s, k, json.dumps(v))) + ")" for axis, rows in patches.TEMPLATES.items() for s, k, v in rows)
+    )
 )
 def axis_patches(spark: SparkSession, sf: str) -> DataFrame:
-    """Names and flags that operators of each axis write; the sentences beside them are free."""
-    patch = patches.state_patch(F.col("axis"), F.col("operator_intensity"), F.lit("any"), F.lit(None).cast("array<string>"))
-    rows = _operators(spark, sf).select(F.col("env_id").alias("p_partkey"), F.inline(patch))
-    return rows.where("state in ('data', 'verifier', 'test') or (state = 'gold' and key <> 'gold_change_reason')")
+    """All that operators of each axis write, but for the reason why the solution changes."""
+    patch = patches.state_patch(F.col("axis"), F.col("operator_intensity"), F.lit("any"), F.array(F.lit("other")))
+    return _operators(spark, sf).select(F.col("env_id").alias("p_partkey"), F.inline(patch)).where("key <> 'gold_change_reason'")
+
+
+def _rows_sql(entries) -> str:
+    return ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in row) + ")" for row in entries)
+
+
+_HOW = {patches.GOAL: "list", patches.GOAL_TEXT: "text", patches.VARIANT: "id"}
+_WANTED = [(axis, s, k, v if v in _HOW.values() else json.dumps(v)) for axis, rows in patches.DEFAULTS.items() for s, k, v in [(s, k, _HOW.get(v, v) if isinstance(v, str) else v) for s, k, v in rows]] + [("X", "task", "operator_goal", "text")]
+_OWN = {"D": ("data", "resource_variants"), "C": ("verifier", "constraint_checks"), "A": ("visible", "robustness_trap")}
+_GOLD = ("gold_changed", "answer_invariant", "seed_gold_compatible_with_scaled_task")
 
 
 @query(
     f"""
-WITH o AS (SELECT p_partkey, p_name, p_size % 3 AS has, {AXIS_SQL} AS axis FROM part),
-d(axis, state, key, how) AS (VALUES ('D', 'data', 'resource_variants', 'id'), ('D', 'test', 'tests_with_new_resource_variants', 'list'),
-  ('C', 'task', 'extra_constraints', 'list'), ('C', 'visible', 'output_constraints', 'list'), ('C', 'verifier', 'constraint_checks', 'list'), ('C', 'test', 'constraint_hidden_tests', 'list'),
-  ('A', 'task', 'shortcut_traps', 'list'), ('A', 'visible', 'robustness_trap', 'text'), ('A', 'verifier', 'anti_shortcut_checks', 'list'), ('A', 'test', 'shortcut_hidden_tests', 'list'),
-  ('V', 'verifier', 'stronger_checks', 'list'), ('V', 'test', 'semantic_hidden_tests', 'list'), ('X', 'task', 'operator_goal', 'text'))
-SELECT p_partkey, state, key, CASE WHEN has = 0 AND key IN ('resource_variants', 'constraint_checks', 'robustness_trap') THEN '"own"'
-  WHEN how = 'id' THEN '["op' || p_partkey || '_resource_variant"]' WHEN how = 'text' THEN '"' || p_name || '"' ELSE '["' || p_name || '"]' END AS value
-FROM o JOIN d ON o.axis = d.axis"""
+WITH o AS (SELECT p_partkey, p_name, p_size % 3 AS has, {AXIS_SQL} AS axis FROM part), d(axis, state, key, how) AS (VALUES {_rows_sql(_WANTED)}),
+e AS (SELECT p_partkey, state, key, CASE WHEN has = 0 AND key IN ('resource_variants', 'constraint_checks', 'robustness_trap') THEN '"own"'
+  WHEN how = 'id' THEN '["op' || p_partkey || '_resource_variant"]' WHEN how = 'text' THEN '"' || p_name || '"' WHEN how = 'list' THEN '["' || p_name || '"]' ELSE how END AS value FROM o JOIN d ON o.axis = d.axis)
+SELECT * FROM e UNION ALL SELECT p_partkey, 'gold', k, CASE WHEN (axis = 'V') = (k <> 'gold_changed') THEN 'true' ELSE 'false' END FROM o, (VALUES {_rows_sql((k,) for k in _GOLD)}) g(k) WHERE axis <> 'X'
+UNION ALL SELECT p_partkey, 'gold', 'gold_change_reason', CASE WHEN axis = 'V' THEN '"Only the checks grow; the task means the same."' ELSE '"The solution must keep up with what axis ' || axis || ' adds."' END FROM o WHERE axis <> 'X'"""
 )
 def missing_state_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries that take the operator's goal or id; a third of the parts have one of them already."""
-    own = F.element_at(F.create_map(*(F.lit(x) for pair in {"D": "resource_variants", "C": "constraint_checks", "A": "robustness_trap"}.items() for x in pair)), F.col("axis"))
-    state = F.element_at(F.create_map(*(F.lit(x) for pair in {"D": "data", "C": "verifier", "A": "visible"}.items() for x in pair)), F.col("axis"))
+    """All entries that an axis can't be without; a third of the parts have one of them already, which stays."""
+    pick = lambda i: F.element_at(F.create_map(*(F.lit(x) for axis, pair in _OWN.items() for x in (axis, pair[i]))), F.col("axis"))
     size = table(spark, sf, "part").select(F.col("p_partkey").alias("env_id"), "p_size")
     ops = _operators(spark, sf).join(size, "env_id")
-    given = F.when((F.col("p_size") % 3 == 0) & F.col("axis").isin("D", "C", "A"), F.array(F.struct(state.alias("state"), own.alias("key"), F.lit('"own"').alias("value"))))
+    given = F.when((F.col("p_size") % 3 == 0) & F.col("axis").isin(*_OWN), F.array(F.struct(pick(0).alias("state"), pick(1).alias("key"), F.lit('"own"').alias("value"))))
     whole = patches.repaired_patch(given.cast(patches.PATCH), F.col("axis"), F.col("operator_id"), F.col("goal"))
-    rows = ops.select(F.col("env_id").alias("p_partkey"), "axis", F.inline(whole))
-    fixed = F.concat_ws(".", "axis", "key").isin("D.extra_constraints", "D.input_description", "A.must_not_follow_shortcut", "A.must_not_assume", "V.execution_requirements")
-    return rows.where((F.col("state") != "gold") & ~fixed).drop("axis")
+    return ops.select(F.col("env_id").alias("p_partkey"), F.inline(whole))
 
 
 @query(
