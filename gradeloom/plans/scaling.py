@@ -112,26 +112,30 @@ def compiled_requirements(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("doc_id", F.col("c.rule").alias("rule"), F.coalesce(F.array_join("p.keys", ","), "p.type", "p.text", "p.path", "p.order", F.lit("")).alias("param"))
 
 
+# A reason of each kind, in the forms that runs and checks give.
+REASONS = {
+    "module_not_found": "CASE_EXECUTION_ERROR:ModuleNotFoundError: No module named 'x'",
+    "name_error": "CASE_EXECUTION_ERROR:NameError: name 'y' is not defined",
+    "exception_mismatch": "CASE_EXECUTION_ERROR:ValueError: bad",
+    "return_type_mismatch": "OUTPUT_CONSTRAINT_FAILED:return_type:return type is int",
+    "return_keys_mismatch": "OUTPUT_CONSTRAINT_FAILED:return_keys:keys missing: ['a']",
+    "return_value_mismatch": "case_1_return_value_equals:return value differs",
+    "stdout_mismatch": "OUTPUT_CONSTRAINT_FAILED:stdout_0:stdout lacks the text",
+    "stdout_regex_mismatch": "OUTPUT_CONSTRAINT_FAILED:stdout_regex_0:stdout doesn't match",
+    "file_artifact_missing": "OUTPUT_CONSTRAINT_FAILED:file_0:file is missing",
+    "unresolved_artifact_template": "no such artifact: out/{name}.csv",
+}
+
+
 @query(
-    """
-WITH r AS (SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'module_not_found' WHEN 2 THEN 'name_error' WHEN 3 THEN 'exception_mismatch' WHEN 4 THEN 'return_type_mismatch'
-  WHEN 5 THEN 'return_value_mismatch' WHEN 6 THEN 'stdout_mismatch' WHEN 7 THEN 'file_artifact_missing' END AS kind FROM lineitem)
+    f"""
+WITH r AS (SELECT l_orderkey, [{", ".join(f"'{k}'" for k in REASONS)}][l_partkey % 12 + 1] AS kind FROM lineitem)
 SELECT l_orderkey, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS kinds, 3 + count(DISTINCT kind) AS rules FROM r GROUP BY 1"""
 )
 def failure_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of an order as failures of its cases, by line number: their kinds, and how many rules a repair gets."""
-    # Reasons in the forms that runs and checks give.
-    texts = {
-        1: "CASE_EXECUTION_ERROR:ModuleNotFoundError: No module named 'x'",
-        2: "CASE_EXECUTION_ERROR:NameError: name 'y' is not defined",
-        3: "CASE_EXECUTION_ERROR:ValueError: bad",
-        4: "OUTPUT_CONSTRAINT_FAILED:return_type:return type is int",
-        5: "case_1_return_value_equals:return value differs",
-        6: "OUTPUT_CONSTRAINT_FAILED:stdout_0:stdout lacks the text",
-        7: "OUTPUT_CONSTRAINT_FAILED:file_0:file is missing",
-    }
-    reason = F.element_at(F.create_map(*(F.lit(x) for pair in texts.items() for x in pair)), F.col("l_linenumber").cast("int"))
-    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(reason).alias("failures"))
+    """Lines of an order as failures of its cases, by part, of ten kinds or none: their kinds, and how many rules a repair gets."""
+    reason = F.get(F.array(*map(F.lit, REASONS.values())), (F.col("l_partkey") % 12).cast("int"))
+    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.coalesce(reason, F.lit("another reason"))).alias("failures"))
     df = per.select("l_orderkey", constraints.failure_types(F.col("failures")).alias("kinds"))
     return df.select("l_orderkey", F.array_join(F.array_sort("kinds"), ",").alias("kinds"), F.size(constraints.repair_rules(F.col("kinds"))).cast("long").alias("rules"))
 
