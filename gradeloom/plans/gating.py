@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.functions import replies
 from gradeloom.operators import constraints, deltas, exports, gates, rubrics, splits, verifiers
 from gradeloom.plans.cases import LINE_SQL, _lines, _text
 from gradeloom.plans.catalogue import query
@@ -253,3 +254,20 @@ def delta_forms(spark: SparkSession, sf: str) -> DataFrame:
     delta = F.concat(F.lit('{"new_checks":'), checks, F.lit(',"new_hidden_tests":'), tests, F.lit(',"static_checks":'), static, F.lit("}"))
     items = deltas.delta_items(p.select(F.col("p_partkey").cast("string").alias("operator_id"), delta.alias("delta")))
     return items.select(F.col("operator_id").cast("long").alias("p_partkey"), "list", "place", "rule", "code", "source", F.col("counts_as_hidden_test").alias("counts"), "error")
+
+
+@query(
+    """
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type ELSE 'submit_final_code' END AS name,
+  CASE event_id % 5 WHEN 0 THEN '{"k":' || event_id || '}' WHEN 1 THEN '{"code": "x = ' || event_id || '"}' ELSE '{"code":"print(\\"' || event_type || '\\")"}' END AS arguments FROM events WHERE event_id % 5 < 3"""
+)
+def reply_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as replies of a model: a call, arguments alone, a call whose code breaks the JSON, an answer and plain words; the calls that they make."""
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    i, kind = F.col("event_id"), F.col("event_type")
+    forms = [
+        text('{"tool_calls": [{"name": "', kind, '", "arguments": {"k": ', i, "}}]}"), text('{"code": "x = ', i, '"}'), text('{"tool_calls": [{"name": "submit_final_code", "arguments": {"code": "print("', kind, '")"}}]}'),
+        text('{"final_code": "x = ', i, '"}'), text("No call: ", kind),
+    ]
+    calls = replies.tool_calls(F.get(F.array(*forms), (i % 5).cast("int")), ["submit_final_code"])
+    return table(spark, sf, "events").select("event_id", F.explode(calls).alias("c")).select("event_id", "c.name", "c.arguments")
