@@ -50,7 +50,8 @@ def rule_repaired(cases: DataFrame, operators: DataFrame) -> DataFrame:
 def failures(checked: DataFrame, requirements: DataFrame, envs: DataFrame) -> DataFrame:
     """Environments of ``envs`` that need a repair, with ``failures``: reasons of invalid cases by case, and codes of requirements without a case."""
     bad = checked.where("not valid").select("env_id", F.coalesce("case_id", F.lit("")).alias("case_id"), "failure_reasons")
-    bound = constraints.bound_requirements(checked.where("valid"), requirements).select("env_id", "requirement_id", "passed")
+    bound = checked.where("valid").select("env_id", F.explode("covered_requirement_ids").alias("requirement_id"), "matched_requirement_ids")
+    bound = bound.select("env_id", "requirement_id", F.array_contains("matched_requirement_ids", F.col("requirement_id")).alias("passed"))
     own = requirements.join(envs.select("env_id"), "env_id", "left_semi")
     gaps = evidence.requirement_gaps(own, bound).select("env_id", F.concat(F.lit("missing_coverage:"), "requirement_id").alias("case_id"), F.array("code").alias("failure_reasons"))
     return bad.unionByName(gaps).groupBy("env_id").agg(F.array_sort(F.collect_list(F.struct("case_id", "failure_reasons"))).alias("failures"))
