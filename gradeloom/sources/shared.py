@@ -20,6 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt to as many tasks as there are shuffle partitions, for steps whose work is much against the size of their rows: a small file is one task otherwise."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back."""
     path = f"{shared_folder(df.sparkSession)}/gradeloom-tables/{name}-{uuid.uuid4().hex}"

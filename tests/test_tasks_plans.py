@@ -184,6 +184,13 @@ def test_pairs_of_one_large_class_are_spread(spark):
     assert max(r.n for r in made) < 0.7 * total
 
 
+def test_plans_of_a_small_file_are_the_work_of_all_tasks(spark, tmp_path):
+    from gradeloom.plans import catalogue
+
+    spark.range(400).selectExpr("id AS p_partkey", "concat('sort rows ', id) AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalogue.plan_sampling(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() == 4
+
+
 def test_words_are_found_in_one_pass(monkeypatch):
     from gradeloom.functions import words
 
