@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from gradeloom.operators import deltas
 
 
@@ -44,3 +46,9 @@ def test_verdicts(spark):
         "bad": ["ITEM_IS_NEITHER_OBJECT_NOR_TEXT"], "none": ["V_WITHOUT_VERIFICATION", "NO_EXECUTABLE_DELTA"], "good": [], "spec": [], "other": [],
         "twice": ["DUPLICATE_HIDDEN_TEST_ID", "NUMERIC_TEST_INCOMPLETE", "EXCEPTION_TEST_INCOMPLETE", "STATIC_CHECK_INCOMPLETE"],
     }
+
+
+def test_deltas_of_a_small_file_are_the_work_of_all_tasks(spark):
+    ops = spark.range(400).selectExpr("cast(id AS string) AS operator_id", """'{"new_checks": ["a", 1]}' AS delta""").coalesce(1)
+    items = deltas.delta_items(ops)
+    assert items.count() == 800 and items.select(F.spark_partition_id()).distinct().count() == 4
