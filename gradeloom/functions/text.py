@@ -39,6 +39,11 @@ def text_list(values: Column | str) -> Column:
     return F.filter(trimmed, lambda x: x.isNotNull() & (x != ""))
 
 
+def without(words: Column, common: list[str]) -> Column:
+    """Distinct words (none null) that aren't ``common``: a look-up for each word, where array_except would hash the common words for each text."""
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(common)))
+
+
 def slug(c: Column | str, length: int = 48) -> Column:
     """Lower-case letters and digits with single underscores between; ``item`` if nothing is left."""
     words = F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}]+", "_")

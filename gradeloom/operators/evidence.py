@@ -65,7 +65,7 @@ def case_words(text: Column) -> Column:
     """Distinct specific words of a text, with the marks of paths and numbers inside them; ids of operators don't count."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-zA-Z0-9][a-zA-Z0-9_*/:.-]*"), F.lit(0))
     bare = F.transform(found, lambda w: F.btrim(w, F.lit(".,;()[]{}'\"")))
-    return F.array_except(F.filter(bare, lambda w: (w != "") & ~F.startswith(w, F.lit("op_"))), F.array(*map(F.lit, CASE_COMMON)))
+    return T.without(F.filter(bare, lambda w: (w != "") & ~F.startswith(w, F.lit("op_"))), CASE_COMMON)
 
 
 def is_generic(text: Column) -> Column:

@@ -108,8 +108,13 @@ def gate(name: str, failures: Column, warnings: Column, hard_codes=()) -> Column
 
 
 def reasons(*rules: tuple[Column, str]) -> Column:
-    """The codes of the rules that hold, in order."""
-    return F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in rules)), lambda x: x.isNotNull())
+    """The codes of the rules that hold, in order.
+
+    Nulls are taken out by array_except where codes differ: with a lambda, all conditions would be interpreted, and what they share made once for each of them."""
+    found = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in rules))
+    if len({code for _, code in rules}) == len(rules):
+        return F.array_except(found, F.array(F.lit(None).cast("string")))
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def operator_summary(reports: DataFrame, by: str = "env_id") -> DataFrame:

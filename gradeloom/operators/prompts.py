@@ -56,7 +56,7 @@ PLACEHOLDER = "<<insert solution here>>"
 
 def long_words(text: Column, common: list[str]) -> Column:
     """Distinct words of three letters and more that aren't common."""
-    return F.array_except(F.regexp_extract_all(F.lower(text), F.lit("[a-zA-Z][a-zA-Z0-9_-]{2,}"), F.lit(0)), F.array(*map(F.lit, common)))
+    return T.without(F.regexp_extract_all(F.lower(text), F.lit("[a-zA-Z][a-zA-Z0-9_-]{2,}"), F.lit(0)), common)
 
 
 def says_nothing(text: Column) -> Column:

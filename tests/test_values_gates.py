@@ -194,3 +194,15 @@ def test_comparing_goes_as_deep_as_values_do():
     assert values.match("array([1., 2.])", "[1.0 2.0]\n") and values.match("[1, 2]", [1, 2]) and not values.match(1, {"a": 1})
     assert values.contains({"a": 1, "c": 2}, {"a": 1}) and not values.contains([1, 2], [1]) and not values.match({"a": 1, "c": 2}, {"a": 1})
     assert values.path_matches("/a/../b", "/b") and not values.path_matches("/b", "b")
+
+
+def test_reasons_and_common_words_are_not_made_again_for_each_text(spark):
+    from gradeloom.operators import evidence
+
+    df = spark.createDataFrame([(1, "Check the blue bolt, blue"), (2, None)], "n int, t string")
+    out = df.select("n", gates.reasons((F.col("n") > 0, "A"), (F.col("t").isNull(), "B"), (F.lit(None).cast("boolean"), "C")).alias("r"), evidence.case_words(F.col("t")).alias("w"))
+    assert [tuple(r) for r in out.orderBy("n").collect()] == [(1, ["A"], ["blue", "bolt"]), (2, ["A", "B"], None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except(array(the" not in plan and "array_except([a,an" not in plan and "lambda" not in plan.split("AS r#")[0] and "INSET" in plan
+    code.has_result("result = 1"), code.has_result("result = 1")
+    assert code.has_result.cache_info().hits > 0
