@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -27,15 +27,15 @@ def finder(words: Sequence[str]) -> Callable[[str], list[int]]:
 
 
 def found_words(text: Column, words: Sequence[str]) -> Column:
-    """Places in ``words`` (distinct, none empty) of those that a text holds; null texts hold none."""
+    """Places in ``words`` (distinct, none empty) of those that a text holds; null texts hold none. Texts are taken from their Arrow batch one at a time, so a batch is never held twice."""
     words = list(words)
     held: list = []
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def found(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def found(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(finder(words))
-        return texts.map(lambda t: [] if t is None else held[0](t))
+        return pa.array([held[0](t.as_py()) if t.is_valid else [] for t in texts], pa.list_(pa.int32()))
 
     return found(text)
 

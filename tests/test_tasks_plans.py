@@ -202,6 +202,16 @@ def test_words_are_found_in_one_pass(monkeypatch):
     assert [words.finder(known)(t) for t in texts] == want
 
 
+def test_words_are_found_in_arrow_batches(spark):
+    from pyspark.util import PythonEvalType
+
+    from gradeloom.functions import words
+
+    out = spark.createDataFrame([(1, "a barcode"), (2, None), (3, "")], "n int, t string").select("n", words.found_words(F.col("t"), ["bar", "a", "code"]).alias("found"))
+    assert [r.found for r in out.orderBy("n").collect()] == [[0, 1, 2], [], []]
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_clinical_types_by_priority(spark):
     rows = ["next best step after sudden fever, best treatment", "the best treatment", "nothing", "overdose: which antidote", None]
     got = [(r.primary_task_type, r.secondary_task_types) for r in taxonomy.with_clinical_types(spark.createDataFrame([(t,) for t in rows], "t string"), F.col("t")).collect()]
