@@ -18,7 +18,7 @@ from gradeloom.functions import text as T
 from gradeloom.functions.code import assigns_result
 from gradeloom.operators import constraints, evidence, verifiers
 from gradeloom.operators.adapters import ModelClient
-from gradeloom.sources.shared import written
+from gradeloom.sources.shared import growing, written
 
 TEXTS = ["case_id", "description", "case_kind", "targets_operator_id", "axis", "semantic_intent", "target_constraint", "expected_failure_mode", "expected_output_signature", "setup_code", "call_code", "assertion_code"]
 LISTS = ["covered_requirements", "covered_requirement_ids"]
@@ -31,7 +31,7 @@ def rule_repaired(cases: DataFrame, operators: DataFrame) -> DataFrame:
     a generic constraint or intent the goal of the operator."""
     df = verifiers.repaired_cases(cases, operators)
     goal = operators.select("env_id", F.col("operator_id").alias("targets_operator_id"), F.col("transformation_goal").alias("__goal")).dropDuplicates(["env_id", "targets_operator_id"])
-    df = df.join(goal, ["env_id", "targets_operator_id"], "left")
+    df = df.join(growing(goal), ["env_id", "targets_operator_id"], "left")
     kind = F.when(F.contains("case_id", F.lit("seed_case_main")), "scaled_seed_case_main").otherwise("coverage_extension")
     is_object = F.coalesce(F.json_object_keys("expected_output_signature").isNotNull(), F.lit(False))
     call = T.strip(F.coalesce("call_code", F.lit("")))
@@ -52,7 +52,7 @@ def failures(checked: DataFrame, requirements: DataFrame, envs: DataFrame) -> Da
     bad = checked.where("not valid").select("env_id", F.coalesce("case_id", F.lit("")).alias("case_id"), "failure_reasons")
     bound = checked.where("valid").select("env_id", F.explode("covered_requirement_ids").alias("requirement_id"), "matched_requirement_ids")
     bound = bound.select("env_id", "requirement_id", F.array_contains("matched_requirement_ids", F.col("requirement_id")).alias("passed"))
-    own = requirements.join(envs.select("env_id"), "env_id", "left_semi")
+    own = requirements.join(growing(envs.select("env_id")), "env_id", "left_semi")
     gaps = evidence.requirement_gaps(own, bound).select("env_id", F.concat(F.lit("missing_coverage:"), "requirement_id").alias("case_id"), F.array("code").alias("failure_reasons"))
     return bad.unionByName(gaps).groupBy("env_id").agg(F.array_sort(F.collect_list(F.struct("case_id", "failure_reasons"))).alias("failures"))
 
@@ -69,7 +69,7 @@ def asked_again(cases: DataFrame, failing: DataFrame, client: ModelClient, attem
     """The cases of ``failing`` environments as the model repairs them; an answer without cases leaves them as they are."""
     one = F.struct(*(F.col(c) for c in COLUMNS)).cast(f"struct<{', '.join(x.replace(' ', ':', 1) for x in CASE.split(', '))}>")
     per = cases.groupBy("env_id").agg(F.sort_array(F.collect_list(one)).alias("cases"))
-    rows = failing.join(per, "env_id", "left").select("env_id", F.to_json("cases").alias("cases"), F.to_json("failures").alias("failures"))
+    rows = failing.join(growing(per), "env_id", "left").select("env_id", F.to_json("cases").alias("cases"), F.to_json("failures").alias("failures"))
 
     def ask(batches):
         for pdf in batches:
@@ -93,15 +93,16 @@ def validated(cases: DataFrame, operators: DataFrame, requirements: DataFrame, v
     lists = {c: F.col(c) if c in cases.columns else evidence.no_texts() for c in LISTS}
     frontier, done = cases.withColumns(lists).select("env_id", F.col("position").cast("long").alias("position"), *TEXTS, *LISTS), None
     for attempt in range(rounds + 1):
-        checked = constraints.validate_cases(rule_repaired(frontier, operators), ops, "env_id", requirements, visible)
+        ruled = keep(rule_repaired(frontier, operators), f"cases-{attempt}-ruled")  # validation reads them several times
+        checked = constraints.validate_cases(ruled, ops, "env_id", requirements, visible)
         checked = keep(checked.withColumn("repairs", F.lit(attempt)), f"cases-{attempt}")
         if attempt == rounds:
             return checked if done is None else done.unionByName(checked)
         failing = keep(failures(checked, requirements, envs), f"cases-{attempt}-failures")
-        left = checked.join(failing, "env_id", "left_anti")
+        left = checked.join(growing(failing), "env_id", "left_anti")
         done = left if done is None else done.unionByName(left)
         if failing.isEmpty():
             return done
         envs = failing.select("env_id")
-        frontier = keep(asked_again(checked.join(envs, "env_id", "left_semi"), failing, client, attempt + 1), f"cases-{attempt}-repaired")
+        frontier = keep(asked_again(checked.join(growing(envs), "env_id", "left_semi"), failing, client, attempt + 1), f"cases-{attempt}-repaired")
     return done

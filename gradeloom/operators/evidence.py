@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import text as T
 from gradeloom.functions.values import flat_text
 from gradeloom.operators.rubrics import contains_either, specific, tokens
+from gradeloom.sources.shared import growing
 
 # Words that say nothing specific about a case.
 CASE_COMMON = [
@@ -142,7 +143,7 @@ def requirement_evidence(cases: DataFrame, requirements: DataFrame, env: str = "
     )
     same = (F.col("__op") == "") | (F.size("__targets") == 0) | F.array_contains("__targets", F.col("__op"))
     axis = F.col("__axis").isin("seed", "global") | (F.size("__axes") == 0) | F.array_contains("__axes", F.col("__axis"))
-    pairs = c.join(r, env).where(same & axis).withColumns({"held": contains_either(F.col("__text"), F.array_join("__said", " ")), "shared": F.size(F.array_intersect("__asked", "__own"))})
+    pairs = c.join(growing(r), env).where(same & axis).withColumns({"held": contains_either(F.col("__text"), F.array_join("__said", " ")), "shared": F.size(F.array_intersect("__asked", "__own"))})
     enough = (F.col("__text") != "") & (F.size("__said") > 0) & (F.size("__asked") > 0) & (F.col("shared") >= F.least(F.lit(2), F.size("__asked")))
     score = F.when(F.col("held"), 1.0).otherwise(F.col("shared") / F.size("__asked"))
     return pairs.where(F.col("held") | enough).select(env, "case_id", "requirement_id", "position", "held", "shared", score.alias("score"))
@@ -152,7 +153,7 @@ def with_covered_ids(cases: DataFrame, requirements: DataFrame, env: str = "env_
     """Cases whose ``covered_requirement_ids`` are the ones that they name, then those that their texts cover."""
     told = requirement_evidence(cases, requirements, env).groupBy(env, "case_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("position", "requirement_id"))), lambda x: x["requirement_id"]).alias("__told"))
     named = T.text_list("covered_requirement_ids") if "covered_requirement_ids" in cases.columns else no_texts()
-    joined = cases.join(told, [env, "case_id"], "left")
+    joined = cases.join(growing(told), [env, "case_id"], "left")
     return joined.withColumn("covered_requirement_ids", F.array_distinct(F.concat(named, F.coalesce("__told", no_texts())))).drop("__told")
 
 
@@ -178,5 +179,5 @@ def requirement_gaps(requirements: DataFrame, bound: DataFrame, env: str = "env_
     if "required_coverage" in requirements.columns:
         wanted = wanted.where(F.coalesce("required_coverage", F.lit(True)))
     seen = bound.groupBy(env, "requirement_id").agg(F.some("passed").alias("__covered"))
-    joined = wanted.join(seen, [env, "requirement_id"], "left").where(~F.coalesce("__covered", F.lit(False)))
+    joined = wanted.join(growing(seen), [env, "requirement_id"], "left").where(~F.coalesce("__covered", F.lit(False)))
     return joined.withColumn("code", F.when(F.col("__covered").isNull(), "MISSING_REQUIREMENT_COVERAGE").otherwise("REQUIREMENT_ID_HAS_WEAK_CASE_ONLY")).drop("__covered")

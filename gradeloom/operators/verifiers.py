@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import text as T
 from gradeloom.operators.gates import reasons
 from gradeloom.operators.planning import tool_priority
+from gradeloom.sources.shared import growing
 
 TEST = "struct<test_id:string,name:string,code:string,assertion_code:string,source:string,test_tier:string,is_placeholder:boolean,counts_as_hidden_test:boolean,eligible_for_clean_export:boolean>"
 
@@ -162,7 +163,7 @@ def repaired_cases(cases: DataFrame, operators: DataFrame) -> DataFrame:
     axis from the target, a call whose value isn't kept assigned to ``result``."""
     first = operators.groupBy("env_id", "axis").agg(F.min_by("operator_id", "position").alias("__op"))
     axis_of = operators.select("env_id", F.col("operator_id").alias("targets_operator_id"), F.col("axis").alias("__axis")).dropDuplicates(["env_id", "targets_operator_id"])
-    df = cases.join(first, ["env_id", "axis"], "left").join(axis_of, ["env_id", "targets_operator_id"], "left")
+    df = cases.join(growing(first), ["env_id", "axis"], "left").join(growing(axis_of), ["env_id", "targets_operator_id"], "left")
     call = T.strip(F.coalesce("call_code", F.lit("")))
     bare = call.rlike(r"^[A-Za-z_][\w.]*\(") & ~call.contains("\n")
     return df.withColumns(

@@ -25,6 +25,11 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that has rows for each environment: it is shuffled and merged, never collected to be broadcast, however small its compressed shuffle is."""
+    return df.hint("merge")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back."""
     path = f"{shared_folder(df.sparkSession)}/gradeloom-tables/{name}-{uuid.uuid4().hex}"

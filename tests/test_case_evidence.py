@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators import adapters, case_repair, constraints, evidence, patches, prompts
 from gradeloom.plans.stages import Run, gold_client
+from gradeloom.sources.shared import written
 
 from test_stages_verifiers import raw
 
@@ -68,6 +69,22 @@ def test_rules_mend_what_they_can(spark):
     assert b.call_code == "x = 1\nresult = None" and b.expected_output_signature == "{}"
 
 
+def test_rounds_broadcast_nothing_that_grows_with_environments(spark):
+    """Small as they are here, all tables of a round are merged on the environment: none is collected by the driver."""
+    table = lambda rows, columns: written(spark.createDataFrame(rows, columns), "t")
+    ops = evidence.operator_texts(table([("e", "o1", "C", 1, GOAL, [GOAL], None)], OPS))
+    asked = table([("e", "r1", 1, "o1", "C", GOAL)], "env_id string, requirement_id string, position int, operator_id string, axis string, text string")
+    shown = table([("e", [GOAL])], "env_id string, visible_requirements array<string>")
+    cases = table([case()], CASES).withColumn("covered_requirement_ids", evidence.no_texts())
+    ruled = case_repair.rule_repaired(cases, ops)
+    seen = constraints.validate_cases(ruled, ops, "env_id", asked, shown)
+    failing = case_repair.failures(seen, asked, asked.select("env_id").distinct())
+    again = case_repair.asked_again(seen, failing, adapters.MockClient({}), 1)
+    for df in (ruled, seen, failing, again):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.case_id, r.valid) for r in seen.collect()] == [("c", True)]
+
+
 def test_staged_runs_repair_in_rounds(spark, tmp_path):
     """A model that spoils a case first and mends it at its second try; one environment is never mended."""
     client, asked = gold_client(), []
