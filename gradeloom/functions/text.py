@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +47,11 @@ def without(words: Column, common: list[str]) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(common)))
 
 
+def contains_any(text: Column, phrases: list[str]) -> Column:
+    """A text holds one of the phrases, to the letter. It is made once, and each phrase is a plain search, where a pattern of all tries each at every character."""
+    return F.exists(F.array(text), lambda t: reduce(or_, (t.contains(p) for p in phrases)))
+
+
 def slug(c: Column | str, length: int = 48) -> Column:
     """Lower-case letters and digits with single underscores between; ``item`` if nothing is left."""
     words = F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}]+", "_")

@@ -72,7 +72,7 @@ def case_words(text: Column) -> Column:
 def is_generic(text: Column) -> Column:
     """Blank, one of the phrases that say nothing, or fewer than two specific words."""
     t = norm(F.coalesce(text, F.lit("")))
-    return (t == "") | t.rlike("|".join(f"\\Q{p}\\E" for p in GENERIC_PHRASES)) | (F.size(case_words(t)) < 2)
+    return (t == "") | T.contains_any(t, GENERIC_PHRASES) | (F.size(case_words(t)) < 2)
 
 
 def json_texts(value: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gradeloom.functions import text as T
 from gradeloom.functions.values import flat_text
 from gradeloom.operators.evidence import FOOT, GENERIC_PHRASES, HEAD, case_text, json_texts, list_texts, no_texts
-from gradeloom.operators.rubrics import linked_cases
+from gradeloom.operators.rubrics import linked_cases, linked_rows
+from gradeloom.sources.shared import growing
 
 # Entries of the states that a prompt lists, in this order.
 VISIBLE_ENTRIES = [
@@ -49,6 +50,8 @@ OPENINGS = [
     (r"(?i)^scaled executable cases? must (verify|check|include|expose)\s+", "Handle "),
     (r"(?i)^the solution must\s+", "The solution must "),
 ]
+#: How a text begins that one of OPENINGS fits.
+OPENED = r"(?i)^(verify|increase|scaled|the)\s"
 PROMPT_PHRASES = [*GENERIC_PHRASES, "increase computation and contract complexity through parameter rules"]
 LONGEST = 320
 PLACEHOLDER = "<<insert solution here>>"
@@ -60,16 +63,20 @@ def long_words(text: Column, common: list[str]) -> Column:
 
 
 def says_nothing(text: Column) -> Column:
-    t = F.lower(T.strip(text))
-    return (t == "") | t.rlike("|".join(f"\\Q{p}\\E" for p in PROMPT_PHRASES))
+    return ~text.rlike(r"\S") | T.contains_any(F.lower(text), PROMPT_PHRASES)
 
 
-def told(text: Column) -> Column:
-    """A requirement as a prompt puts it: single blanks, its opening made plain, at most LONGEST characters; null is empty."""
-    out = T.comparable(F.coalesce(text, F.lit("")))
-    for pattern, put in OPENINGS:
-        out = F.regexp_replace(out, pattern, put)
-    return F.when(F.length(out) > LONGEST, F.concat(F.rtrim(F.substring(out, 1, LONGEST - 3)), F.lit("..."))).otherwise(out)
+def told_texts(texts: Column) -> Column:
+    """Requirements as a prompt puts them: single blanks, their openings made plain, at most LONGEST characters; null is empty. Each step's text is made once, and only what begins like an opening is held against them."""
+    plain = F.transform(texts, lambda x: T.comparable(F.coalesce(x, F.lit(""))))
+
+    def opened(x: Column) -> Column:
+        out = x
+        for pattern, put in OPENINGS:
+            out = F.regexp_replace(out, pattern, put)
+        return F.when(x.rlike(OPENED), out).otherwise(x)
+
+    return F.transform(F.transform(plain, opened), lambda x: F.when(F.length(x) > LONGEST, F.concat(F.rtrim(F.substring(x, 1, LONGEST - 3)), F.lit("..."))).otherwise(x))
 
 
 def is_specific(text: Column) -> Column:
@@ -77,7 +84,9 @@ def is_specific(text: Column) -> Column:
 
 
 def _entries(state: str, keys: list[str], read) -> Column:
-    return F.flatten(F.array(*(F.coalesce(read(F.try_element_at(F.col(state), F.lit(k))), no_texts()) for k in keys)))
+    """Texts of a state's entries, in order. Only those that are there are read."""
+    there = F.filter(F.transform(F.array(*map(F.lit, keys)), lambda k: F.try_element_at(F.col(state), k)), lambda v: v.isNotNull())
+    return F.flatten(F.transform(there, lambda v: F.coalesce(read(v), no_texts())))
 
 
 def state_requirements() -> Column:
@@ -90,14 +99,13 @@ def operator_requirements(operators: DataFrame, cases: DataFrame, env: str = "en
     """``asked`` of each environment: its operators in order, of each the linked cases in order (two of constraint, intent and description, then what they cover), then its goal and own requirements.
 
     ``operators``: env, ``operator_id``, ``axis``, ``position``, ``transformation_goal``, ``output_requirements``; ``cases``: env, ``case_id``, ``position``, ``targets_operator_id``, ``axis`` and texts."""
-    links = linked_cases(operators.select(env, "operator_id", "axis"), cases.withColumn("targets", F.col("targets_operator_id")), env).select(env, "operator_id", "case_id")
-    main = F.slice(F.filter(F.array(*(told(F.col(c)) for c in ("target_constraint", "semantic_intent", "description"))), lambda r: is_specific(r)), 1, 2)
-    own = F.concat(main, F.transform(T.text_list("covered_requirements"), lambda r: told(r)))
-    per = links.join(cases.select(env, "case_id", F.col("position").alias("p"), own.alias("texts")), [env, "case_id"]).groupBy(env, "operator_id")
-    per = per.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "case_id", "texts"))), lambda x: x["texts"])).alias("of_cases"))
-    goal = F.concat(F.array(told(F.col("transformation_goal"))), F.transform(T.text_list("output_requirements"), lambda r: told(r)))
-    every = operators.select(env, "operator_id", "position", goal.alias("goal")).join(per, [env, "operator_id"], "left")
-    asked = F.filter(F.concat(F.coalesce("of_cases", no_texts()), "goal"), lambda r: is_specific(r))
+    main = F.slice(F.filter(told_texts(F.array("target_constraint", "semantic_intent", "description")), is_specific), 1, 2)
+    own = F.concat(main, F.filter(told_texts(T.text_list("covered_requirements")), is_specific))
+    linked = linked_rows(operators, cases.withColumn("targets", F.col("targets_operator_id")), F.struct(F.col("position").alias("p"), "case_id", own.alias("texts")), env)
+    per = linked.select(env, "operator_id", F.flatten(F.transform(F.array_sort("rows"), lambda x: x["texts"])).alias("of_cases"))
+    goal = F.filter(told_texts(F.concat(F.array("transformation_goal"), T.text_list("output_requirements"))), is_specific)
+    every = operators.select(env, "operator_id", "position", goal.alias("goal")).join(growing(per), [env, "operator_id"], "left")
+    asked = F.concat(F.coalesce("of_cases", no_texts()), "goal")
     ordered = F.array_sort(F.collect_list(F.struct("position", "operator_id", asked.alias("asked"))))
     return every.groupBy(env).agg(F.flatten(F.transform(ordered, lambda x: x["asked"])).alias("asked"))
 
@@ -106,7 +114,7 @@ def requirements_of(envs: DataFrame, operators: DataFrame, cases: DataFrame, env
     """Environments (``visible_state``, ``task_state``) with ``requirements``: what their states ask for, then their operators; the first of those that differ in case or blanks alone.
 
     Where operators ask for something, generic requirements of the states go."""
-    joined = envs.join(operator_requirements(operators, cases, env), env, "left")
+    joined = envs.join(growing(operator_requirements(operators, cases, env)), env, "left")
     asked = F.coalesce("asked", no_texts())
     stated = state_requirements()
     every = F.concat(F.when(F.size(asked) > 0, F.filter(stated, lambda r: ~says_nothing(r))).otherwise(stated), asked)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import adapters, case_repair, constraints, evidence, prompts
 from gradeloom.plans.catalogue import query, r6
 from gradeloom.sources.session import table
+from gradeloom.sources.shared import written
 
 LINE_SQL = "line AS (SELECT o, k, p_name AS name, p_type AS kind FROM (SELECT l_orderkey AS o, l_linenumber AS k, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = part)"
 #: The vocabulary of part names has one word that is common to all lists: new.
@@ -117,7 +118,7 @@ SELECT o, requirements, md5('Task ID: ' || o || chr(10) || 'Mode: evaluation' ||
 )
 def rewritten_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as environments with the prompts that their states, three operators and their cases give."""
-    lines = _lines(spark, sf)
+    lines = written(_lines(spark, sf), "lines")
     first = lines.groupBy("o").agg(F.min_by("name", "k").alias("name"), F.min_by("kind", "k").alias("kind"))
     visible = F.create_map(F.lit("constraint_hints"), F.to_json(F.array("kind", F.concat(F.lit("Handle scaled input of "), "name"))))
     envs = first.select("o", "name", "kind", visible.alias("visible_state"), F.create_map(F.lit("extra_constraints"), F.to_json(F.array("name"))).alias("task_state"))

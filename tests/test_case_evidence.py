@@ -1,8 +1,9 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from gradeloom.operators import adapters, case_repair, constraints, evidence, patches, prompts
+from gradeloom.operators import adapters, case_repair, constraints, evidence, patches, prompts, rubrics
 from gradeloom.plans.stages import Run, gold_client
 from gradeloom.sources.shared import written
 
@@ -156,3 +157,31 @@ def test_tool_section_and_exposure(spark):
     none = spark.createDataFrame([], CASES)
     got = {(r.env_id, r.operator_id): r.exposed for r in prompts.exposures(ops, none, envs).collect()}
     assert got == {("e", "o1"): True, ("e", "o2"): False, ("f", "o1"): False, ("g", "o1"): False}
+
+
+def test_cases_take_their_rows_to_operators(spark):
+    """The rows of ``linked_cases`` joined to their cases again, also where ids repeat or are null, targets are lists and an operator has two axes."""
+    rng = random.Random(5)
+    pick = lambda *xs: rng.choice(xs)
+    cases = [(pick("e", "f", None), pick("c1", "c2", "c3", None), pick("o1", "o2,o1", " o2 ,o2", "", " ", None, "gone"), pick("C", "D", None), k) for k in range(60)]
+    ops = [(pick("e", "f", "g"), pick("o1", "o2", "o3"), pick("C", "D", None)) for _ in range(12)]
+    c = spark.createDataFrame(cases, "env_id string, case_id string, targets string, axis string, n int")
+    o = spark.createDataFrame(ops, "env_id string, operator_id string, axis string")
+    plain = rubrics.linked_cases(o, c).select("env_id", "operator_id", "case_id").join(c.select("env_id", "case_id", "n"), ["env_id", "case_id"])
+    want = {(r.env_id, r.operator_id): sorted(r.n) for r in plain.groupBy("env_id", "operator_id").agg(F.collect_list("n").alias("n")).collect()}
+    got = {(r.env_id, r.operator_id): sorted(r.rows) for r in rubrics.linked_rows(o, c, F.col("n")).collect()}
+    assert got == want and len(got) > 3
+
+
+def test_prompts_and_exposures_read_cases_once(spark):
+    table = lambda rows, columns: written(spark.createDataFrame(rows, columns), "t")
+    ops, cases = table([("e", "o1", "C", 1, GOAL, [GOAL], None)], OPS), table([case()], CASES)
+    envs = table([("e", {"constraint_hints": '["Keep the order of bases"]', "implicit_clues": None}, {"required_steps": '["Read all sequences"]'}, f"x {evidence.HEAD}\n- {GOAL}\n", "seed")], "env_id string, visible_state map<string,string>, task_state map<string,string>, user_prompt string, seed_text string")
+    asked, shown = prompts.requirements_of(envs, ops, cases), prompts.exposures(ops, cases, envs)
+    for df in (asked,):
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 4  # environments, operators twice, cases
+    assert asked.first().requirements == ["Keep the order of bases", "Read all sequences", GOAL] and shown.first().exposed
+    texts = [" Verify  that  verify x", "The  solution must go", "therefore", "Handle Scaled Input now", " \n", "", "increase data complexity by adding y", None, "z" * 400]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.get(prompts.told_texts(F.array("t")), 0).alias("t")).collect()]
+    assert got == ["x", "The solution must go", "therefore", "Handle Scaled Input now", "", "", "Add y", "", "z" * 317 + "..."]
+    assert [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(prompts.says_nothing(F.col("t")).alias("s")).collect()] == [False, False, False, True, True, True, False, None, False]
