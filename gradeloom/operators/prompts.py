@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import text as T
 from gradeloom.functions.values import flat_text
 from gradeloom.operators.evidence import FOOT, GENERIC_PHRASES, HEAD, case_text, json_texts, list_texts, no_texts
-from gradeloom.operators.rubrics import linked_cases, linked_rows
+from gradeloom.operators.rubrics import linked_rows
 from gradeloom.sources.shared import growing
 
 # Entries of the states that a prompt lists, in this order.
@@ -148,20 +148,25 @@ def asked_in(prompt: Column) -> Column:
     return F.regexp_extract(prompt, rf"(?s){HEAD}\s*(.*?)(?:\n\n[A-Z][A-Za-z ]+:\s*|\z)", 1)
 
 
+def shown_words(envs: DataFrame, env: str) -> DataFrame:
+    """Specific words of each environment's seed (``__known``) and of what its prompt asks for (``__shown``), made once an environment."""
+    rows = envs.select(env, F.coalesce("user_prompt", F.lit("")).alias("__prompt"), long_words(F.coalesce("seed_text", F.lit("")), EXPOSURE_COMMON).alias("__known"))
+    rows = rows.withColumn("__asked", asked_in(F.col("__prompt")))
+    whole = F.array_except(long_words(F.col("__prompt"), EXPOSURE_COMMON), "__known")
+    return rows.select(env, "__known", F.when(F.col("__asked") == "", whole).otherwise(long_words(F.col("__asked"), EXPOSURE_COMMON)).alias("__shown"))
+
+
 def exposures(operators: DataFrame, cases: DataFrame, envs: DataFrame, env: str = "env_id") -> DataFrame:
     """``operators`` with ``exposed``: the prompt shares two specific words (or the only one) with what the operator, its patch and its linked cases say and the seed doesn't.
 
     ``envs``: env, ``user_prompt``, ``seed_text``. A prompt that lists no requirements is read as a whole, less the seed's words."""
     texts = F.concat_ws(" ", "case_id", "case_kind", "targets_operator_id", "axis", case_text(), "setup_code", "call_code", "assertion_code", "expected_output_signature")
-    links = linked_cases(operators.select(env, "operator_id", "axis"), cases.withColumn("targets", F.col("targets_operator_id")), env).select(env, "operator_id", "case_id")
-    said = links.join(cases.select(env, "case_id", texts.alias("__said")), [env, "case_id"]).groupBy(env, "operator_id").agg(F.array_join(F.array_sort(F.collect_list("__said")), " ").alias("__said"))
+    said = linked_rows(operators, cases.withColumn("targets", F.col("targets_operator_id")), texts, env).select(env, "operator_id", F.array_join(F.array_sort("rows"), " ").alias("__said"))
     given = F.array_join(F.coalesce("output_requirements", no_texts()), " ") if "output_requirements" in operators.columns else F.lit("")
     patch = flat_text(F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("patch", lambda p: p["value"]), ","), F.lit("")), F.lit("]")))
-    rows = operators.join(said, [env, "operator_id"], "left").join(envs.select(env, F.col("user_prompt").alias("__prompt"), F.col("seed_text").alias("__seed")), env, "left")
-    rows = rows.withColumns({"__asked": asked_in(F.coalesce("__prompt", F.lit(""))), "__known": long_words(F.coalesce("__seed", F.lit("")), EXPOSURE_COMMON), "__own": long_words(F.concat_ws(" ", "transformation_goal", given, patch, "__said"), EXPOSURE_COMMON)})
-    whole = F.array_except(long_words(F.coalesce("__prompt", F.lit("")), EXPOSURE_COMMON), "__known")
-    shown = F.when(F.col("__asked") == "", whole).otherwise(long_words(F.col("__asked"), EXPOSURE_COMMON))
+    rows = operators.join(growing(said), [env, "operator_id"], "left").join(growing(shown_words(envs, env)), env, "left")
+    rows = rows.withColumns({c: F.coalesce(c, no_texts()) for c in ("__known", "__shown")} | {"__own": long_words(F.concat_ws(" ", "transformation_goal", given, patch, "__said"), EXPOSURE_COMMON)})
     new = F.array_except("__own", "__known")
-    rows = rows.withColumns({"__shown": shown, "__own": F.when(F.size(new) > 0, new).otherwise(F.col("__own"))})
+    rows = rows.withColumns({"__own": F.when(F.size(new) > 0, new).otherwise(F.col("__own"))})
     enough = (F.size("__own") > 0) & (F.size(F.array_intersect("__shown", "__own")) >= F.least(F.lit(2), F.size("__own")))
-    return rows.withColumn("exposed", enough).drop("__said", "__prompt", "__seed", "__asked", "__known", "__own", "__shown")
+    return rows.withColumn("exposed", enough).drop("__said", "__known", "__own", "__shown")

@@ -178,7 +178,7 @@ def test_prompts_and_exposures_read_cases_once(spark):
     ops, cases = table([("e", "o1", "C", 1, GOAL, [GOAL], None)], OPS), table([case()], CASES)
     envs = table([("e", {"constraint_hints": '["Keep the order of bases"]', "implicit_clues": None}, {"required_steps": '["Read all sequences"]'}, f"x {evidence.HEAD}\n- {GOAL}\n", "seed")], "env_id string, visible_state map<string,string>, task_state map<string,string>, user_prompt string, seed_text string")
     asked, shown = prompts.requirements_of(envs, ops, cases), prompts.exposures(ops, cases, envs)
-    for df in (asked,):
+    for df in (asked, shown):
         assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 4  # environments, operators twice, cases
     assert asked.first().requirements == ["Keep the order of bases", "Read all sequences", GOAL] and shown.first().exposed
     texts = [" Verify  that  verify x", "The  solution must go", "therefore", "Handle Scaled Input now", " \n", "", "increase data complexity by adding y", None, "z" * 400]
