@@ -327,10 +327,10 @@ SELECT DISTINCT item_id, doc_id FROM i JOIN d ON i.p <> '' AND d.p <> '' AND (co
 )
 def requirement_match(spark: SparkSession, sf: str) -> DataFrame:
     """Whole benchmark items as requirements, whole documents as covered texts: pairs where one holds the other, meeting on a rare word."""
-    items = written(table(spark, sf, "benchmark").select("item_id", rubrics.plain(F.col("text")).alias("p")), "plain-items")
-    docs = written(table(spark, sf, "documents").select("doc_id", rubrics.plain(F.col("text")).alias("p")), "plain-docs")
-    a = rubrics.holding_pairs(items.toDF("n", "a"), docs.toDF("h", "b")).toDF("item_id", "doc_id")
-    b = rubrics.holding_pairs(docs.toDF("n", "a"), items.toDF("h", "b")).toDF("doc_id", "item_id")
+    items = rubrics.plain_texts(table(spark, sf, "benchmark"), "item_id", "text")
+    docs = rubrics.plain_texts(table(spark, sf, "documents"), "doc_id", "text")
+    a = rubrics.holding_pairs(items, docs).toDF("item_id", "doc_id")
+    b = rubrics.holding_pairs(docs, items).toDF("doc_id", "item_id")
     return a.unionByName(b).distinct()
 
 

@@ -159,6 +159,46 @@ def test_requirements_match_whole_texts_anywhere(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want and {(50, 7), (51, None), (52, 7), (56, 203)} <= want
 
 
+def test_requirements_match_alike_where_nothing_can_be_broadcast(spark, tmp_path, monkeypatch):
+    import random
+
+    from gradeloom.operators import rubrics
+    from gradeloom.plans import catalogue
+
+    rng = random.Random(5)
+    draw = lambda n: " ".join(rng.choice(["the", "cat", "sat", "on", "mats", "é", "a!b", "x  y"]) for _ in range(n))
+    docs = [(i, draw(rng.randint(0, 25))) for i in range(60)] + [(3, "the dog barked"), (None, "cat " * 50), (None, None)]
+    items = [(i, draw(rng.randint(0, 6))) for i in range(30)] + [(3, "he dog barked a"), (None, "at ca"), (40, "the cat sat on  mats" * 9)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(i, d) for i, a in items for d, b in docs if (x := plain_text(a)) and (y := plain_text(b)) and (x in y or y in x)}
+    for rows in (rubrics.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(rubrics, "BROADCAST_ROWS", rows)
+        got = [tuple(r) for r in catalogue.requirement_match(spark, str(tmp_path)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def stages_since(spark, first):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return [x for x in (found.apply(i) for i in range(found.size())) if x.stageId() > first]
+
+
+def test_texts_of_requirements_are_read_a_few_times_by_all_tasks(spark, tmp_path):
+    from gradeloom.plans import catalogue
+
+    n = 4000
+    spark.range(n).selectExpr("id AS doc_id", "concat('seen word', id, ' before noon of day ', id % 7, ' and after it came ', repeat('more to say ', 9)) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(20).selectExpr("id AS item_id", "concat('n word', id, ' before noon of day') AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = max((x.stageId() for x in stages_since(spark, -1)), default=-1)
+    got = {tuple(r) for r in catalogue.requirement_match(spark, str(tmp_path)).collect()}
+    assert got == {(k, k) for k in range(20)}
+    stages = stages_since(spark, before)
+    assert sum(x.inputRecords() for x in stages) < 12 * n  # 5 times whole texts, else their lengths alone
+    assert max(x.numTasks() for x in stages if x.outputRecords() >= n) == 4  # one file, whose texts all tasks make plain
+
+
 def test_names_of_a_brand_overlap_whatever_their_type_and_size(spark, tmp_path):
     import random
 
