@@ -130,45 +130,61 @@ def observable_text() -> Column:
     return F.lower(F.concat_ws(" ", "setup_code", "call_code", flat_text(signature), "expected_failure_mode"))
 
 
+def fits(operator: Column, axis: Column, targets: Column, axes: Column) -> Column:
+    """A requirement is for a case by its operator and axis: the case's, none, or the seed's or global."""
+    same = (operator == "") | (F.size(targets) == 0) | F.array_contains(targets, operator)
+    return same & (axis.isin("seed", "global") | (F.size(axes) == 0) | F.array_contains(axes, axis))
+
+
+def covers(text: Column, words: Column, said: Column, own: Column) -> Column:
+    """A requirement (``text``: its tokens, ``words``: the specific ones) and what a case says (``said``, ``own``) hold each other, word for word, or share two specific words, or the only one."""
+    return (text != "") & (said != "") & (contains_either(text, said) | ((F.size(words) > 0) & (F.size(F.array_intersect(words, own)) >= F.least(F.lit(2), F.size(words)))))
+
+
 def requirement_evidence(cases: DataFrame, requirements: DataFrame, env: str = "env_id") -> DataFrame:
     """A row per case and requirement of its environment that its texts cover: ``held`` (one holds the other, word for word), ``shared`` specific words, and
     ``score``: 1 if held, else the share of the requirement's words.
 
     ``requirements``: env, ``requirement_id``, ``position``, ``operator_id``, ``axis``, ``text``. A requirement of another operator or axis than the case's doesn't count, unless
     it is the seed's or global. Without being held, two words must be shared, or the only one."""
-    c = cases.select(env, "case_id", parts("targets_operator_id").alias("__targets"), parts("axis").alias("__axes"), tokens(case_text()).alias("__said"), specific(case_text()).alias("__own"))
+    c = cases.select(env, "case_id", parts("targets_operator_id").alias("__targets"), parts("axis").alias("__axes"), F.array_join(tokens(case_text()), " ").alias("__said"), specific(case_text()).alias("__own"))
     r = requirements.where(F.coalesce("requirement_id", F.lit("")) != "").select(
         env, "requirement_id", "position", F.coalesce("operator_id", F.lit("")).alias("__op"), F.coalesce("axis", F.lit("")).alias("__axis"),
         F.array_join(tokens(F.coalesce("text", F.lit(""))), " ").alias("__text"), specific(F.coalesce("text", F.lit(""))).alias("__asked"),
     )
-    same = (F.col("__op") == "") | (F.size("__targets") == 0) | F.array_contains("__targets", F.col("__op"))
-    axis = F.col("__axis").isin("seed", "global") | (F.size("__axes") == 0) | F.array_contains("__axes", F.col("__axis"))
-    pairs = c.join(growing(r), env).where(same & axis).withColumns({"held": contains_either(F.col("__text"), F.array_join("__said", " ")), "shared": F.size(F.array_intersect("__asked", "__own"))})
-    enough = (F.col("__text") != "") & (F.size("__said") > 0) & (F.size("__asked") > 0) & (F.col("shared") >= F.least(F.lit(2), F.size("__asked")))
+    own = fits(F.col("__op"), F.col("__axis"), F.col("__targets"), F.col("__axes"))
+    pairs = c.join(growing(r), env).where(own & covers(F.col("__text"), F.col("__asked"), F.col("__said"), F.col("__own")))
+    pairs = pairs.withColumns({"held": contains_either(F.col("__text"), F.col("__said")), "shared": F.size(F.array_intersect("__asked", "__own"))})
     score = F.when(F.col("held"), 1.0).otherwise(F.col("shared") / F.size("__asked"))
-    return pairs.where(F.col("held") | enough).select(env, "case_id", "requirement_id", "position", "held", "shared", score.alias("score"))
+    return pairs.select(env, "case_id", "requirement_id", "position", "held", "shared", score.alias("score"))
 
 
-def with_covered_ids(cases: DataFrame, requirements: DataFrame, env: str = "env_id") -> DataFrame:
-    """Cases whose ``covered_requirement_ids`` are the ones that they name, then those that their texts cover."""
-    told = requirement_evidence(cases, requirements, env).groupBy(env, "case_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("position", "requirement_id"))), lambda x: x["requirement_id"]).alias("__told"))
-    named = T.text_list("covered_requirement_ids") if "covered_requirement_ids" in cases.columns else no_texts()
-    joined = cases.join(growing(told), [env, "case_id"], "left")
-    return joined.withColumn("covered_requirement_ids", F.array_distinct(F.concat(named, F.coalesce("__told", no_texts())))).drop("__told")
+def asked_lists(requirements: DataFrame, env: str = "env_id") -> DataFrame:
+    """Environments with their requirements as a list ``__reqs`` by position, whose words are made once an environment: cases meet it in their row."""
+    get = lambda c: F.coalesce(F.col(c), F.lit(""))
+    one = F.struct("position", "requirement_id", get("operator_id").alias("operator"), get("axis").alias("axis"), F.array_join(tokens(get("text")), " ").alias("text"), specific(get("text")).alias("words"))
+    return requirements.groupBy(env).agg(F.array_sort(F.collect_list(one)).alias("__reqs"))
+
+
+def told_ids(reqs: Column, targets: Column, axes: Column, said: Column, own: Column) -> Column:
+    """Ids of the requirements of ``asked_lists`` that a case's texts cover (see ``requirement_evidence``), by position."""
+    found = F.filter(reqs, lambda r: (F.coalesce(r["requirement_id"], F.lit("")) != "") & fits(r["operator"], r["axis"], targets, axes) & covers(r["text"], r["words"], said, own))
+    return F.coalesce(F.transform(found, lambda r: r["requirement_id"]), no_texts())
 
 
 def text_match(requirement: Column, said: Column) -> Column:
     """A requirement and a case's texts hold each other or share enough specific words."""
-    a, b = F.array_join(tokens(requirement), " "), F.array_join(tokens(said), " ")
-    asked = specific(requirement)
-    shared = F.size(F.array_intersect(asked, specific(said)))
-    return (a != "") & (b != "") & (contains_either(a, b) | ((F.size(asked) > 0) & (shared >= F.least(F.lit(2), F.size(asked)))))
+    return covers(F.array_join(tokens(requirement), " "), specific(requirement), F.array_join(tokens(said), " "), specific(said))
+
+
+def shows(words: Column, shown: Column) -> Column:
+    """What is shown has a specific word of the requirement; any word will do for one without."""
+    return F.when(F.size(words) == 0, F.size(shown) > 0).otherwise(F.arrays_overlap(words, shown))
 
 
 def observable_match(requirement: Column, seen: Column) -> Column:
     """What a case does and expects has a specific word of the requirement; any word will do for one without."""
-    asked, shown = specific(requirement), specific(seen)
-    return F.when(F.size(asked) == 0, F.size(shown) > 0).otherwise(F.arrays_overlap(asked, shown))
+    return shows(specific(requirement), specific(seen))
 
 
 def requirement_gaps(requirements: DataFrame, bound: DataFrame, env: str = "env_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import adapters, case_repair, constraints, evidence, prompts
 from gradeloom.plans.catalogue import query, r6
 from gradeloom.sources.session import table
-from gradeloom.sources.shared import written
+from gradeloom.sources.shared import gathered, written
 
 LINE_SQL = "line AS (SELECT o, k, p_name AS name, p_type AS kind FROM (SELECT l_orderkey AS o, l_linenumber AS k, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = part)"
 #: The vocabulary of part names has one word that is common to all lists: new.
@@ -61,7 +61,7 @@ SELECT o, k, array_to_string(list_filter([
 )
 def case_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Lines as cases of their order's operator, whose goal is the first part's name: what stands against each, with a third of the rules made to fail."""
-    lines = _lines(spark, sf)
+    lines = gathered(_lines(spark, sf).select("o", "k", "name").where("o IS NOT NULL"), "o")  # an order's few words are shuffled, not the cases made of them
     k, name = F.col("k"), F.col("name")
     cases = lines.select(
         "o", "k", k.cast("string").alias("case_id"), F.when(k % 4 != 3, name).alias("description"), F.when(k % 5 == 0, "seed_baseline").otherwise("coverage_extension").alias("case_kind"),

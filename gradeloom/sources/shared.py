@@ -25,6 +25,11 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def gathered(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with all rows of a key in one task, over as many tasks as there are shuffle partitions: what is made of it by this key meets on it without another shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def growing(df: DataFrame) -> DataFrame:
     """``df`` as the side of a join that has rows for each environment: it is shuffled and merged, never collected to be broadcast, however small its compressed shuffle is."""
     return df.hint("merge")

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from gradeloom.operators import adapters, case_repair, constraints, evidence, patches, prompts, rubrics
+from gradeloom.plans import catalogue
 from gradeloom.plans.stages import Run, gold_client
 from gradeloom.sources.shared import written
 
@@ -86,6 +87,35 @@ def test_rounds_broadcast_nothing_that_grows_with_environments(spark):
     assert [(r.case_id, r.valid) for r in seen.collect()] == [("c", True)]
 
 
+def test_cases_are_shuffled_once_and_by_environment_alone(spark, sf):
+    """Validation meets what an environment has in the rows of its cases: no exchange by case, and in the query none that holds the texts of cases."""
+    exchanges = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    table = lambda rows, columns: written(spark.createDataFrame(rows, columns), "t")
+    ops = evidence.operator_texts(table([("e", "o1", "C", 1, GOAL, [GOAL], None)], OPS))
+    asked = table([("e", "r1", 1, "o1", "C", GOAL)], "env_id string, requirement_id string, position int, operator_id string, axis string, text string")
+    shown = table([("e", [GOAL])], "env_id string, visible_requirements array<string>")
+    found = exchanges(constraints.validate_cases(table([case()], CASES), ops, "env_id", asked, shown))
+    assert 0 < len(found) <= 4 and not any("case_id" in x for x in found)
+    plan = catalogue.QUERIES["case_validation"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("case_id" in x for x in exchanges(catalogue.QUERIES["case_validation"](spark, sf)))
+    assert sum("RepartitionByExpression" in x for x in plan) == 4 and not any("Join LeftOuter" in x and "case_id" in x for x in plan)
+
+
+def test_cases_of_one_id_are_judged_each_by_its_own_texts(spark):
+    other = dict(text="Print coloured tables", covered=["Print coloured tables"], call="result = coloured()")
+    asked = [("e", "r1", 1, "o1", "C", GOAL), ("e", "r2", 2, None, "seed", "Print coloured tables"), ("e", None, 3, None, "seed", GOAL), ("e", "r1", 4, "o2", "D", "Read gzip files")]
+    ops = evidence.operator_texts(spark.createDataFrame([("e", "o1", "C", 1, GOAL, [GOAL], None)], OPS))
+    shown = spark.createDataFrame([("e", [GOAL])], "env_id string, visible_requirements array<string>")
+    known = spark.createDataFrame(asked, "env_id string, requirement_id string, position int, operator_id string, axis string, text string")
+    df = spark.createDataFrame([case("c"), case("c", **other), case(None), case("named")], CASES)
+    df = df.withColumn("covered_requirement_ids", F.when(F.col("case_id") == "named", F.array(F.lit("gone"), F.lit("r2"))).otherwise(evidence.no_texts()))
+    got = constraints.validate_cases(df, ops, "env_id", known, shown).collect()
+    ids = {(r.case_id, r.description): (r.covered_requirement_ids, r.matched_requirement_ids) for r in got}
+    assert ids == {("c", GOAL): (["r1"], ["r1"]), ("c", other["text"]): (["r2"], ["r2"]), (None, GOAL): (["r1"], ["r1"]), ("named", GOAL): (["gone", "r2", "r1"], ["r1"])}
+    wrong = next(r.failure_reasons for r in got if r.case_id == "named")
+    assert wrong == ["UNKNOWN_REQUIREMENT_ID:gone", "CASE_REQUIREMENT_TEXT_MISMATCH:r2", "CASE_EXPECTATION_NOT_LINKED_TO_BOUND_REQUIREMENT:r2"]
+
+
 def test_staged_runs_repair_in_rounds(spark, tmp_path):
     """A model that spoils a case first and mends it at its second try; one environment is never mended."""
     client, asked = gold_client(), []
