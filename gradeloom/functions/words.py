@@ -26,6 +26,12 @@ def finder(words: Sequence[str]) -> Callable[[str], list[int]]:
     return lambda text: sorted({i for _, i in automaton.iter(text)})
 
 
+def of_distinct(texts: pa.Array, make: Callable[[str | None], object], kind: pa.DataType) -> pa.Array:
+    """``make`` of each text of an Arrow batch, nulls too, made once for each distinct one."""
+    coded = texts.dictionary_encode(null_encoding="encode")
+    return pa.array([make(t.as_py()) for t in coded.dictionary], kind).take(coded.indices)
+
+
 def found_words(text: Column, words: Sequence[str]) -> Column:
     """Places in ``words`` (distinct, none empty) of those that a text holds; null texts hold none. Texts are taken from their Arrow batch one at a time, so a batch is never held twice."""
     words = list(words)

@@ -64,9 +64,8 @@ def norm(text: Column) -> Column:
 
 def case_words(text: Column) -> Column:
     """Distinct specific words of a text, with the marks of paths and numbers inside them; ids of operators don't count."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-zA-Z0-9][a-zA-Z0-9_*/:.-]*"), F.lit(0))
-    bare = F.transform(found, lambda w: F.btrim(w, F.lit(".,;()[]{}'\"")))
-    return T.without(F.filter(bare, lambda w: (w != "") & ~F.startswith(w, F.lit("op_"))), CASE_COMMON)
+    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9](?:[a-z0-9_*/:.-]*[a-z0-9_*/:-])?"), F.lit(0))  # a stop at its end isn't a word's
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(CASE_COMMON) & ~F.startswith(w, F.lit("op_"))))
 
 
 def is_generic(text: Column) -> Column:

@@ -3,6 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from gradeloom.functions.code import assigns_result, code_paths
+from gradeloom.functions.values import flat_text
 from gradeloom.operators import adapters, case_repair, constraints, evidence, patches, prompts, rubrics
 from gradeloom.plans import catalogue
 from gradeloom.plans.stages import Run, gold_client
@@ -116,6 +118,17 @@ def test_cases_of_one_id_are_judged_each_by_its_own_texts(spark):
     assert wrong == ["UNKNOWN_REQUIREMENT_ID:gone", "CASE_REQUIREMENT_TEXT_MISMATCH:r2", "CASE_EXPECTATION_NOT_LINKED_TO_BOUND_REQUIREMENT:r2"]
 
 
+def test_words_and_codes_keep_their_edges(spark):
+    """Stops end no word, equal texts of a batch are read once, and nulls are texts of their own."""
+    texts = ["See A.b/c.txt... and (op_x, op_y) v1.2.", "the new ... a.b. .c A", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(evidence.case_words(F.col("t")).alias("w"))
+    assert [r.w for r in df.collect()] == [["see", "a.b/c.txt", "v1.2"], ["a.b", "c"], None, []]
+    codes = spark.createDataFrame([(c,) for c in ["result = open('a/b.txt')", "x = 1", None, "result = (", "result = open('a/b.txt')"]], "c string").coalesce(1)
+    got = codes.select(assigns_result("c").alias("r"), code_paths("c").alias("p"), flat_text(F.to_json(F.array("c"))).alias("f"), flat_text(F.lit(None).cast("string")).alias("n")).collect()
+    assert [(r.r, r.p) for r in got] == [(True, ["a/b.txt"]), (False, []), (False, []), (False, []), (True, ["a/b.txt"])]
+    assert [r.f for r in got] == ["result = open('a/b.txt')", "x = 1", "", "result = (", "result = open('a/b.txt')"] and all(r.n == "" for r in got)
+
+
 def test_staged_runs_repair_in_rounds(spark, tmp_path):
     """A model that spoils a case first and mends it at its second try; one environment is never mended."""
     client, asked = gold_client(), []
